@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from searchlab.operators.dense import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
-    bounded_matrix,
     inner_products,
-    matrix_bytes,
+    matrix_within,
     search_in_blocks,
     search_with_broadcast,
+    small_matrix,
     to_matrix,
 )
 from searchlab.operators.sampling import SEED, fixed_size_sample
@@ -70,7 +70,7 @@ def assign_cells(
     vectors: DataFrame, centroids: DataFrame, vec_col: str = "embedding"
 ) -> DataFrame:
     """Adds ``cell``: the centroid of the largest inner product. No shuffle."""
-    keys, matrix = bounded_matrix(centroids, ["cell"], "centroid")
+    keys, matrix = small_matrix(centroids, ["cell"], "centroid")
     cells = keys["cell"].to_numpy()
     shared = vectors.sparkSession.sparkContext.broadcast((cells, matrix))
     position = vectors.columns.index(vec_col)
@@ -90,7 +90,7 @@ def route_queries(
     queries: DataFrame, centroids: DataFrame, probes: list[int], query_vec: str = "qvec"
 ) -> DataFrame:
     """One row per query, ``nprobe`` value and visited cell."""
-    keys, matrix = bounded_matrix(centroids, ["cell"], "centroid")
+    keys, matrix = small_matrix(centroids, ["cell"], "centroid")
     cells = keys["cell"].to_numpy()
     shared = queries.sparkSession.sparkContext.broadcast((cells, matrix))
     position = queries.columns.index(query_vec)
@@ -142,25 +142,28 @@ def search_cells(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    routed = route_queries(queries.select(query_col, query_vec), centroids, probes, query_vec)
-    if matrix_bytes(queries, query_vec) * len(probes) > broadcast_bytes:
+    fetched = matrix_within(queries, [query_col], query_vec, broadcast_bytes // len(probes))
+    if fetched is None:
+        routed = route_queries(queries.select(query_col, query_vec), centroids, probes, query_vec)
         scored = search_in_blocks(
             assigned, routed, schema, k, doc_col, vec_col, query_cols, query_vec, block_bytes
         )
         return rank_top_k(scored, k, query_cols, doc_col)
 
-    per_setting = routed.groupBy(*query_cols).agg(
-        F.first(query_vec).alias(query_vec), F.collect_list("cell").alias("cells")
-    )
-    table = per_setting.orderBy(*query_cols).toArrow()
+    keys, matrix = fetched
+    cell_keys, centers = small_matrix(centroids, ["cell"], "centroid")
+    order = cell_keys["cell"].to_numpy()[_best_cells(matrix, centers, probes[-1])]
+    # Row r of setting s stands at s * queries + r in the repeated matrix.
     visits: dict[int, list[int]] = {}
-    for row, cells in enumerate(table["cells"].to_pylist()):
-        for cell in cells:
-            visits.setdefault(cell, []).append(row)
+    for setting, nprobe in enumerate(probes):
+        for row, cells in enumerate(order[:, :nprobe].tolist()):
+            for cell in cells:
+                visits.setdefault(cell, []).append(setting * len(matrix) + row)
+    labels = pa.array(np.repeat(probes, len(matrix)), pa.int64())
     scored = search_with_broadcast(
         assigned.filter(F.col("cell").isin(sorted(visits))),
-        table.select(query_cols),
-        to_matrix(table[query_vec]),
+        pa.concat_tables([keys] * len(probes)).append_column("nprobe", labels),
+        np.tile(matrix, (len(probes), 1)),
         schema, k, doc_col, vec_col,
         routes={cell: np.array(rows) for cell, rows in visits.items()},
     )

@@ -75,18 +75,23 @@ class RunningTopK:
         )
 
 
-def matrix_bytes(df: DataFrame, vec_col: str) -> int:
+def matrix_within(
+    df: DataFrame, key_cols: list[str], vec_col: str, limit: int
+) -> tuple[pa.Table, np.ndarray] | None:
+    """Keys and matrix on the driver in key order; None above ``limit`` bytes."""
     rows, width = df.agg(F.count("*"), F.coalesce(F.max(F.size(vec_col)), F.lit(0))).first()
-    return rows * width * 8
+    if rows * width * 8 > limit:
+        return None
+    table = df.select(*key_cols, vec_col).toArrow().sort_by([(c, "ascending") for c in key_cols])
+    return table.select(key_cols), to_matrix(table[vec_col])
 
 
-def bounded_matrix(df: DataFrame, key_cols: list[str], vec_col: str) -> tuple[pa.Table, np.ndarray]:
-    """Keys and matrix on the driver; refused above ``BROADCAST_BYTES``."""
-    size = matrix_bytes(df, vec_col)
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"{size} bytes of vectors cannot be sent to every task")
-    table = df.select(*key_cols, vec_col).orderBy(*key_cols).toArrow()
-    return table.select(key_cols), to_matrix(table[vec_col])
+def small_matrix(df: DataFrame, key_cols: list[str], vec_col: str) -> tuple[pa.Table, np.ndarray]:
+    """The same for tables whose size is a parameter, such as centroids."""
+    found = matrix_within(df, key_cols, vec_col, BROADCAST_BYTES)
+    if found is None:
+        raise ValueError(f"{vec_col}: more than {BROADCAST_BYTES} bytes for every task")
+    return found
 
 
 def _result_schema(queries: DataFrame, query_cols: list[str], doc: T.StructField) -> T.StructType:
@@ -209,9 +214,9 @@ def exact_top_k(
     """``(query columns, doc_col, score, rank)`` by inner product."""
     query_cols = list(query_cols)
     schema = _result_schema(queries, query_cols, vectors.schema[doc_col])
-    if matrix_bytes(queries, query_vec) <= broadcast_bytes:
-        keys, matrix = bounded_matrix(queries, query_cols, query_vec)
-        scored = search_with_broadcast(vectors, keys, matrix, schema, k, doc_col, vec_col)
+    fetched = matrix_within(queries, query_cols, query_vec, broadcast_bytes)
+    if fetched is not None:
+        scored = search_with_broadcast(vectors, *fetched, schema, k, doc_col, vec_col)
     else:
         scored = search_in_blocks(
             vectors.withColumn("cell", F.lit(ALL)),

@@ -55,7 +55,11 @@ def encode_texts(
     vec_col: str = "embedding",
     batch: int = BATCH,
 ) -> DataFrame:
-    """``keep`` columns + ``vec_col``; rows stay in their partitions."""
+    """``keep`` columns + ``vec_col``.
+
+    Texts are placed by key first: encoding costs far more than moving the text, and
+    every core gets its share however the files were cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
@@ -73,4 +77,5 @@ def encode_texts(
     vector = T.StructField(vec_col, T.ArrayType(T.DoubleType()))
     schema = T.StructType([*[df.schema[c] for c in keep], vector])
     prefixed = F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))
-    return df.select(*keep, prefixed.alias("_text")).mapInArrow(run, schema)
+    texts = df.select(*keep, prefixed.alias("_text")).repartition(*keep)
+    return texts.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from searchlab.functions.text import document_tokens, query_tokens
 from searchlab.operators.topk import rank_top_k
-from searchlab.sources.staging import new_location
+from searchlab.sources.staging import new_location, stage
 
 # Field weights and the constants of the scoring function.
 FIELD_WEIGHTS = {"title": 3.0, "skills": 2.0, "summary": 1.0}
@@ -27,10 +27,11 @@ def build_postings(corpus: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """``(doc_id, doc_len, term, wtf, tf)``: one row per document and term.
 
     ``wtf`` is the term frequency weighted by field, ``doc_len`` the unweighted
-    number of tokens of all indexed fields. A document's tokens sit in one task, so
-    the counts are complete before the shuffle.
+    number of tokens of all indexed fields. The texts are placed by document before
+    they are cut up: that is the only shuffle, the counting below needs none, and
+    the text is several times smaller than its postings.
     """
-    tokens = corpus.select(
+    tokens = corpus.select(doc_col, *FIELD_WEIGHTS).repartition(doc_col).select(
         doc_col, *[document_tokens(F.coalesce(f, F.lit(""))).alias(f) for f in FIELD_WEIGHTS]
     )
     lengths = [F.size(f) for f in FIELD_WEIGHTS]
@@ -134,9 +135,10 @@ def require_searchable(queries: DataFrame) -> None:
 def _matches(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """Postings of the query terms, with the query's weight of the term.
 
-    The terms of the batch decide which buckets are read (partition pruning at run
-    time). They are broadcast when Spark finds them small enough; otherwise the
-    join shuffles on the term and AQE splits the common ones.
+    The weighted terms are staged, so their size is known before the plan is made:
+    below the broadcast threshold the index is not shuffled and only the buckets of
+    the terms are read (partition pruning at run time, which asks for a predicate on
+    the small side); above it the join shuffles and AQE splits the common terms.
     """
     documents = index.totals.select("documents").scalar()
     idf = F.log((documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -150,6 +152,7 @@ def _matches(index: LexicalIndex, queries: DataFrame) -> DataFrame:
             (F.col("occurrences") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)).alias("weight"),
         )
     )
+    terms = stage(terms, "query_terms").filter(F.col("weight") > 0)
     return index.postings.join(terms, ["bucket", "term"])
 
 

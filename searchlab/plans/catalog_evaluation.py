@@ -240,21 +240,16 @@ TEXT_RUNS = f"""{v.BM25_ALL},
 flat_scores AS ({v.dense_from_buckets("docs", "asked")}),
 flat AS ({v.top_k("SELECT * FROM flat_scores")}),
 pivots AS (SELECT doc_id AS cell FROM documents ORDER BY {v.hashed("doc_id")} LIMIT {experiment.CELLS}),
-pivot_codes AS (SELECT doc_id AS cell, bucket, weight FROM docs
-                WHERE doc_id IN (SELECT cell FROM pivots)),
+pivot_docs AS (SELECT * FROM docs WHERE doc_id IN (SELECT cell FROM pivots)),
+doc_queries AS (SELECT doc_id AS query_id, bucket, weight FROM docs),
 doc_cells AS (
-  SELECT doc_id, cell FROM (
-    SELECT doc_id, cell, row_number() OVER (
-             PARTITION BY doc_id ORDER BY round(score, 6) + 0.0 DESC, cell) AS place
-    FROM (SELECT d.doc_id, p.cell, sum(d.weight * p.weight) AS score
-          FROM docs d JOIN pivot_codes p USING (bucket) GROUP BY ALL)) WHERE place = 1),
+  SELECT query_id AS doc_id, doc_id AS cell
+  FROM ({v.dense_from_buckets("pivot_docs", "doc_queries")})
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1),
 visits AS (
-  SELECT query_id, cell FROM (
-    SELECT query_id, cell, row_number() OVER (
-             PARTITION BY query_id ORDER BY round(score, 6) + 0.0 DESC, cell) AS place
-    FROM (SELECT a.query_id, p.cell, sum(a.weight * p.weight) AS score
-          FROM asked a JOIN pivot_codes p USING (bucket) GROUP BY ALL))
-  WHERE place <= {experiment.PROBES}),
+  SELECT query_id, doc_id AS cell FROM ({v.dense_from_buckets("pivot_docs", "asked")})
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
+          <= {experiment.PROBES}),
 ivf AS ({v.top_k('''SELECT query_id, doc_id, score FROM flat_scores
                     JOIN doc_cells USING (doc_id) JOIN visits USING (query_id, cell)''')}),
 runs AS (

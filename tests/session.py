@@ -12,6 +12,7 @@ def local_session(cpus: str | None = None, partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus or os.environ.get('BENCH_CPUS', '8')}]")
         .appName("searchlab")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
