@@ -132,13 +132,10 @@ def require_searchable(queries: DataFrame) -> None:
         raise ValueError(f"query without a searchable token: {empty[0]['query_id']!r}")
 
 
-def _matches(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """Postings of the query terms, with the query's weight of the term.
+def _weighted_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, term, bucket, weight)``: occurrences times inverse frequency.
 
-    The weighted terms are staged, so their size is known before the plan is made:
-    below the broadcast threshold the index is not shuffled and only the buckets of
-    the terms are read (partition pruning at run time, which asks for a predicate on
-    the small side); above it the join shuffles and AQE splits the common terms.
+    Staged, so that its size is known before the plans below are made.
     """
     documents = index.totals.select("documents").scalar()
     idf = F.log((documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -152,14 +149,30 @@ def _matches(index: LexicalIndex, queries: DataFrame) -> DataFrame:
             (F.col("occurrences") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)).alias("weight"),
         )
     )
-    terms = stage(terms, "query_terms").filter(F.col("weight") > 0)
-    return index.postings.join(terms, ["bucket", "term"])
+    # The predicate holds for every row; partition pruning at run time asks for one.
+    return stage(terms, "query_terms").filter(F.col("weight") > 0)
+
+
+def _matches(index: LexicalIndex, weights: DataFrame, payload: list[Column]) -> DataFrame:
+    """One row per query, term and document that holds the term.
+
+    Only the buckets of the batch's terms are read, and of those only its postings.
+    These are placed by document before they meet the queries: a posting travels
+    once however many queries share its term, a common term spreads over all tasks,
+    and the sums per query and document need no further shuffle.
+    """
+    postings = (
+        index.postings.join(weights, ["bucket", "term"], "left_semi")
+        .select("term", index.doc_col, *payload)
+        .repartition(index.doc_col)
+    )
+    return postings.join(weights.drop("bucket"), "term")
 
 
 def match_counts(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """Documents holding at least one query token, per query."""
     return (
-        _matches(index, queries)
+        _matches(index, _weighted_terms(index, queries), [])
         .groupBy("query_id", index.doc_col)
         .agg(F.count("*").alias("terms"))
         .groupBy("query_id")
@@ -171,10 +184,10 @@ def search_bm25(index: LexicalIndex, queries: DataFrame, k: int = 20) -> DataFra
     """``(query_id, doc_id, score, rank)`` for the whole batch of queries in one job."""
     mean_length = index.totals.select(F.col("tokens") / F.col("documents")).scalar()
     length_norm = F.lit(1 - B) + F.lit(B) * F.col("doc_len") / mean_length
-    part = F.col("weight") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * length_norm)
+    saturation = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * length_norm)
     scored = (
-        _matches(index, queries)
+        _matches(index, _weighted_terms(index, queries), [saturation.alias("saturation")])
         .groupBy("query_id", index.doc_col)
-        .agg(F.sum(part).alias("score"))
+        .agg(F.sum(F.col("weight") * F.col("saturation")).alias("score"))
     )
     return rank_top_k(scored, k, ["query_id"], index.doc_col)

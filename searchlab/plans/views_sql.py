@@ -25,12 +25,11 @@ def words(text: str) -> str:
 
 
 def cleaned(text: str) -> str:
-    """Entities that occur in the tables, then tags, control characters, space."""
+    """Entities that occur in the tables (the semicolon may be missing), the
+    ampersand last; then tags, control characters, space."""
     plain = f"coalesce({text}, '')"
-    for entity, char in [
-        ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")
-    ]:
-        plain = f"replace({plain}, '{entity}', '{char}')"
+    for entity, char in [("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")]:
+        plain = f"regexp_replace({plain}, '&{entity};?', '{char}', 'g')"
     plain = f"regexp_replace({plain}, '<[^>]+>', ' ', 'g')"
     plain = rf"regexp_replace({plain}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')"
     return f"trim(regexp_replace({plain}, '[{SPACE_CLASS}]+', ' ', 'g'))"
