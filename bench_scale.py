@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from searchlab.operators import ann, lexical, reduction
 from searchlab.operators.dense import exact_top_k
+from searchlab.sources.staging import stage
 from tests.session import local_session
 
 WIDTH = 384
@@ -85,11 +86,10 @@ def main() -> None:
     times: dict[str, float] = {}
     timed(times, "first_exact_search", lambda: exact_top_k(vectors, asked).collect())
     timed(times, "exact_search", lambda: exact_top_k(vectors, asked).collect())
-    pivots = ann.pivot_centroids(vectors, 256)
-    timed(times, "cell_build", lambda: ann.assign_cells(vectors, pivots)
-          .repartition(32, "cell").write.mode("overwrite").partitionBy("cell")
-          .parquet(str(folder / "cells")))
-    cells = spark.read.parquet(str(folder / "cells")).withColumn("cell", F.col("cell").cast("long"))
+    pivots = timed(times, "pivots", lambda: stage(ann.pivot_centroids(vectors, 256), "pivots"))
+    timed(times, "cell_build", lambda: ann.write_cells(
+        ann.assign_cells(vectors, pivots), str(folder / "cells")))
+    cells = ann.read_cells(spark, str(folder / "cells"))
     timed(times, "cell_search_nprobe_8",
           lambda: ann.search_cells(cells, asked, pivots, [8]).collect())
     exact = exact_top_k(vectors, asked)
@@ -98,7 +98,7 @@ def main() -> None:
               for r in ann.recall_against_exact(exact, found).collect()}
     model, _ = timed(times, "pca_fit_256", lambda: reduction.fit_pca(vectors, 256))
     timed(times, "pca_transform_128", lambda: reduction.project(vectors, model, 128)
-          .write.mode("overwrite").parquet(str(folder / "small")))
+          .withColumn("embedding", F.col("embedding").cast("array<float>")).write.mode("overwrite").parquet(str(folder / "small")))
     small = spark.read.parquet(str(folder / "small"))
     small_asked = reduction.project(asked, model, 128, "qvec")
     timed(times, "reduced_search_128", lambda: exact_top_k(small, small_asked).collect())

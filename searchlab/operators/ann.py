@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from searchlab.operators.dense import (
     BLOCK_BYTES,
@@ -170,6 +170,101 @@ def search_cells(
     return rank_top_k(scored, k, query_cols, doc_col)
 
 
+def write_cells(assigned: DataFrame, location: str) -> None:
+    """One folder per cell; a large cell becomes several files, small ones one."""
+    assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(location)
+
+
+def read_cells(spark: SparkSession, location: str) -> DataFrame:
+    return spark.read.parquet(location).withColumn("cell", F.col("cell").cast("long"))
+
+
+CODES_PER_TABLE = 2**20
+
+
+def _projection_codes(rows: np.ndarray, axes: np.ndarray, width: float) -> np.ndarray:
+    """Bucket of every row on every axis, numbered apart for each axis."""
+    buckets = np.floor(inner_products(rows, axes) / width).astype("int64")
+    return buckets + CODES_PER_TABLE // 2 + np.arange(len(axes)) * CODES_PER_TABLE
+
+
+def assign_projection_buckets(
+    vectors: DataFrame, axes: DataFrame, width: float, vec_col: str = "embedding"
+) -> DataFrame:
+    """Bucketed random projection: one row and ``cell`` per vector and axis.
+
+    ``axes(cell, centroid)`` are the directions, one hash table each. For unit
+    vectors start with a ``width`` near ``1 / sqrt(dimension)``.
+    """
+    if width <= 2 / CODES_PER_TABLE:
+        raise ValueError("width is too small")
+    _, directions = small_matrix(axes, ["cell"], "centroid")
+    shared = vectors.sparkSession.sparkContext.broadcast(directions)
+    position = vectors.columns.index(vec_col)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = _projection_codes(to_matrix(batch.column(position)), shared.value, width)
+                yield batch.append_column(
+                    "_cells", pa.array(codes.tolist(), pa.list_(pa.int64()))
+                )
+
+    schema = T.StructType(
+        [*vectors.schema.fields, T.StructField("_cells", T.ArrayType(T.LongType()))]
+    )
+    return vectors.mapInArrow(assign, schema).withColumn("cell", F.explode("_cells")).drop("_cells")
+
+
+def search_projection_buckets(
+    assigned: DataFrame,
+    queries: DataFrame,
+    axes: DataFrame,
+    width: float,
+    k: int = 20,
+    doc_col: str = "doc_id",
+    vec_col: str = "embedding",
+    query_col: str = "query_id",
+    query_vec: str = "qvec",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Exact scores of the vectors that share a bucket with the query on any axis.
+
+    A vector comes up at most once per axis, so the ``k * axes`` best rows hold the k
+    best vectors.
+    """
+    _, directions = small_matrix(axes, ["cell"], "centroid")
+    schema = T.StructType(
+        [
+            queries.schema[query_col],
+            assigned.schema[doc_col],
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    depth = k * len(directions)
+    fetched = matrix_within(queries, [query_col], query_vec, broadcast_bytes)
+    if fetched is None:
+        asked = assign_projection_buckets(
+            queries.select(query_col, query_vec), axes, width, query_vec
+        )
+        found = search_in_blocks(
+            assigned, asked, schema, depth, doc_col, vec_col, [query_col], query_vec, block_bytes
+        )
+    else:
+        keys, matrix = fetched
+        visits: dict[int, list[int]] = {}
+        for row, codes in enumerate(_projection_codes(matrix, directions, width).tolist()):
+            for code in codes:
+                visits.setdefault(code, []).append(row)
+        found = search_with_broadcast(
+            assigned.filter(F.col("cell").isin(sorted(visits))),
+            keys, matrix, schema, depth, doc_col, vec_col,
+            routes={code: np.array(rows) for code, rows in visits.items()},
+        )
+    return rank_top_k(found.distinct(), k, [query_col], doc_col)
+
+
 def recall_against_exact(
     exact: DataFrame,
     approximate: DataFrame,

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from searchlab.sources.staging import stage
+
 METADATA = ["query", "category"]
 TO_FILL = ["relevance", "annotator", "notes"]
 
@@ -55,9 +57,15 @@ def annotation_pool(
     """Candidates with document metadata and empty columns for the graders.
 
     Empty metadata of a known document is ``''``; a document that the corpus does
-    not hold keeps null.
+    not hold keeps null. The candidates are staged: their known size lets the corpus
+    be cut down to them where it lies, before the outer join.
     """
-    known = corpus.select(doc_col, *metadata).fillna("")
+    candidates = stage(candidates, "candidates")
+    known = (
+        corpus.select(doc_col, *metadata)
+        .join(candidates.select(doc_col), doc_col, "left_semi")
+        .fillna("")
+    )
     blanks = [F.lit("").alias(c) for c in TO_FILL]
     leading = ["query_id", *[c for c in METADATA if c in candidates.columns], doc_col]
     return candidates.join(known, doc_col, "left").select(

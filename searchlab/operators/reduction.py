@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from searchlab.functions.vectors import unit_vector
 from searchlab.operators.dense import BROADCAST_BYTES, to_matrix
 from searchlab.operators.sampling import SEED, fixed_size_sample
 
@@ -106,6 +107,30 @@ def project(
     return vectors.mapInArrow(reduce, T.StructType(fields))
 
 
+def project_dimensions(
+    vectors: DataFrame,
+    projection: Projection,
+    dimensions: list[int],
+    vec_col: str = "embedding",
+) -> DataFrame:
+    """One row per vector and ``dim``: projected once, then cut and re-normalised.
+
+    Written with ``partitionBy("dim")`` every dimension can be searched on its own.
+    """
+    dimensions = _checked(dimensions)
+    widest = project(vectors, projection, dimensions[-1], vec_col)
+    return widest.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dimensions]))).withColumn(
+        vec_col, unit_vector(F.slice(vec_col, F.lit(1), F.col("dim")))
+    )
+
+
+def _checked(dimensions: list[int]) -> list[int]:
+    dimensions = sorted(set(dimensions))
+    if not dimensions or dimensions[0] <= 0:
+        raise ValueError("dimensions must be positive")
+    return dimensions
+
+
 def explained_variance(spark: SparkSession, projection: Projection) -> DataFrame:
     """One row per component with the running sum of its variance share."""
     rows = [(i, float(r)) for i, r in enumerate(projection.ratios, start=1)]
@@ -120,9 +145,7 @@ def reduction_report(
     vectors: DataFrame, dimensions: list[int], vec_col: str = "embedding", projection=None
 ) -> DataFrame:
     """Bytes per vector before and after, per reduced dimension."""
-    dimensions = sorted(set(dimensions))
-    if not dimensions or dimensions[0] <= 0:
-        raise ValueError("dimensions must be positive")
+    dimensions = _checked(dimensions)
     report = vectors.agg(
         F.count("*").alias("documents"),
         F.max(F.size(vec_col)).cast("long").alias("input_dimension"),

@@ -1,9 +1,10 @@
 """Strata, proportional allocation and exact-size hash samples.
 
 A sample of n rows is the n rows with the smallest ``md5(seed | key)``: exact in
-size, repeatable, independent of partitioning. The hash space is cut into bins
-(its leading hex digits). Counting the bins tells in which bin the n-th smallest
-hash lies, so no task ever sorts more than one bin of one stratum.
+size for a unique key, repeatable, independent of partitioning. The n-th smallest
+hash is found on the key columns alone: counting the leading hex digits tells in
+which of 65,536 bins it lies, and only this bin is ordered. The rows themselves are
+then taken by one comparison with that hash; they are neither shuffled nor sorted.
 """
 
 from __future__ import annotations
@@ -95,20 +96,21 @@ def _cut_points(bins: DataFrame, quotas: DataFrame, stratum: str) -> DataFrame:
     )
 
 
-def _keep_below_cut(binned: DataFrame, group: list[str], key: list[str]) -> DataFrame:
-    """Rows under the cut; windows cover one bin, never a whole stratum."""
-    in_bin = Window.partitionBy(*group, "_bin").orderBy("_digest", *key)
-    return (
-        binned.filter(F.col("_bin") <= F.col("_last_bin"))
-        .withColumn("_place", F.row_number().over(in_bin))
-        .filter((F.col("_bin") < F.col("_last_bin")) | (F.col("_place") <= F.col("_from_last")))
-        .drop("_digest", "_bin", "_last_bin", "_from_last", "_place")
+def _digests(df: DataFrame, key: list[str], seed: int, *others: str) -> DataFrame:
+    return df.select(*others, key_hash(*key, seed=seed).alias("_digest")).withColumn(
+        "_bin", hash_bin(F.col("_digest"))
     )
 
 
-def _binned(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    return df.withColumn("_digest", key_hash(*key, seed=seed)).withColumn(
-        "_bin", hash_bin(F.col("_digest"))
+def _last_digests(binned: DataFrame, ends: DataFrame, stratum: str) -> DataFrame:
+    """Per merged stratum: the largest hash that belongs to the sample."""
+    inside = Window.partitionBy("merged").orderBy("_digest")
+    return (
+        binned.join(ends, stratum)
+        .filter(F.col("_bin") == F.col("_last_bin"))
+        .withColumn("_place", F.row_number().over(inside))
+        .filter(F.col("_place") == F.col("_from_last"))
+        .select("merged", F.col("_digest").alias("_last_digest"))
     )
 
 
@@ -123,10 +125,10 @@ def stratified_sample(
     """Proportional stratified sample of exactly ``sample_size`` rows.
 
     ``key`` must identify a row. The whole table comes back when it is not larger
-    than the sample. Two small tables are staged: bin counts per stratum and the
-    cut per stratum.
+    than the sample. Small tables are staged: bin counts per stratum, the bin and
+    the hash at which each stratum ends.
     """
-    binned = _binned(df, key, seed)
+    binned = _digests(df, key, seed, stratum)
     bins = stage(
         binned.groupBy(stratum, "_bin").agg(F.count("*").alias("_rows")), "stratum_bins"
     )
@@ -145,14 +147,20 @@ def stratified_sample(
         .groupBy(F.col("merged").alias(stratum), "_bin")
         .agg(F.sum("_rows").alias("_rows"))
     )
-    cuts = _cut_points(merged_bins, allocate(sizes, sample_size, stratum), stratum)
-    lookup = stage(
+    ends = _cut_points(merged_bins, allocate(sizes, sample_size, stratum), stratum)
+    ends = stage(
         labels.select(stratum, "merged").join(
-            cuts.withColumnRenamed(stratum, "merged"), "merged"
+            ends.withColumnRenamed(stratum, "merged"), "merged"
         ),
-        "stratum_cuts",
+        "stratum_ends",
+    )
+    last = _last_digests(binned, ends, stratum)
+    lookup = stage(ends.select(stratum, "merged").join(last, "merged").drop("merged"), "last_hashes")
+    return (
+        df.join(lookup, stratum)
+        .filter(key_hash(*key, seed=seed) <= F.col("_last_digest"))
+        .select(*df.columns)
     )
-    return _keep_below_cut(binned.join(lookup, stratum), ["merged"], key).drop("merged")
 
 
 def fixed_size_sample(
@@ -161,7 +169,7 @@ def fixed_size_sample(
     """Exactly ``n`` rows; fewer only with ``allow_fewer``."""
     if n <= 0:
         raise ValueError("n must be positive")
-    binned = _binned(df, key, seed)
+    binned = _digests(df, key, seed)
     whole = Window.orderBy("_bin")  # at most 65,536 rows
     bins = (
         binned.groupBy("_bin")
@@ -177,10 +185,10 @@ def fixed_size_sample(
         raise ValueError(f"asked for {n} rows, only {rows} are there")
     if rows <= n:
         return df
-    return _keep_below_cut(
-        binned.withColumn("_last_bin", F.lit(last_bin)).withColumn(
-            "_from_last", F.lit(n - (before or 0))
-        ),
-        [],
-        key,
+    last_digest = (
+        binned.filter(F.col("_bin") == last_bin)
+        .withColumn("_place", F.row_number().over(Window.partitionBy("_bin").orderBy("_digest")))
+        .filter(F.col("_place") == n - (before or 0))
+        .first()["_digest"]
     )
+    return df.filter(key_hash(*key, seed=seed) <= last_digest)

@@ -256,6 +256,33 @@ def ivf_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return run.select("query_id", "rank", "doc_id", "score")
 
 
+AXES = 4
+WIDTH = 0.125  # 1 / sqrt(64)
+
+
+@query(
+    "lsh_topk",
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES},
+        axes AS (SELECT doc_id AS axis, embedding AS direction FROM vectors
+                 ORDER BY {v.hashed("doc_id")} LIMIT {AXES}),
+        doc_codes AS (SELECT doc_id, embedding, axis,
+                 floor((round(list_inner_product(embedding, direction), 6) + 0.0) / {WIDTH}) AS code
+               FROM vectors, axes),
+        query_codes AS (SELECT query_id, qvec, axis,
+                 floor((round(list_inner_product(qvec, direction), 6) + 0.0) / {WIDTH}) AS code
+               FROM vec_queries, axes)
+        SELECT query_id, rank, doc_id, score FROM ({v.top_k('''
+          SELECT DISTINCT query_id, doc_id, round(list_inner_product(qvec, embedding), 6) AS score
+          FROM query_codes JOIN doc_codes USING (axis, code)''')})""",
+)
+def lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, asked = views.embeddings(spark, sf), views.staged_vec_queries(spark, sf)
+    axes = stage(ann.pivot_centroids(vectors, AXES), "axes")
+    buckets = ann.assign_projection_buckets(vectors, axes, WIDTH)
+    found = ann.search_projection_buckets(buckets, asked, axes, WIDTH)
+    return found.select("query_id", "rank", "doc_id", "score")
+
+
 # --- reduction --------------------------------------------------------------
 REDUCED = 8
 BASIS_SQL = f"""
@@ -305,6 +332,28 @@ def project_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "project_dimensions",
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {BASIS_SQL},
+        wide AS (SELECT doc_id, {reduced_sql("embedding")} AS whole FROM vectors, center, basis),
+        cut AS (SELECT doc_id, dim, {v.unit("part")} AS small
+                FROM (SELECT doc_id, dim, whole[1:dim] AS part
+                      FROM wide, (SELECT unnest([2, 4, {REDUCED}]) AS dim)))
+        SELECT doc_id, dim, round(small[1], 6) + 0.0 AS first,
+               round(list_sum(small), 6) + 0.0 AS total FROM cut""",
+)
+def project_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = views.embeddings(spark, sf).select("doc_id", "embedding")
+    small = reduction.project_dimensions(vectors, label_basis(spark, sf), [2, 4, REDUCED])
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return small.select(
+        "doc_id",
+        "dim",
+        (F.round(F.col("embedding")[0], 6) + 0.0).alias("first"),
+        (F.round(total, 6) + 0.0).alias("total"),
+    )
+
+
 @query(
     "dense_reduced_topk",
     f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {BASIS_SQL},

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from searchlab.functions.text import clean_text, search_text, stratum_key
 from searchlab.operators.checks import join_cardinality_report, raise_violations
-from searchlab.operators.dedup import distinct_rows, keep_first
+from searchlab.operators.dedup import keep_first
 from searchlab.operators.ids import assign_document_ids
 from searchlab.operators.sampling import fixed_size_sample, stratified_sample
 from searchlab.sources.staging import stage
@@ -29,12 +29,11 @@ def clean_postings(
     """Distinct postings with a link and a title; text columns cleaned.
 
     The link is never cleaned. Of several rows with one link the first by all other
-    columns stays: a table has no file order to go by.
+    columns stays: a table has no file order to go by. Copies of a whole row share
+    their link, so this removes them as well without a shuffle of their own.
     """
     rest = [c for c in jobs.columns if c != link]
-    unique = keep_first(
-        distinct_rows(jobs).filter(F.col(link).isNotNull()), [link], rest
-    )
+    unique = keep_first(jobs.filter(F.col(link).isNotNull()), [link], rest)
     cleaned = unique.withColumns({c: clean_text(F.col(c)) for c in [title, *metadata]})
     return cleaned.filter(F.col(title) != "")
 

@@ -139,8 +139,9 @@ def vector_qrels(spark: SparkSession, sf_dir: str, runs: DataFrame) -> DataFrame
     The pool is shallower than the evaluation depth and leaves out the approximate
     run, so some results stay unjudged.
     """
-    pooled = pool_candidates(
-        runs.filter(F.col("system") != cells_label()), POOL_DEPTH, POOL_LIMIT
+    pooled = stage(
+        pool_candidates(runs.filter(F.col("system") != cells_label()), POOL_DEPTH, POOL_LIMIT),
+        "pool",
     )
     labels = embeddings(spark, sf_dir).select("doc_id", "label")
     asked = runs.select("query_id", "qlabel").distinct()

@@ -108,6 +108,45 @@ def test_cells(spark, frames, data, broadcast_bytes):
     assert recall[1] <= recall[3] <= 1.0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [2**26, 0])
+def test_projection_buckets(spark, frames, data, broadcast_bytes):
+    docs, asked = data
+    directions = unit(np.random.default_rng(3).normal(size=(3, DIM)))
+    axes = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(directions)], "cell bigint, centroid array<double>"
+    )
+    code = lambda m: np.floor(np.round(m @ directions.T, 6) / 0.3)
+    allowed = [set(np.flatnonzero((code(docs) == row).any(axis=1))) for row in code(asked)]
+    buckets = ann.assign_projection_buckets(frames[0], axes, 0.3)
+    found = ann.search_projection_buckets(
+        buckets, frames[1], axes, 0.3, 10, broadcast_bytes=broadcast_bytes, block_bytes=2_000
+    )
+    close(lists(found), brute(docs, asked, 10, allowed))
+
+
+def test_cell_files(spark, frames, tmp_path):
+    vectors, queries = frames
+    numbered = vectors.withColumn("doc_id", F.substring("doc_id", 2, 9).cast("long"))
+    centroids = ann.pivot_centroids(numbered, 4)
+    assigned = ann.assign_cells(numbered, centroids)
+    ann.write_cells(assigned, str(tmp_path / "cells"))
+    saved = ann.read_cells(spark, str(tmp_path / "cells"))
+    search = lambda cells: lists(ann.search_cells(cells, queries, centroids, [2], 5))
+    assert search(saved) == search(assigned)
+    plan = saved.filter(F.col("cell").isin([1]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [(" in plan
+
+
+def test_one_projection_serves_all_dimensions(frames):
+    model, _ = reduction.fit_pca(frames[0], 5)
+    cut = reduction.project_dimensions(frames[0], model, [2, 4, 4])
+    for dim in (2, 4):
+        got = {r["doc_id"]: r["embedding"] for r in cut.filter(F.col("dim") == dim).collect()}
+        want = {r["doc_id"]: r["embedding"] for r in reduction.project(frames[0], model, dim).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[d], want[d]) for d in want)
+
+
 def test_recall_keeps_k_as_denominator(spark):
     exact = spark.createDataFrame([("q", f"d{i}", i + 1) for i in range(10)], "query_id string, doc_id string, rank int")
     four = exact.filter("rank <= 4").withColumn("nprobe", F.lit(1))
