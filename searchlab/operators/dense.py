@@ -20,7 +20,7 @@ from searchlab.operators.topk import SCORE_DIGITS, rank_top_k
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
-ALL = 0  # the only cell of an exact search
+PRODUCT_NUMBERS = 8 * 1024 * 1024  # scores a task holds at a time
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -75,6 +75,17 @@ class RunningTopK:
         )
 
 
+def score_rows(
+    best: RunningTopK, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray, positions
+) -> None:
+    """Offer ``rows`` to the queries at ``positions``, a bounded product at a time."""
+    step = max(1, PRODUCT_NUMBERS // max(len(rows), 1))
+    for start in range(0, len(positions), step):
+        some = positions[start : start + step]
+        for query, scores in zip(some, inner_products(matrix[some], rows)):
+            best.add(query, scores, ids)
+
+
 def matrix_within(
     df: DataFrame, key_cols: list[str], vec_col: str, limit: int
 ) -> tuple[pa.Table, np.ndarray] | None:
@@ -120,18 +131,14 @@ def search_with_broadcast(
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows = to_matrix(batch.column(1))
             if routes is None:
-                products = inner_products(rows, matrix)
-                for query in range(len(matrix)):
-                    best.add(query, products[:, query], ids)
+                score_rows(best, ids, rows, matrix, np.arange(len(matrix)))
                 continue
             cells = batch.column(2).to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
                 visitors = routes.get(int(cell))
                 if visitors is not None:
                     inside = cells == cell
-                    products = inner_products(rows[inside], matrix[visitors])
-                    for column, query in enumerate(visitors):
-                        best.add(query, products[:, column], ids[inside])
+                    score_rows(best, ids[inside], rows[inside], matrix, visitors)
         if doc_field is not None:
             yield from best.table(keys, doc_field).to_batches()
 
@@ -150,24 +157,31 @@ def search_in_blocks(
     query_vec: str,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Both sides carry a ``cell``; per cell, blocks of vectors meet blocks of queries.
+    """Blocks of vectors meet blocks of queries, each pair in a task of its own.
 
-    A cell is cut by hash into as many blocks as its size asks for, so a cell that
-    holds a large share of all rows becomes many tasks.
+    With a ``cell`` column on both sides only the blocks of one cell meet. A cell,
+    or the whole table without cells, is cut by hash into as many blocks as its size
+    asks for, so a cell that holds a large share of all rows becomes many tasks.
     """
 
-    def with_blocks(df: DataFrame, vec: str, name: str) -> DataFrame:
+    def number_of_blocks(df: DataFrame, vec: str, name: str) -> DataFrame:
+        grouped = df.groupBy(*[c for c in df.columns if c == "cell"])
+        size = F.count("*") * F.coalesce(F.max(F.size(vec)), F.lit(0)) * 8
+        blocks = F.greatest(F.ceil(size / F.lit(block_bytes)), F.lit(1))
+        return grouped.agg(blocks.cast("int").alias(name))
+
+    per_side = number_of_blocks(vectors, vec_col, "_v"), number_of_blocks(queries, query_vec, "_q")
+    if "cell" in vectors.columns:
         # One row per cell; the number of cells is a bounded parameter.
-        return df.groupBy("cell").agg(
-            F.ceil(F.count("*") * F.max(F.size(vec)) * 8 / F.lit(block_bytes))
-            .cast("int")
-            .alias(name)
+        blocks = F.broadcast(per_side[0].join(per_side[1], "cell"))
+        vectors, queries = vectors.join(blocks, "cell"), queries.join(blocks, "cell")
+    else:
+        v, q = (side.first()[0] for side in per_side)
+        vectors, queries = (
+            df.withColumns({"cell": F.lit(0), "_v": F.lit(v), "_q": F.lit(q)})
+            for df in (vectors, queries)
         )
 
-    blocks = F.broadcast(
-        with_blocks(vectors, vec_col, "_v").join(with_blocks(queries, query_vec, "_q"), "cell")
-    )
-
     def block_of(columns: list[str], count: str):
         return F.pmod(F.xxhash64(*columns), F.col(count)).cast("int")
 
@@ -175,14 +189,12 @@ def search_in_blocks(
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     left = (
-        vectors.join(blocks, "cell")
-        .withColumn("_vb", block_of([doc_col], "_v"))
+        vectors.withColumn("_vb", block_of([doc_col], "_v"))
         .withColumn("_qb", every("_q"))
         .select("cell", "_vb", "_qb", doc_col, vec_col)
     )
     right = (
-        queries.join(blocks, "cell")
-        .withColumn("_qb", block_of(query_cols, "_q"))
+        queries.withColumn("_qb", block_of(query_cols, "_q"))
         .withColumn("_vb", every("_v"))
         .select("cell", "_vb", "_qb", *query_cols, F.col(query_vec).alias("_query_vec"))
     )
@@ -190,10 +202,8 @@ def search_in_blocks(
     def multiply(docs: pa.Table, asked: pa.Table) -> pa.Table:
         best = RunningTopK(asked.num_rows, k)
         if docs.num_rows and asked.num_rows:
-            ids = docs[doc_col].to_numpy()
-            products = inner_products(to_matrix(docs[vec_col]), to_matrix(asked["_query_vec"]))
-            for query in range(asked.num_rows):
-                best.add(query, products[:, query], ids)
+            rows, matrix = to_matrix(docs[vec_col]), to_matrix(asked["_query_vec"])
+            score_rows(best, docs[doc_col].to_numpy(), rows, matrix, np.arange(len(matrix)))
         return best.table(asked.select(query_cols), docs.schema.field(doc_col))
 
     group = ["cell", "_vb", "_qb"]
@@ -219,8 +229,8 @@ def exact_top_k(
         scored = search_with_broadcast(vectors, *fetched, schema, k, doc_col, vec_col)
     else:
         scored = search_in_blocks(
-            vectors.withColumn("cell", F.lit(ALL)),
-            queries.withColumn("cell", F.lit(ALL)),
+            vectors.select(doc_col, vec_col),
+            queries.select(*query_cols, query_vec),
             schema, k, doc_col, vec_col, query_cols, query_vec, block_bytes,
         )
     return rank_top_k(scored, k, query_cols, doc_col)

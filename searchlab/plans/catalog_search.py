@@ -87,8 +87,9 @@ def bm25_run(spark: SparkSession, sf: str) -> DataFrame:
 def with_metadata(
     run: DataFrame, asked: DataFrame, corpus: DataFrame, columns: list[str]
 ) -> DataFrame:
-    """Run + query and document columns; a staged run is the small side."""
-    return run.join(asked, "query_id").join(corpus.select("doc_id", *columns), "doc_id")
+    """Run + document and query columns. The staged run meets the corpus first: its
+    known size lets it be broadcast, so the corpus is not shuffled."""
+    return corpus.select("doc_id", *columns).join(run, "doc_id").join(asked, "query_id")
 
 
 # --- vectors ----------------------------------------------------------------

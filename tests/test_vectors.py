@@ -70,6 +70,13 @@ def test_blocked_form_is_the_same(frames, data, block_bytes):
     close(lists(found), brute(*data, 10))
 
 
+def test_bounded_products_give_the_same(frames, data, monkeypatch):
+    from searchlab.operators import dense
+
+    monkeypatch.setattr(dense, "PRODUCT_NUMBERS", 200)
+    close(lists(exact_top_k(*frames, k=10)), brute(*data, 10))
+
+
 def test_result_does_not_depend_on_partitions(frames):
     vectors, queries = frames
     one = lists(exact_top_k(vectors.coalesce(1), queries))
