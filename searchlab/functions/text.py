@@ -14,11 +14,9 @@ TAG_PATTERN = r"<[^>]+>"
 CONTROL_PATTERN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 QUERY_TOKEN_PATTERN = r"[A-Za-z0-9]+"
 DOCUMENT_TOKEN_PATTERN = r"[\p{L}\p{N}\p{Co}]+"
-# Unicode white space, written out because Java's and RE2's \s are ASCII-only.
-SPACE_CLASS = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Unicode white space: Java's \s needs (?U) and leaves out four separators.
+SPACE_PATTERN = r"(?U)[\s\x1c-\x1f]+"
+WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
 PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "query: "
 UNKNOWN_GROUP = "unknown"
@@ -57,7 +55,7 @@ def strip_markup(text: Column) -> Column:
     """Native part of the cleaning: tags, control characters, white space."""
     text = F.regexp_replace(text, TAG_PATTERN, " ")
     text = F.regexp_replace(text, CONTROL_PATTERN, " ")
-    return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(text, SPACE_PATTERN, " "))
 
 
 def clean_text(text: Column) -> Column:
@@ -97,4 +95,4 @@ def document_tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for an empty text."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
+    return F.regexp_count(text, F.lit(WORD_PATTERN))

@@ -6,12 +6,17 @@ from searchlab.functions.text import (
     DOCUMENT_TOKEN_PATTERN,
     FOLD_FROM,
     FOLD_TO,
-    SPACE_CLASS,
 )
 from searchlab.operators.encode import DIMENSION
 from searchlab.operators.sampling import RARE_LIMIT, SEED
 from searchlab.plans.views import CELLS, HEAD, POOL_DEPTH, POOL_LIMIT, PROBES, cells_label
 
+# Unicode white space written out: \s is ASCII-only in this engine.
+SPACE_CLASS = (
+    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
 
 def tokens(text: str) -> str:
     return (

@@ -17,14 +17,14 @@ SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a local one only in local mode."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="searchlab-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="searchlab-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def new_location(spark: SparkSession, name: str) -> str:
