@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GRADES = (0.0, 1.0, 2.0, 3.0)
 
@@ -153,17 +154,27 @@ def vector_report(
     )
 
 
-def write_manifest(df: DataFrame, location: str, **facts) -> None:
+def write_manifest(spark: SparkSession, location: str, **facts) -> None:
     """Facts about a saved artefact next to it."""
-    record = json.dumps({"rows": df.count(), **facts}, sort_keys=True)
-    df.sparkSession.createDataFrame([(record,)], "manifest string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(f"{location}.manifest")
+    record = json.dumps(facts, sort_keys=True)
+    table = spark.createDataFrame([(record,)], "manifest string").coalesce(1)
+    table.write.mode("overwrite").text(f"{location}.manifest")
 
 
-def require_fresh(spark, location: str, **expected) -> None:
-    """Refuse to reuse an artefact that was made from something else."""
-    stored = json.loads(spark.read.text(f"{location}.manifest").first()[0])
+def stored_facts(spark: SparkSession, location: str) -> dict | None:
+    """Facts of a saved artefact; None when there is none."""
+    try:
+        return json.loads(spark.read.text(f"{location}.manifest").first()[0])
+    except AnalysisException:
+        return None
+
+
+def reusable(spark: SparkSession, location: str, rebuild: bool = False, **expected) -> bool:
+    """Whether the artefact is there and fits; one made from something else raises."""
+    stored = None if rebuild else stored_facts(spark, location)
+    if stored is None:
+        return False
     stale = {k: (stored.get(k), v) for k, v in expected.items() if stored.get(k) != v}
     if stale:
-        raise ValueError(f"stale artefact at {location}: {stale}")
+        raise ValueError(f"stale artefact at {location}, rebuild it: {stale}")
+    return True

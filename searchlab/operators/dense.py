@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from searchlab.operators.topk import SCORE_DIGITS, rank_top_k
+from searchlab.sources.staging import stage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -172,8 +173,8 @@ def search_in_blocks(
 
     per_side = number_of_blocks(vectors, vec_col, "_v"), number_of_blocks(queries, query_vec, "_q")
     if "cell" in vectors.columns:
-        # One row per cell; the number of cells is a bounded parameter.
-        blocks = F.broadcast(per_side[0].join(per_side[1], "cell"))
+        # One row per cell, staged so that its size decides how it is joined.
+        blocks = stage(per_side[0].join(per_side[1], "cell"), "cell_blocks")
         vectors, queries = vectors.join(blocks, "cell"), queries.join(blocks, "cell")
     else:
         v, q = (side.first()[0] for side in per_side)

@@ -23,7 +23,9 @@ def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
-def build_postings(corpus: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+def build_postings(
+    corpus: DataFrame, doc_col: str = "doc_id", fields: dict[str, float] = FIELD_WEIGHTS
+) -> DataFrame:
     """``(doc_id, doc_len, term, wtf, tf)``: one row per document and term.
 
     ``wtf`` is the term frequency weighted by field, ``doc_len`` the unweighted
@@ -31,21 +33,21 @@ def build_postings(corpus: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     they are cut up: that is the only shuffle, the counting below needs none, and
     the text is several times smaller than its postings.
     """
-    tokens = corpus.select(doc_col, *FIELD_WEIGHTS).repartition(doc_col).select(
-        doc_col, *[document_tokens(F.coalesce(f, F.lit(""))).alias(f) for f in FIELD_WEIGHTS]
+    tokens = corpus.select(doc_col, *fields).repartition(doc_col).select(
+        doc_col, *[document_tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields]
     )
-    lengths = [F.size(f) for f in FIELD_WEIGHTS]
-    fields = F.array(
+    lengths = [F.size(f) for f in fields]
+    weighted = F.array(
         *[
-            F.struct(F.lit(weight).alias("weight"), F.col(field).alias("terms"))
-            for field, weight in FIELD_WEIGHTS.items()
+            F.struct(F.lit(float(weight)).alias("weight"), F.col(field).alias("terms"))
+            for field, weight in fields.items()
         ]
     )
     return (
         tokens.select(
             doc_col,
             sum(lengths[1:], lengths[0]).cast("long").alias("doc_len"),
-            F.explode(fields).alias("field"),
+            F.explode(weighted).alias("field"),
         )
         .select(
             doc_col,
@@ -78,16 +80,17 @@ def write_index(
     location: str | None = None,
     doc_col: str = "doc_id",
     buckets: int = TERM_BUCKETS,
+    fields: dict[str, float] = FIELD_WEIGHTS,
 ) -> LexicalIndex:
     """Tokenise once and write the index; every later search only reads it.
 
-    ``rebalance`` splits the postings of a very common term over many files and
+    More ``buckets`` let a search skip more of a large index. ``rebalance`` splits the postings of a very common term over many files and
     merges the buckets of rare ones.
     """
     spark = corpus.sparkSession
     location = location or new_location(spark, "lexical_index")
     (
-        build_postings(corpus, doc_col)
+        build_postings(corpus, doc_col, fields)
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
         .hint("rebalance", "bucket")
         .write.mode("overwrite")

@@ -23,6 +23,11 @@ def write_run(run: DataFrame, path: str, as_csv: bool = False) -> None:
         run.write.mode("overwrite").partitionBy("system").parquet(path)
 
 
+def write_table(df: DataFrame, path: str, order: list[str]) -> None:
+    """Small report as CSV in a stated order."""
+    df.orderBy(*order).write.mode("overwrite").csv(path, header=True)
+
+
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
     """One record per system or parameter value."""
     metrics.write.mode("overwrite").json(path)

@@ -285,7 +285,9 @@ def test_vector_report(spark):
 
 def test_manifest_refuses_stale_artefacts(spark, tmp_path):
     where = str(tmp_path / "vectors")
-    checks.write_manifest(spark.range(5), where, dimension=64)
-    checks.require_fresh(spark, where, rows=5, dimension=64)
+    assert not checks.reusable(spark, where, documents=5)
+    checks.write_manifest(spark, where, documents=5, dimension=64)
+    assert checks.reusable(spark, where, documents=5, dimension=64)
+    assert not checks.reusable(spark, where, rebuild=True, documents=6)
     with pytest.raises(ValueError, match="stale"):
-        checks.require_fresh(spark, where, rows=6)
+        checks.reusable(spark, where, documents=6)
