@@ -282,7 +282,8 @@ def recall_against_exact(
     settings = list(setting_cols)
     truth = exact.filter(F.col("rank") <= k).select(query_col, doc_col)
     found = approximate.filter(F.col("rank") <= k).select(*settings, query_col, doc_col)
-    hits = found.join(truth, [query_col, doc_col]).groupBy(*settings).agg(F.count("*").alias("hits"))
+    overlap = found.join(truth, [query_col, doc_col])
+    hits = overlap.groupBy(*settings).agg(F.count("*").alias("hits"))
     asked = exact.agg(F.count_distinct(query_col)).scalar()
     return (
         approximate.select(*settings)

@@ -84,8 +84,8 @@ def write_index(
 ) -> LexicalIndex:
     """Tokenise once and write the index; every later search only reads it.
 
-    More ``buckets`` let a search skip more of a large index. ``rebalance`` splits the postings of a very common term over many files and
-    merges the buckets of rare ones.
+    More ``buckets`` let a search skip more of a large index. ``rebalance`` splits the
+    postings of a very common term over many files and merges the buckets of rare ones.
     """
     spark = corpus.sparkSession
     location = location or new_location(spark, "lexical_index")

@@ -174,11 +174,9 @@ def save_projection(spark: SparkSession, projection: Projection, location: str)
     spark.createDataFrame([(projection.mean.tolist(),)], "mean array<double>").write.mode(
         "overwrite"
     ).parquet(f"{location}/mean")
-    ratios = projection.ratios if projection.ratios is not None else [None] * len(projection.components)
-    rows = [
-        (i, c.tolist(), None if r is None else float(r))
-        for i, (c, r) in enumerate(zip(projection.components, ratios), start=1)
-    ]
+    components = projection.components
+    ratios = [None] * len(components) if projection.ratios is None else projection.ratios.tolist()
+    rows = [(i, c.tolist(), r) for i, (c, r) in enumerate(zip(components, ratios), start=1)]
     spark.createDataFrame(
         rows, "component int, vector array<double>, explained_variance_ratio double"
     ).write.mode("overwrite").parquet(f"{location}/components")

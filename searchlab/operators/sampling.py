@@ -155,7 +155,8 @@ def stratified_sample(
         "stratum_ends",
     )
     last = _last_digests(binned, ends, stratum)
-    lookup = stage(ends.select(stratum, "merged").join(last, "merged").drop("merged"), "last_hashes")
+    lookup = ends.select(stratum, "merged").join(last, "merged").drop("merged")
+    lookup = stage(lookup, "last_hashes")
     return (
         df.join(lookup, stratum)
         .filter(key_hash(*key, seed=seed) <= F.col("_last_digest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from searchlab.functions.text import PASSAGE_PREFIX
@@ -138,7 +139,7 @@ def run_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
                round(list_sum(unit), 6) AS unit_sum FROM u""",
 )
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    means = label_means(spark, sf).withColumn("unit", unit_vector(F.col("mean")))
+    means = views.label_means(spark, sf).withColumn("unit", unit_vector(F.col("mean")))
     total = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x)
     return rounded(
         means.select(
@@ -151,15 +152,6 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def label_means(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    features = array_to_vector(F.col("embedding").cast("array<double>"))
-    grouped = views.table(spark, sf, "embeddings").groupBy("label")
-    return grouped.agg(vector_to_array(Summarizer.mean(features)).alias("mean"))
-
-
 @query(
     "validate_vectors",
     """SELECT 'null_vector' AS rule, count(*) - count(embedding) AS n FROM embeddings
@@ -302,8 +294,6 @@ def reduced_sql(vector: str) -> str:
 
 def label_basis(spark: SparkSession, sf: str) -> reduction.Projection:
     """Label means as axes: a projection that SQL can repeat."""
-    import numpy as np
-
     rows = views.vec_queries(spark, sf).orderBy("qlabel").select("qvec").collect()
     mean = reduction.mean_vector(views.embeddings(spark, sf))
     return reduction.Projection(np.array(mean), np.array([r["qvec"] for r in rows]))

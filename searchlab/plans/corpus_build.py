@@ -24,7 +24,10 @@ CONTENT_KEY = ["job_title", "company", "job_location", "job_summary"]
 
 
 def clean_postings(
-    jobs: DataFrame, link: str = "job_link", title: str = "job_title", metadata: list[str] = METADATA
+    jobs: DataFrame,
+    link: str = "job_link",
+    title: str = "job_title",
+    metadata: list[str] = METADATA,
 ) -> DataFrame:
     """Distinct postings with a link and a title; text columns cleaned.
 

@@ -63,15 +63,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per label: its mean vector, scaled to unit length."""
+def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = array_to_vector(F.col("embedding").cast("array<double>"))
-    means = (
+    return (
         table(spark, sf_dir, "embeddings")
         .groupBy("label")
         .agg(vector_to_array(Summarizer.mean(features)).alias("mean"))
     )
-    return means.select(
+
+
+def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per label: its mean vector, scaled to unit length."""
+    return label_means(spark, sf_dir).select(
         F.concat(F.lit("V"), F.col("label")).alias("query_id"),
         unit_vector(F.col("mean")).alias("qvec"),
         F.col("label").alias("qlabel"),

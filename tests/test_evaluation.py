@@ -81,6 +81,13 @@ def test_ideal_list_scores_one(spark):
     assert math.isclose(row["ndcg_at_10"], 1.0) and row["judgement_coverage_at_10"] == 1.0
 
 
+def test_no_run_rows_at_all(spark):
+    qrels = make_qrels(spark, {"a": 3})
+    empty = make_run(spark, ["a"]).limit(0)
+    assert evaluate.metrics_per_query(empty, qrels).count() == 0
+    assert one(evaluate.metrics_per_query(empty, qrels, systems=["s"]))["ndcg_at_10"] == 0
+
+
 def test_only_zero_grades(spark):
     row = one(evaluate.metrics_per_query(make_run(spark, ["a"]), make_qrels(spark, {"a": 0})))
     assert row["ndcg_at_10"] == 0 and row["recall_at_10"] == 0

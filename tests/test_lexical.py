@@ -61,6 +61,18 @@ def test_top_k_breaks_ties_by_document(spark):
     assert sorted((r["rank"], r["doc_id"]) for r in rows) == [(i + 1, i) for i in range(5)]
 
 
+def test_documents_without_tokens_count(spark):
+    schema = "doc_id bigint, title string, skills string, summary string"
+    docs = spark.createDataFrame([(1, "a b", "", ""), (2, "", "--", ""), (3, None, None, None)], schema)
+    index = lexical.write_index(docs)
+    assert tuple(index.totals.select("documents", "tokens").first()) == (3, 2)
+    queries = spark.createDataFrame([("q", "a a"), ("none", "zzz")], "query_id string, query string")
+    row = lexical.search_bm25(index, queries).collect()
+    assert [(r["query_id"], r["doc_id"]) for r in row] == [("q", 1)]
+    once = spark.createDataFrame([("q", "a")], "query_id string, query string")
+    assert abs(row[0]["score"] - 2 * lexical.search_bm25(index, once).first()["score"]) < 2e-6
+
+
 def test_saved_index_is_pruned_by_bucket(spark, tmp_path):
     docs = spark.createDataFrame(
         random_corpus(3), "doc_id bigint, title string, skills string, summary string"

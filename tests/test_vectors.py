@@ -77,6 +77,27 @@ def test_bounded_products_give_the_same(frames, data, monkeypatch):
     close(lists(exact_top_k(*frames, k=10)), brute(*data, 10))
 
 
+def test_empty_sides(frames):
+    vectors, queries = frames
+    assert exact_top_k(vectors, queries.limit(0)).count() == 0
+    assert exact_top_k(vectors.limit(0), queries).count() == 0
+    blocked = exact_top_k(vectors.limit(0), queries, broadcast_bytes=0)
+    assert blocked.count() == 0
+
+
+def test_fewer_vectors_than_k(frames):
+    vectors, queries = frames
+    assert exact_top_k(vectors.filter("doc_id < 'd0003'"), queries).count() == 27
+
+
+def test_vectors_of_different_width_are_refused(spark, frames):
+    ragged = spark.createDataFrame(
+        [("a", [1.0] * DIM), ("b", [1.0])], "doc_id string, embedding array<double>"
+    ).coalesce(1)
+    with pytest.raises(Exception, match="different dimensions"):
+        exact_top_k(ragged, frames[1]).collect()
+
+
 def test_result_does_not_depend_on_partitions(frames):
     vectors, queries = frames
     one = lists(exact_top_k(vectors.coalesce(1), queries))
