@@ -1,10 +1,11 @@
 """Strata, proportional allocation and exact-size hash samples.
 
 A sample of n rows is the n rows with the smallest ``md5(seed | key)``: exact in
-size for a unique key, repeatable, independent of partitioning. The n-th smallest
-hash is found on the key columns alone: counting the leading hex digits tells in
-which of 65,536 bins it lies, and only this bin is ordered. The rows themselves are
-then taken by one comparison with that hash; they are neither shuffled nor sorted.
+size for a unique key, repeatable, independent of partitioning. Hashes are uniform,
+so the n-th smallest of N lies near ``n / N`` of their range: only hashes in a narrow
+bracket around it are ordered, those below it are counted. This reads the key columns
+alone. The rows are then taken by one comparison with the n-th hash; they are neither
+shuffled nor sorted.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from searchlab.sources.staging import stage
 
 SEED = 42
 BIN_DIGITS = 4  # 16 ** 4 = 65,536 bins
+POSITION_DIGITS = 13  # 52 bits, exact in a double
+PAST_ALL_HASHES = "g"  # sorts after every hexadecimal text
+# Half-widths of the bracket in standard deviations; the last one is everything.
+BRACKETS = (8.0, 100.0, float("inf"))
 RARE_LIMIT = 20
 RARE_STRATUM = "rare"
 
@@ -81,36 +86,39 @@ def allocate(sizes: DataFrame, sample_size: int, stratum: str = "stratum") -> Da
     )
 
 
-def _cut_points(bins: DataFrame, quotas: DataFrame, stratum: str) -> DataFrame:
-    """Per stratum: the last bin that is needed and how many rows it gives."""
-    running = Window.partitionBy(stratum).orderBy("_bin")
-    return (
-        bins.join(quotas.select(stratum, "n"), stratum)
-        .withColumn("_before", F.sum("_rows").over(running) - F.col("_rows"))
-        .filter(F.col("_before") < F.col("n"))
-        .groupBy(stratum)
-        .agg(
-            F.max("_bin").alias("_last_bin"),
-            F.max_by(F.col("n") - F.col("_before"), "_bin").alias("_from_last"),
-        )
-    )
+def _hash_at(position: Column) -> Column:
+    """Leading digits of the hash at a place of the hash range, 0 to 1."""
+    number = F.floor(position * F.lit(float(16**POSITION_DIGITS)))
+    digits = F.lpad(F.lower(F.hex(number)), POSITION_DIGITS, "0")
+    return F.when(position <= 0, "").when(position >= 1, PAST_ALL_HASHES).otherwise(digits)
 
 
-def _digests(df: DataFrame, key: list[str], seed: int, *others: str) -> DataFrame:
-    return df.select(*others, key_hash(*key, seed=seed).alias("_digest")).withColumn(
-        "_bin", hash_bin(F.col("_digest"))
-    )
+def _with_bracket(quotas: DataFrame, deviations: float) -> DataFrame:
+    """Adds ``_low`` and ``_high``, between which the n-th hash is expected."""
+    if deviations == float("inf"):
+        return quotas.withColumns({"_low": F.lit(""), "_high": F.lit(PAST_ALL_HASHES)})
+    share = F.col("n") / F.col("size")
+    spread = F.sqrt(share * (1 - share) / F.col("size")) + F.lit(1.0) / F.col("size")
+    reach = F.lit(deviations) * spread
+    return quotas.withColumns({"_low": _hash_at(share - reach), "_high": _hash_at(share + reach)})
 
 
-def _last_digests(binned: DataFrame, ends: DataFrame, stratum: str) -> DataFrame:
-    """Per merged stratum: the largest hash that belongs to the sample."""
-    inside = Window.partitionBy("merged").orderBy("_digest")
+def _nth_digest(digests: DataFrame, group: list[str]) -> DataFrame:
+    """``(group, _last_digest)`` from ``(group, _digest, n, _low, _high)``.
+
+    Everything under the bracket is one row per task and group. A group whose n-th
+    hash lies outside its bracket is left out.
+    """
+    upto = Window.partitionBy(*group).orderBy("_inside")
+    inside = F.when(F.col("_digest") >= F.col("_low"), F.col("_digest"))
     return (
-        binned.join(ends, stratum)
-        .filter(F.col("_bin") == F.col("_last_bin"))
-        .withColumn("_place", F.row_number().over(inside))
-        .filter(F.col("_place") == F.col("_from_last"))
-        .select("merged", F.col("_digest").alias("_last_digest"))
+        digests.filter(F.col("_digest") <= F.col("_high"))
+        .groupBy(*group, "n", inside.alias("_inside"))
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_upto", F.sum("_rows").over(upto))  # the row without hash is first
+        .filter(F.col("_inside").isNotNull())
+        .filter((F.col("_upto") >= F.col("n")) & (F.col("_upto") - F.col("_rows") < F.col("n")))
+        .select(*group, F.col("_inside").alias("_last_digest"))
     )
 
 
@@ -125,16 +133,9 @@ def stratified_sample(
     """Proportional stratified sample of exactly ``sample_size`` rows.
 
     ``key`` must identify a row. The whole table comes back when it is not larger
-    than the sample. Small tables are staged: bin counts per stratum, the bin and
-    the hash at which each stratum ends.
+    than the sample. Two small tables with one row per stratum are staged.
     """
-    binned = _digests(df, key, seed, stratum)
-    bins = stage(
-        binned.groupBy(stratum, "_bin").agg(F.count("*").alias("_rows")), "stratum_bins"
-    )
-    labels = rare_labels(
-        bins.groupBy(stratum).agg(F.sum("_rows").alias("size")), stratum, rare_limit
-    )
+    labels = stage(rare_labels(strata_counts(df, stratum), stratum, rare_limit), "strata")
     sizes = labels.groupBy(F.col("merged").alias(stratum)).agg(F.sum("size").alias("size"))
     rows, groups = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if sample_size >= rows:
@@ -142,23 +143,18 @@ def stratified_sample(
     if sample_size < groups:
         raise ValueError(f"{groups} strata need a sample of at least {groups} rows")
 
-    merged_bins = (
-        bins.join(labels.select(stratum, "merged"), stratum)
-        .groupBy(F.col("merged").alias(stratum), "_bin")
-        .agg(F.sum("_rows").alias("_rows"))
-    )
-    ends = _cut_points(merged_bins, allocate(sizes, sample_size, stratum), stratum)
-    ends = stage(
-        labels.select(stratum, "merged").join(
-            ends.withColumnRenamed(stratum, "merged"), "merged"
-        ),
-        "stratum_ends",
-    )
-    last = _last_digests(binned, ends, stratum)
-    lookup = ends.select(stratum, "merged").join(last, "merged").drop("merged")
-    lookup = stage(lookup, "last_hashes")
+    quotas = allocate(sizes, sample_size, stratum).withColumnRenamed(stratum, "merged")
+    quotas = stage(labels.select(stratum, "merged").join(quotas, "merged"), "quotas")
+    digests = df.select(stratum, key_hash(*key, seed=seed).alias("_digest"))
+    for deviations in BRACKETS:
+        bounded = digests.join(_with_bracket(quotas, deviations), stratum)
+        found = _nth_digest(bounded, ["merged"])
+        # Staged, so that its known size keeps the rows below from being shuffled.
+        ends = stage(quotas.select(stratum, "merged").join(found, "merged"), "last_digests")
+        if ends.count() == quotas.count():
+            break
     return (
-        df.join(lookup, stratum)
+        df.join(ends.drop("merged"), stratum)
         .filter(key_hash(*key, seed=seed) <= F.col("_last_digest"))
         .select(*df.columns)
     )
@@ -170,26 +166,18 @@ def fixed_size_sample(
     """Exactly ``n`` rows; fewer only with ``allow_fewer``."""
     if n <= 0:
         raise ValueError("n must be positive")
-    binned = _digests(df, key, seed)
-    whole = Window.orderBy("_bin")  # at most 65,536 rows
-    bins = (
-        binned.groupBy("_bin")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(whole))
-    )
-    rows, last_bin, before = bins.agg(
-        F.coalesce(F.max("_upto"), F.lit(0)),
-        F.min(F.when(F.col("_upto") >= n, F.col("_bin"))),
-        F.max(F.when(F.col("_upto") < n, F.col("_upto"))),
-    ).first()
+    rows = df.count()
     if rows < n and not allow_fewer:
         raise ValueError(f"asked for {n} rows, only {rows} are there")
     if rows <= n:
         return df
-    last_digest = (
-        binned.filter(F.col("_bin") == last_bin)
-        .withColumn("_place", F.row_number().over(Window.partitionBy("_bin").orderBy("_digest")))
-        .filter(F.col("_place") == n - (before or 0))
-        .first()["_digest"]
-    )
-    return df.filter(key_hash(*key, seed=seed) <= last_digest)
+    digests = df.select(
+        key_hash(*key, seed=seed).alias("_digest"),
+        F.lit(rows).alias("size"),
+        F.lit(n).alias("n"),
+    )
+    for deviations in BRACKETS:
+        last = _nth_digest(_with_bracket(digests, deviations), []).first()
+        if last is not None:
+            break
+    return df.filter(key_hash(*key, seed=seed) <= last["_last_digest"])

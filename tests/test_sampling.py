@@ -87,6 +87,15 @@ def test_fixed_size_sample(rows, n):
     assert sorted(got) == sorted(keys[:n])
 
 
+@pytest.mark.parametrize("brackets", [(1e-9, float("inf")), (float("inf"),)])
+def test_missed_bracket_is_widened(spark, rows, monkeypatch, brackets):
+    want = {r["key"] for r in s.stratified_sample(rows, 700, ["key"]).collect()}
+    few = {r["key"] for r in s.fixed_size_sample(rows, 50, ["key"]).collect()}
+    monkeypatch.setattr(s, "BRACKETS", brackets)
+    assert {r["key"] for r in s.stratified_sample(rows, 700, ["key"]).collect()} == want
+    assert {r["key"] for r in s.fixed_size_sample(rows, 50, ["key"]).collect()} == few
+
+
 def test_fixed_size_sample_too_few(rows):
     assert s.fixed_size_sample(rows, 3000, ["key"]).count() == 3000
     assert s.fixed_size_sample(rows, 9999, ["key"], allow_fewer=True).count() == 3000
