@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from searchlab.functions.text import PASSAGE_PREFIX
-from searchlab.functions.vectors import l2_norm, unit_vector
+from searchlab.functions.vectors import l2_norm, leading, unit_vector
 from searchlab.operators import ann, checks, lexical, reduction
 from searchlab.operators.dense import exact_top_k
 from searchlab.operators.encode import encode_texts
@@ -132,24 +132,28 @@ def run_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "l2_normalize",
-    f"""WITH {v.LABEL_MEANS.replace("FROM vectors", "FROM embeddings").strip()},
-        u AS (SELECT label, mean, {v.unit("mean")} AS unit FROM label_means)
-        SELECT label, round(sqrt(list_inner_product(mean, mean)), 6) AS norm,
+    f"""WITH {v.VECTORS},
+        heads AS (SELECT doc_id, embedding[1:{views.HEAD}] AS head FROM vectors),
+        units AS (SELECT doc_id, head, {v.unit("head")} AS unit FROM heads)
+        SELECT doc_id, round(sqrt(list_inner_product(head, head)), 6) AS norm,
                round(sqrt(list_inner_product(unit, unit)), 6) AS unit_norm,
-               round(list_sum(unit), 6) AS unit_sum FROM u""",
+               round(list_sum(unit), 6) + 0.0 AS unit_sum FROM units""",
 )
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    means = views.label_means(spark, sf).withColumn("unit", unit_vector(F.col("mean")))
+    heads = views.embeddings(spark, sf).select(
+        "doc_id", leading(F.col("embedding"), views.HEAD).alias("head")
+    )
+    units = heads.withColumn("unit", unit_vector(F.col("head")))
     total = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x)
-    return rounded(
-        means.select(
-            "label",
-            l2_norm(F.col("mean")).alias("norm"),
-            l2_norm(F.col("unit")).alias("unit_norm"),
-            total.alias("unit_sum"),
-        ),
-        "norm", "unit_norm", "unit_sum",
-    )
+    measured = units.select(
+        "doc_id",
+        l2_norm(F.col("head")).alias("norm"),
+        l2_norm(F.col("unit")).alias("unit_norm"),
+        total.alias("unit_sum"),
+    )
+    return rounded(measured, "norm", "unit_norm", "unit_sum").withColumn(
+        "unit_sum", F.col("unit_sum") + 0.0
+    )
 
 
 @query(
