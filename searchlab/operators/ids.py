@@ -10,7 +10,7 @@ from searchlab.operators.sampling import SEED, hash_bin, key_hash
 def assign_document_ids(
     df: DataFrame, key: list[str], name: str = "job_id", prefix: str = "JOB_", seed: int = SEED
 ) -> DataFrame:
-    """``JOB_0000001`` upwards, in the order of ``md5(seed | key)``.
+    """``JOB_0000001`` upwards, in the order of ``md5(seed | key)``; ``key`` is unique.
 
     The number is the count of rows in all lower hash bins plus the place inside
     the bin. Both depend on the data only, so a retried task repeats them. The
