@@ -62,7 +62,8 @@ def _split(rows: DataFrame, width: int, level: int) -> DataFrame:
     alone: Column = F.col("members").isNull()
     ended = F.octet_length("bytes") < width
     done = alone | ended
-    result = keyed.join(groups, same, "left").select(
+    # One kind of join at every size: the groups grow with the data.
+    result = keyed.join(groups.hint("merge"), same, "left").select(
         "doc_id", "text_sha256", done.alias("done"),
         F.when(alone, F.col("doc_id")).when(ended, F.col("largest")).alias("keep_id"),
         F.when(alone, F.lit(1).cast("long")).when(ended, F.col("members")).alias("group_size"),
