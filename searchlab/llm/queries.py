@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from searchlab.llm.best_fit import best_fit
 from searchlab.llm.common import table
+from searchlab.llm.minhash import near_duplicates
 from searchlab.llm.packed_ids import packed_matrix
 from searchlab.llm.radix_dedup import exact_groups
 from searchlab.llm.tokens import token_pieces
@@ -38,9 +39,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_id_matrix": op1_packed_id_matrix,
     "op2_radix_dedup": op2_radix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 CHECK_SQL = {"op2_radix_dedup": OP2_SQL}
