@@ -161,7 +161,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int, miss: float)
                 alive, matches = alive[keep], matches[keep]
             yield batch.select([0, 1]).take(pa.array(alive, pa.int64()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b")
+    joined = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "sketch_a", "sketch_b")
     kind = pairs.schema["a"].dataType.simpleString()
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -184,7 +184,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (least + most - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    joined = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "set_a", "set_b")
     kind = pairs.schema["a"].dataType.simpleString()
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -313,7 +313,7 @@ def near_duplicates(
     members = stage(_bucket_members(reps), "buckets")
     needed = members.select("rep").distinct()
     sets = stage(_full_sets(source, needed, words), "full_sets")
-    sketches = features.select(F.col("doc_id").alias("rep"), "sketch").join(needed, "rep", "left_semi")
+    sketches = features.select(F.col("doc_id").alias("rep"), "sketch").join(needed.hint("merge"), "rep", "left_semi")
     sketches = stage(sketches.dropDuplicates(["rep"]), "sketches")
 
     links, labels = [], None
@@ -343,3 +343,13 @@ def near_duplicates(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that a smaller id of their component stands for.
+
+    All columns are kept. Rows with a null id stay, since nothing names them.
+    """
+    found = near_duplicates(docs, words, id_col=id_col, text_col=text_col)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")

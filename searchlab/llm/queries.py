@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from searchlab.llm.best_fit import best_fit
 from searchlab.llm.common import table
+from searchlab.llm.edit_match import benchmark_matches
+from searchlab.llm.html_text import extract_pages
+from searchlab.llm.language import predict_languages, train_network
 from searchlab.llm.minhash import near_duplicates
 from searchlab.llm.packed_ids import packed_matrix
+from searchlab.llm.personal_data import find_personal_data
+from searchlab.llm.quality import quality_scores
 from searchlab.llm.radix_dedup import exact_groups
+from searchlab.llm.token_trees import apply_edits, build_trees, revision
 from searchlab.llm.tokens import token_pieces
+from searchlab.sources.staging import stage
 
 SEQUENCE = 1024
 
@@ -32,6 +39,23 @@ FROM d JOIN g USING (t)
 """
 
 
+def op3_benchmark_edit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_personal_data_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, train_network(docs))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), SEQUENCE, keep_ids=False)
     return best_fit(pieces, ["doc_id", "piece"], SEQUENCE).select(
@@ -39,6 +63,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = stage(build_trees(table(spark, sf_dir, "documents")), "token_trees")
+    return apply_edits(trees, revision())
+
+
+def op9_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -46,7 +79,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_id_matrix": op1_packed_id_matrix,
     "op2_radix_dedup": op2_radix_dedup,
+    "op3_benchmark_edit_match": op3_benchmark_edit_match,
+    "op4_quality_discriminant": op4_quality_discriminant,
+    "op5_personal_data_labelers": op5_personal_data_labelers,
+    "op6_byte_network_language": op6_byte_network_language,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_edit_aware_token_counts": op8_edit_aware_token_counts,
+    "op9_line_block_text": op9_line_block_text,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 CHECK_SQL = {"op2_radix_dedup": OP2_SQL}

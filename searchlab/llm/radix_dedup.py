@@ -77,10 +77,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; a null text counts as empty. Of equal texts
-    the largest id stays (``kept``); null ids lose against others, and where all ids
-    of a group are null, ``keep_id`` is null and none of its rows is ``kept`` unless
-    it is alone. Rows that repeat an id and a text are each listed, with equal
-    results. Other columns are ignored. An empty table gives no rows.
+    the largest id stays (``kept``); null ids lose against others. Where all ids of a
+    group are null, ``keep_id`` is null and its rows, which nothing tells apart, are all
+    ``kept``; so are rows that repeat both the largest id and the text. Other columns are ignored.
+    An empty table gives no rows.
     """
     rows = document_columns(docs, id_col, text_col).select(
         "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
@@ -95,14 +95,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         width, level = width * GROWTH, level + 1
     united = reduce(DataFrame.unionByName, finished)
-    kept = (F.col("doc_id") == F.col("keep_id")) | (F.col("group_size") == 1)
     return united.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that agree in id and
-    text are kept as one."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns; of rows that agree in id
+    and text one is kept."""
+
+    def key(name: str, digest) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col(name).cast("string"), F.lit("null")), digest)
+
+    kept = exact_groups(docs, id_col, text_col).filter("kept")
+    kept = kept.select(key("doc_id", F.col("text_sha256")).alias("_row_key")).hint("merge")
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    rows = docs.withColumn("_row_key", key(id_col, digest))
+    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
