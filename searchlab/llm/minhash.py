@@ -6,8 +6,10 @@
 2. Equal sets are one representative from here on (copies are never paired).
 3. Representatives that agree in a band are candidates. No bucket is expanded into all its
    pairs: in ``PIVOT_ROUNDS`` rounds each one meets one member of the component that leads its
-   bucket; links found tie components together, and only candidates that still are in
-   different components are paired at the end, so that no link between components is lost.
+   bucket, first the most central one; links found tie components together, and only
+   candidates that still are in different components are paired at the end, so that no link
+   between components is lost. Of these, pairs are left out that cannot reach the threshold
+   because too many shingles of one side occur in no other candidate (an exact bound).
 4. A candidate pair compares its hashes batch by batch. After each batch the posterior of
    the similarity (uniform prior) is known from the matches so far; the pair is given up when
    the similarity threshold is reached with a probability below ``MISS``.
@@ -24,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from searchlab.llm.common import document_columns
 from searchlab.llm.components import components
@@ -216,20 +218,30 @@ def _representatives(features: DataFrame) -> DataFrame:
 
 
 def _bucket_members(reps: DataFrame) -> DataFrame:
-    """(key, rep) of buckets with two or more representatives."""
+    """(key, rep, n) of buckets with n = two or more representatives."""
     entries = reps.select("rep", F.posexplode("bands").alias("band", "hash")).select(
         "rep", F.xxhash64("band", "hash").alias("key")
     )
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return entries.join(shared.hint("merge"), "key")
 
 
+def _central(members: DataFrame) -> DataFrame:
+    """Members (key, rep, centre): how many representatives are met in all buckets of one.
+
+    The text that others were copied from shares bands with all of them; a copy shares
+    fewer, because its own changes break some of its bands.
+    """
+    sums = members.groupBy("rep").agg(F.sum("n").alias("centre"))
+    return members.select("key", "rep").join(sums.hint("merge"), "rep")
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members with their component so far (``comp``)."""
     if labels is None:
         return members.withColumn("comp", F.col("rep"))
     return members.join(labels, members["rep"] == labels["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("comp")
+        "key", "rep", "centre", F.coalesce("component", "rep").alias("comp")
     )
 
 
@@ -247,20 +259,22 @@ def _mixed(members: DataFrame) -> DataFrame:
 def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
     """One pair for each representative outside the lead of its buckets.
 
-    A bucket's pivot is a member of its leading component, chosen by a hash that changes
-    with the round; of the pivots offered, the one that shares most buckets is met.
+    A bucket's pivot is a member of its leading component: the most central one in the first round,
+    then one chosen by a hash that changes with the round. Of the pivots offered, a
+    representative meets the one that shares most buckets with it.
     """
     lead = _mixed(members)
+    order = F.struct((F.col("centre") if not number else F.xxhash64("rep", F.lit(number))).alias("h"), "rep")
     pivots = (
         members.join(lead.hint("merge"), "key")
-        .filter("comp = lead")
+        .filter("comp = lead" if number else "true")
         .groupBy("key")
-        .agg(F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("h"), F.col("rep").alias("rep"))).alias("p"), F.first("lead").alias("lead"))
+        .agg(F.max(order).alias("p"), F.max("lead").alias("lead"))
         .select("key", F.col("p.rep").alias("pivot"), "lead")
     )
     offers = (
         members.join(pivots.hint("merge"), "key")
-        .filter("comp != lead")
+        .filter("comp != lead and rep != pivot" if number else "rep != pivot")
         .groupBy("rep", "pivot")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -268,18 +282,51 @@ def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
     return best.select(F.col("rep").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """All candidate pairs between different components, each once."""
-    mixed = members.join(_mixed(members).hint("merge"), "key")
-    outside = mixed.filter("comp != lead").select(
-        "key", F.col("rep").alias("a"), F.col("comp").alias("comp_a")
+def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, size, shareable): shingles in all, and those that another of ``members`` has too."""
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, members in zip(batch.column(0), batch.column(1)):
+                hashes = np.frombuffer(members.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rep.as_py()] * len(hashes), batch.schema.field(0).type), pa.array(hashes)], ["rep", "hash"]
+                )
+
+    needed = members.select("rep").distinct()
+    rows = sets.join(needed.hint("merge"), "rep", "left_semi").mapInArrow(run, f"rep {kind}, hash long")
+    seen = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    alone = seen.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = sets.join(needed.hint("merge"), "rep", "left_semi").select("rep", F.floor(F.octet_length("members") / 8).alias("size"))
+    return sizes.join(alone.hint("merge"), "rep", "left").select(
+        "rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shareable")
+    )
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs between different components that can reach the threshold."""
+    mixed = stage(members.join(_mixed(members).hint("merge"), "key").select("key", "rep", "comp", "lead"), "mixed")
+    sizes = _shareable(sets, mixed)
+    # Whatever the partner, the intersection is within the shareable part and the union has all of the set.
+    able = mixed.join(sizes.hint("merge"), "rep").filter(100 * F.col("shareable") >= percent * F.col("size"))
+    able = stage(able, "able")
+    outside = able.filter("comp != lead").select(
+        "key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"),
+        F.col("size").alias("size_a"), F.col("shareable").alias("shareable_a"),
+    )
+    inside = able.select(
+        "key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), "lead",
+        F.col("size").alias("size_b"), F.col("shareable").alias("shareable_b"),
     )
-    inside = mixed.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), "lead")
-    different = (F.col("comp_a") != F.col("comp_b")) & (
-        (F.col("comp_b") == F.col("lead")) | (F.col("a") < F.col("b"))
+    most = F.least("shareable_a", "shareable_b")
+    possible = (
+        (F.col("comp_a") != F.col("comp_b"))
+        & ((F.col("comp_b") == F.col("lead")) | (F.col("a") < F.col("b")))
+        & (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
     )
     return (
-        outside.join(inside, "key").filter(different)
+        outside.hint("merge").join(inside, (outside["key"] == inside["key"]) & possible)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
 
@@ -310,7 +357,7 @@ def near_duplicates(
         sets_seen.filter("rep is not null").select("set_key", "rep").hint("merge"),
         (F.col("doc_id") == F.col("rep")) & (features["set_key"] == sets_seen["set_key"]),
     ).select("rep", "bands", "sketch")
-    members = stage(_bucket_members(reps), "buckets")
+    members = stage(_central(stage(_bucket_members(reps), "buckets")), "members")
     needed = members.select("rep").distinct()
     sets = stage(_full_sets(source, needed, words), "full_sets")
     sketches = features.select(F.col("doc_id").alias("rep"), "sketch").join(needed.hint("merge"), "rep", "left_semi")
@@ -321,7 +368,8 @@ def near_duplicates(
         labelled = _labelled(members, labels)
         if number:
             labelled = stage(labelled, "labelled")
-        pairs = _open_pairs(labelled) if number == PIVOT_ROUNDS else _pivot_pairs(labelled, number)
+        last = number == PIVOT_ROUNDS
+        pairs = _open_pairs(labelled, sets, percent) if last else _pivot_pairs(labelled, number)
         pairs = _plausible(pairs, sketches, percent, miss)
         links.append(stage(_confirmed(pairs, sets, percent), "confirmed"))
         labels = stage(components(reduce(DataFrame.unionByName, links)), "components")
