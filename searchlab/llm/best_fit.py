@@ -85,6 +85,8 @@ def sweep(counts: dict[int, int], capacity: int) -> list[dict]:
 def ranked(items: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, dict[int, int]]:
     """Items with their rank among items of equal length, and the count of each length."""
     order = F.xxhash64(*keys)
+    # Range partitioning reads its input twice, once for the bounds: written first.
+    items = stage(items, f"{name}_input")
     sorted_items = stage(
         items.repartitionByRange(F.desc("length"), order)
         .sortWithinPartitions(F.desc("length"), order, *keys)
