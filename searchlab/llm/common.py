@@ -31,3 +31,11 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     """A table of bounded size from driver values; Spark knows that it is small."""
     text = json.dumps(rows)
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from searchlab.llm.common import document_columns
+from searchlab.llm.common import document_columns, fresh_name
 from searchlab.llm.components import components
 from searchlab.sources.staging import stage
 
@@ -399,5 +399,6 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", te
     All columns are kept. Rows with a null id stay, since nothing names them.
     """
     found = near_duplicates(docs, words, id_col=id_col, text_col=text_col)
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col(name), "left_anti")

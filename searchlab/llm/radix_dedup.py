@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from searchlab.llm.common import document_columns
+from searchlab.llm.common import document_columns, fresh_name
 from searchlab.sources.staging import stage
 
 FIRST = 64
@@ -107,8 +107,9 @@ def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def key(name: str, digest) -> Column:
         return F.concat_ws(":", F.coalesce(F.col(name).cast("string"), F.lit("null")), digest)
 
+    name = fresh_name(docs, "row_key")
     kept = exact_groups(docs, id_col, text_col).filter("kept")
-    kept = kept.select(key("doc_id", F.col("text_sha256")).alias("_row_key")).hint("merge")
+    kept = kept.select(key("doc_id", F.col("text_sha256")).alias(name)).hint("merge")
     digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_row_key", key(id_col, digest))
-    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    rows = docs.withColumn(name, key(id_col, digest))
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
