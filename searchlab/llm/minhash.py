@@ -8,8 +8,9 @@
    pairs: in ``PIVOT_ROUNDS`` rounds each one meets one member of the component that leads its
    bucket, first the most central one; links found tie components together, and only
    candidates that still are in different components are paired at the end, so that no link
-   between components is lost. Of these, pairs are left out that cannot reach the threshold
-   because too many shingles of one side occur in no other candidate (an exact bound).
+   between components is lost. A pair that shares a rare shingle (in at most ``RARE``
+   candidates) is found by it; any other pair shares none of its rare shingles, and is left out where
+   the rest of both sets cannot reach the threshold (an exact bound, no pair is lost).
 4. A candidate pair compares its hashes batch by batch. After each batch the posterior of
    the similarity (uniform prior) is known from the matches so far; the pair is given up when
    the similarity threshold is reached with a probability below ``MISS``.
@@ -26,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from searchlab.llm.common import document_columns, fresh_name
 from searchlab.llm.components import components
@@ -37,6 +38,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-7
 PIVOT_ROUNDS = 2
+RARE = 128
 SALTS = 64
 PERCENT = 80
 SEED = 20240229
@@ -282,8 +284,8 @@ def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
     return best.select(F.col("rep").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(rep, size, shareable): shingles in all, and those that another of ``members`` has too."""
+def _postings(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(hash, rep, df): shingles of the representatives in ``members``, in how many they are."""
     kind = sets.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,39 +298,68 @@ def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
 
     needed = members.select("rep").distinct()
     rows = sets.join(needed.hint("merge"), "rep", "left_semi").mapInArrow(run, f"rep {kind}, hash long")
-    seen = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
-    alone = seen.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = sets.join(needed.hint("merge"), "rep", "left_semi").select("rep", F.floor(F.octet_length("members") / 8).alias("size"))
-    return sizes.join(alone.hint("merge"), "rep", "left").select(
-        "rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shareable")
-    )
+    return stage(rows, "postings")
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs between different components that can reach the threshold."""
-    mixed = stage(members.join(_mixed(members).hint("merge"), "key").select("key", "rep", "comp", "lead"), "mixed")
-    sizes = _shareable(sets, mixed)
-    # Whatever the partner, the intersection is within the shareable part and the union has all of the set.
-    able = mixed.join(sizes.hint("merge"), "rep").filter(100 * F.col("shareable") >= percent * F.col("size"))
-    able = stage(able, "able")
-    outside = able.filter("comp != lead").select(
-        "key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"),
-        F.col("size").alias("size_a"), F.col("shareable").alias("shareable_a"),
+def _reaches(percent: int, most: Column) -> Column:
+    """Whether sets of ``size_a`` and ``size_b`` reach the threshold with ``most`` in common."""
+    return 100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)
+
+
+def _side(df: DataFrame, name: str, *others) -> DataFrame:
+    return df.select(
+        *others, F.col("rep").alias(name),
+        *(F.col(c).alias(f"{c}_{name}") for c in ("comp", "size", "common")),
     )
-    inside = able.select(
-        "key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), "lead",
-        F.col("size").alias("size_b"), F.col("shareable").alias("shareable_b"),
+
+
+def _by_shingle(rare: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share rare shingles, if those and all common ones
+    would be enough."""
+    known = rare.filter("df > 1").join(comps.hint("merge"), "rep")
+    one, two = _side(known, "a", "hash"), _side(known, "b", "hash")
+    other = (one["hash"] == two["hash"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+    shared = one.hint("merge").join(two, other).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.max(c).alias(c) for c in ("size_a", "size_b", "common_a", "common_b")),
     )
-    most = F.least("shareable_a", "shareable_b")
+    return shared.filter(_reaches(percent, F.least("common_a", "common_b") + F.col("n"))).select("a", "b")
+
+
+def _by_bucket(mixed: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in a bucket whose common shingles alone would be enough."""
+    able = comps.filter(100 * F.col("common") >= percent * F.col("size"))
+    # A representative's buckets, at most one for each band: a pair is made in its first one only.
+    keys = mixed.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    able = mixed.select("key", "rep", "lead").join(able.join(keys.hint("merge"), "rep").hint("merge"), "rep")
+    able = stage(able, "able")
+    outside = _side(able.filter("comp != lead"), "a", "key", F.col("keys").alias("keys_a"))
+    inside = _side(able, "b", "key", "lead", F.col("keys").alias("keys_b"))
     possible = (
-        (F.col("comp_a") != F.col("comp_b"))
+        (outside["key"] == inside["key"]) & (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("comp_b") == F.col("lead")) | (F.col("a") < F.col("b")))
-        & (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
+        & _reaches(percent, F.least("common_a", "common_b"))
+        & (outside["key"] == F.array_min(F.array_intersect("keys_a", "keys_b")))
     )
-    return (
-        outside.hint("merge").join(inside, (outside["key"] == inside["key"]) & possible)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return outside.hint("merge").join(inside, possible).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    )
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs between different components that can reach the threshold."""
+    mixed = stage(members.join(_mixed(members).hint("merge"), "key").select("key", "rep", "comp", "lead"), "mixed")
+    postings = _postings(sets, mixed)
+    rare = postings.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
+    rare = stage(postings.join(rare.hint("merge"), "hash"), "rare_shingles")
+    comps = (
+        postings.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+        .join(rare.groupBy("rep").agg(F.count(F.lit(1)).alias("rare")).hint("merge"), "rep", "left")
+        .join(mixed.select("rep", "comp").distinct().hint("merge"), "rep")
+        .select("rep", "comp", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common"))
     )
+    comps = stage(comps, "components_of_mixed")
+    return _by_shingle(rare, comps, percent).unionByName(_by_bucket(mixed, comps, percent)).distinct()
 
 
 def near_duplicates(
