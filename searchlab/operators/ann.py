@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from searchlab.operators.dense import (
     BLOCK_BYTES,
@@ -33,8 +33,15 @@ from searchlab.operators.topk import rank_top_k
 def pivot_centroids(
     vectors: DataFrame, cells: int, id_col: str = "doc_id", vec_col: str = "embedding"
 ) -> DataFrame:
-    """``cells`` sampled vectors as centroids; repeatable."""
+    """``cells`` sampled vectors as centroids; repeatable.
+
+    A cell has the number of its vector; where ids are no whole numbers, the sampled
+    vectors (at most ``cells``) are numbered in the order of their ids.
+    """
     sample = fixed_size_sample(vectors.select(id_col, vec_col), cells, [id_col], allow_fewer=True)
+    if not isinstance(sample.schema[id_col].dataType, T.IntegralType):
+        place = F.row_number().over(Window.orderBy(id_col)).cast("long")
+        sample = sample.withColumn(id_col, place)
     return sample.select(F.col(id_col).alias("cell"), F.col(vec_col).alias("centroid"))
 
 

@@ -72,7 +72,7 @@ def length_describe(df: DataFrame, text: str) -> DataFrame:
     n, x = F.col("n"), F.col("length")
     wide = x.cast("double")
     rows, total, squares = F.sum(n), F.sum(n * wide), F.sum(n * wide * wide)
-    variance = (squares - total * total / rows) / (rows - 1)
+    variance = F.when(rows > 1, (squares - total * total / rows) / (rows - 1))  # one row: none
     quartile = lambda p: F.percentile(x, p, n)
     return length_counts(df, text).agg(
         rows.alias("count"),

@@ -31,11 +31,12 @@ def clean_postings(
 ) -> DataFrame:
     """Distinct postings with a link and a title; text columns cleaned.
 
-    The link is never cleaned. Of several rows with one link the first by all other
-    columns stays: a table has no file order to go by. Copies of a whole row share
+    The link is never cleaned. Of several rows with one link the first by title and then by
+    all other columns stays, nulls last: a table has no file order to go by, and a row
+    without a title must not win over one that has it. Copies of a whole row share
     their link, so this removes them as well without a shuffle of their own.
     """
-    rest = [c for c in jobs.columns if c != link]
+    rest = [F.col(c).asc_nulls_last() for c in [title, *jobs.columns] if c != link]
     unique = keep_first(jobs.filter(F.col(link).isNotNull()), [link], rest)
     cleaned = unique.withColumns({c: clean_text(F.col(c)) for c in [title, *metadata]})
     return cleaned.filter(F.col(title) != "")
@@ -46,7 +47,7 @@ def matching_text(
 ) -> DataFrame:
     """Cleaned text of the wanted links, one row per link."""
     wanted = texts.select(link, text).join(keys.select(link), link, "left_semi")
-    return keep_first(wanted, [link], [text]).withColumn(text, clean_text(F.col(text)))
+    return keep_first(wanted, [link], [F.col(text).asc_nulls_last()]).withColumn(text, clean_text(F.col(text)))
 
 
 def build_corpus(

@@ -79,7 +79,9 @@ def read_run(spark: SparkSession, path: str, system: str) -> DataFrame:
 
 def typed_run(run: DataFrame, system: str, doc_col: str = "doc_id") -> DataFrame:
     require_columns(run, ["query_id", doc_col, "rank"], f"run {system!r}")
-    run = run.withColumn("rank", F.col("rank").cast("string").try_cast("double").try_cast("long"))
+    # A rank with a fraction is no rank: null, which the checks report, instead of cut off.
+    rank = F.col("rank").cast("string").try_cast("double")
+    run = run.withColumn("rank", F.when(rank == F.floor(rank), rank.try_cast("long")))
     for number in ("score", "latency_ms"):
         if number in run.columns:
             run = run.withColumn(number, F.col(number).cast("string").try_cast("double"))
