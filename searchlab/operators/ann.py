@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from searchlab.operators.dense import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
+    PRODUCT_NUMBERS,
     inner_products,
     matrix_within,
     search_in_blocks,
@@ -50,27 +51,40 @@ def kmeans_centroids(
     cells: int,
     id_col: str = "doc_id",
     vec_col: str = "embedding",
-    sample_size: int = 100_000,
+    sample_size: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """Cosine k-means centroids, fitted on a sample of fixed size."""
-    sample = fixed_size_sample(
-        vectors.select(id_col, vec_col), sample_size, [id_col], seed, allow_fewer=True
-    )
-    # ``persist`` recomputes lost partitions from the sample.
-    points = sample.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    """Cosine k-means centroids, fitted on all vectors or on a sample of ``sample_size``."""
+    rows = vectors.select(id_col, vec_col)
+    if sample_size is not None:
+        rows = fixed_size_sample(rows, sample_size, [id_col], seed, allow_fewer=True)
+    # ``persist`` recomputes lost partitions.
+    points = rows.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     points = points.persist()
     try:
         model = KMeans(k=cells, seed=seed, distanceMeasure="cosine").fit(points)
     finally:
         points.unpersist()
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(rows, "cell bigint, centroid array<double>")
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return vectors.sparkSession.createDataFrame(centers, "cell bigint, centroid array<double>")
 
 
 def _best_cells(rows: np.ndarray, centroids: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of the ``depth`` best centroids per row, ties to the lower cell."""
-    return np.argsort(-inner_products(rows, centroids), axis=1, kind="stable")[:, :depth]
+    """Positions of the ``depth`` best centroids per row, ties to the lower cell.
+
+    At most ``PRODUCT_NUMBERS`` products exist at a time; a single best needs no sort.
+    """
+    depth = min(depth, len(centroids))
+    best = np.empty((len(rows), depth), dtype=np.int64)
+    step = max(1, PRODUCT_NUMBERS // max(len(centroids), 1))
+    for start in range(0, len(rows), step):
+        scores = inner_products(rows[start : start + step], centroids)
+        if depth == 1:
+            best[start : start + step, 0] = scores.argmax(axis=1)
+        else:
+            order = np.argsort(-scores, axis=1, kind="stable")
+            best[start : start + step] = order[:, :depth]
+    return best
 
 
 def assign_cells(
@@ -187,11 +201,12 @@ def read_cells(spark: SparkSession, location: str) -> DataFrame:
 
 
 CODES_PER_TABLE = 2**20
+CODE_DIGITS = 6  # of a projection, before it is cut into buckets
 
 
 def _projection_codes(rows: np.ndarray, axes: np.ndarray, width: float) -> np.ndarray:
     """Bucket of every row on every axis, numbered apart for each axis."""
-    buckets = np.floor(inner_products(rows, axes) / width).astype("int64")
+    buckets = np.floor((np.round(rows @ axes.T, CODE_DIGITS) + 0.0) / width).astype("int64")
     return buckets + CODES_PER_TABLE // 2 + np.arange(len(axes)) * CODES_PER_TABLE
 
 
@@ -269,7 +284,8 @@ def search_projection_buckets(
             keys, matrix, schema, depth, doc_col, vec_col,
             routes={code: np.array(rows) for code, rows in visits.items()},
         )
-    return rank_top_k(found.distinct(), k, [query_col], doc_col)
+    once = found.groupBy(query_col, doc_col).agg(F.max("score").alias("score"))
+    return rank_top_k(once, k, [query_col], doc_col)
 
 
 def recall_against_exact(

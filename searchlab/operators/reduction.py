@@ -37,30 +37,52 @@ def mean_vector(vectors: DataFrame, vec_col: str = "embedding") -> list[float]:
     return vectors.agg(vector_to_array(Summarizer.mean(features))).first()[0]
 
 
+def covariance(vectors: DataFrame, vec_col: str = "embedding") -> tuple[np.ndarray, int]:
+    """Sample covariance and number of vectors; a task passes on one matrix of sums."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            rows = to_matrix(batch.column(0))
+            if len(rows):
+                # The last column counts the rows and sums the components.
+                wide = np.hstack([rows, np.ones((len(rows), 1))])
+                total = wide.T @ wide if total is None else total + wide.T @ wide
+        if total is not None:
+            i, j = np.indices(total.shape)
+            columns = [pa.array(c.ravel()) for c in (i, j, total)]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "j", "value"])
+
+    parts = vectors.select(vec_col).mapInArrow(sums, "i bigint, j bigint, value double")
+    table = parts.groupBy("i", "j").agg(F.sum("value").alias("value")).toArrow()
+    width = int(round(table.num_rows**0.5))
+    gram = np.zeros((width, width))
+    gram[table["i"].to_numpy(), table["j"].to_numpy()] = table["value"].to_numpy()
+    rows, mean = gram[-1, -1], gram[-1, :-1] / gram[-1, -1]
+    return (gram[:-1, :-1] - rows * np.outer(mean, mean)) / (rows - 1), int(rows)
+
+
 def fit_pca(
     vectors: DataFrame,
     dimension: int,
-    sample_size: int = 100_000,
+    sample_size: int | None = None,
     id_col: str = "doc_id",
     vec_col: str = "embedding",
     seed: int = SEED,
 ) -> tuple[Projection, int]:
-    """Leading ``dimension`` components of a sample; returns the sample size too."""
+    """Leading ``dimension`` components, fitted on all vectors or on a sample of
+    ``sample_size``; returns the number of fitted vectors too."""
     width = vectors.select(F.size(vec_col)).first()[0]
     if dimension <= 0:
         raise ValueError("dimension must be positive")
     if dimension >= width:
-        raise ValueError("the reduced dimension must be smaller than the input dimension")
-    sample = fixed_size_sample(
-        vectors.select(id_col, vec_col), sample_size, [id_col], seed, allow_fewer=True
-    )
-    points = sample.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    points = points.persist()
-    try:
-        model = PCA(k=dimension, inputCol="features", outputCol="reduced").fit(points)
-        mean, rows = points.agg(Summarizer.mean(F.col("features")), F.count("*")).first()
-    finally:
-        points.unpersist()
+        raise ValueError("the reduced dimension has to be below that of the vectors")
+    fitted = vectors.select(id_col, vec_col)
+    if sample_size is not None:
+        fitted = fixed_size_sample(fitted, sample_size, [id_col], seed, allow_fewer=True)
+    points = fitted.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    model = PCA(k=dimension, inputCol="features", outputCol="reduced").fit(points)
+    mean, rows = points.agg(Summarizer.mean(F.col("features")), F.count("*")).first()
     return (
         Projection(
             mean.toArray(), model.pc.toArray().T.copy(), model.explainedVariance.toArray()

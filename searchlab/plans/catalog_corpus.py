@@ -150,21 +150,20 @@ def token_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- distinct and joins -----------------------------------------------------
-@query("dedup_rows", "SELECT DISTINCT role, text FROM conversations")
+@query("dedup_rows", "SELECT DISTINCT * FROM conversations")
 def dedup_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return distinct_rows(views.table(spark, sf, "conversations").select("role", "text"))
+    """Every row is there twice; whole rows are compared."""
+    conversations = views.table(spark, sf, "conversations")
+    return distinct_rows(conversations.unionAll(conversations))
 
 
 @query(
     "dedup_key_first",
-    """SELECT user_id, event_id, ts, event_type, value FROM events
+    """SELECT * FROM events
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
 )
 def dedup_key_first(spark: SparkSession, sf: str) -> DataFrame:
-    events = views.table(spark, sf, "events").drop("props")
-    return keep_first(events, ["user_id"], ["ts", "event_id"]).select(
-        "user_id", "event_id", "ts", "event_type", "value"
-    )
+    return keep_first(views.table(spark, sf, "events"), ["user_id"], ["ts", "event_id"])
 
 
 @query(
@@ -376,7 +375,7 @@ def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return profile.length_histogram(views.table(spark, sf, "documents"), "text")
 
 
-PROFILED = ["lang", "source", "quality", "toxic"]
+PROFILED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 LABELLED = "(SELECT * FROM documents LEFT JOIN labels USING (doc_id))"
 
 

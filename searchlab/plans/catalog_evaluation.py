@@ -65,7 +65,7 @@ def pool_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FUSED = v.top_k(
-    """SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf
+    """SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf
        FROM runs GROUP BY ALL""",
     score="rrf",
 )
@@ -74,7 +74,7 @@ FUSED = v.top_k(
 @query("rrf_fusion", f"WITH {v.VECTOR_RUNS} SELECT query_id, rank, doc_id, rrf FROM ({FUSED})")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     fused = reciprocal_rank_fusion(views.vector_runs(spark, sf))
-    return fused.select("query_id", "rank", "doc_id", "rrf")
+    return rounded(fused.select("query_id", "rank", "doc_id", "rrf"), "rrf")
 
 
 # --- validation -------------------------------------------------------------
@@ -245,10 +245,10 @@ doc_queries AS (SELECT doc_id AS query_id, bucket, weight FROM docs),
 doc_cells AS (
   SELECT query_id AS doc_id, doc_id AS cell
   FROM ({v.dense_from_buckets("pivot_docs", "doc_queries")})
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1),
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {v.significant("score")} DESC, doc_id) = 1),
 visits AS (
   SELECT query_id, doc_id AS cell FROM ({v.dense_from_buckets("pivot_docs", "asked")})
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {v.significant("score")} DESC, doc_id)
           <= {experiment.PROBES}),
 ivf AS ({v.top_k('''SELECT query_id, doc_id, score FROM flat_scores
                     JOIN doc_cells USING (doc_id) JOIN visits USING (query_id, cell)''')}),

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from searchlab.functions.text import PASSAGE_PREFIX
-from searchlab.functions.vectors import l2_norm, leading, unit_vector
+from searchlab.functions.vectors import l2_norm, unit_vector
 from searchlab.operators import ann, checks, lexical, reduction
 from searchlab.operators.dense import exact_top_k
 from searchlab.operators.encode import encode_texts
@@ -15,6 +15,12 @@ from searchlab.plans.registry import query, rounded
 from searchlab.sources.staging import stage
 
 
+def ranked(run: DataFrame, digits: int = 6) -> DataFrame:
+    """Ranked list with its score rounded for the comparison, after the ranking."""
+    score = F.round("score", digits) + 0.0
+    return run.select("query_id", "rank", "doc_id", score.alias("score"))
+
+
 # --- lexical ----------------------------------------------------------------
 def lexical_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     return lexical.write_index(views.corpus(spark, sf))
@@ -59,7 +65,24 @@ def bm25_match(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_topk", f"WITH {v.BM25_ALL} SELECT query_id, rank, doc_id, score FROM bm25")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     found = lexical.search_bm25(lexical_index(spark, sf), views.queries(spark, sf))
-    return found.select("query_id", "rank", "doc_id", "score")
+    return ranked(found)
+
+
+@query(
+    "bm25_common_terms",
+    f"""WITH {v.BM25_COMMON},
+        whole AS ({v.top_k("SELECT * FROM bm25_scores", digits=12)})
+        SELECT query_id, rank, doc_id, score FROM whole""",
+)
+def bm25_common_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The commonest words as queries: all scores lie at the floor of the weights."""
+    index = lexical_index(spark, sf)
+    words = index.terms.filter(F.col("term").rlike("^[a-z0-9]+$"))
+    commonest = words.orderBy(F.col("df").desc(), "term").limit(v.COMMON_TERMS)
+    asked = commonest.select(
+        F.concat(F.lit("C"), "term").alias("query_id"), F.col("term").alias("query")
+    )
+    return ranked(lexical.search_bm25(index, stage(asked, "common_terms")), digits=12)
 
 
 @query(
@@ -75,7 +98,7 @@ def bm25_run(spark: SparkSession, sf: str) -> DataFrame:
     lexical.require_searchable(asked)
     found = stage(lexical.search_bm25(lexical_index(spark, sf), asked), "bm25_run")
     return with_metadata(
-        found.withColumn("system", F.lit("bm25")),
+        rounded(found, "score").withColumn("system", F.lit("bm25")),
         asked,
         views.corpus(spark, sf),
         ["title", "company", "country", "level", "skills"],
@@ -101,7 +124,7 @@ EXACT_SQL = f"WITH {EXACT} SELECT query_id, rank, doc_id, score FROM run_exact"
 @query("dense_exact_topk", EXACT_SQL)
 def dense_exact(spark: SparkSession, sf: str) -> DataFrame:
     found = views.run_exact(views.embeddings(spark, sf), views.staged_vec_queries(spark, sf))
-    return found.select("query_id", "rank", "doc_id", "score")
+    return ranked(found)
 
 
 @query("dense_exact_topk_blocked", EXACT_SQL)
@@ -111,9 +134,9 @@ def dense_exact_blocked(spark: SparkSession, sf: str) -> DataFrame:
         views.embeddings(spark, sf),
         views.staged_vec_queries(spark, sf),
         broadcast_bytes=0,
-        block_bytes=2**20,
+        block_bytes=2**15,
     )
-    return found.select("query_id", "rank", "doc_id", "score")
+    return ranked(found)
 
 
 @query(
@@ -124,7 +147,8 @@ def dense_exact_blocked(spark: SparkSession, sf: str) -> DataFrame:
 )
 def run_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
     vectors, asked = views.embeddings(spark, sf), views.staged_vec_queries(spark, sf)
-    run = stage(views.run_exact(vectors, asked), "run").withColumn("system", F.lit("dense_flat"))
+    run = rounded(stage(views.run_exact(vectors, asked), "run"), "score")
+    run = run.withColumn("system", F.lit("dense_flat"))
     return with_metadata(run, asked.drop("qvec"), vectors, ["label"]).select(
         "query_id", "qlabel", "category", "system", "rank", "doc_id", "score", "label"
     )
@@ -133,21 +157,23 @@ def run_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "l2_normalize",
     f"""WITH {v.VECTORS},
-        heads AS (SELECT doc_id, embedding[1:{views.HEAD}] AS head FROM vectors),
-        units AS (SELECT doc_id, head, {v.unit("head")} AS unit FROM heads)
-        SELECT doc_id, round(sqrt(list_inner_product(head, head)), 6) AS norm,
+        scaled AS (SELECT doc_id, [x * (label + 1) FOR x IN embedding] AS wide FROM vectors),
+        units AS (SELECT doc_id, wide, {v.unit("wide")} AS unit FROM scaled)
+        SELECT doc_id, round(sqrt(list_inner_product(wide, wide)), 6) AS norm,
                round(sqrt(list_inner_product(unit, unit)), 6) AS unit_norm,
                round(list_sum(unit), 6) + 0.0 AS unit_sum FROM units""",
 )
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    heads = views.embeddings(spark, sf).select(
-        "doc_id", leading(F.col("embedding"), views.HEAD).alias("head")
+    """Whole vectors, scaled by their label first so that their norms differ from 1."""
+    scaled = views.embeddings(spark, sf).select(
+        "doc_id",
+        F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1)).alias("wide"),
     )
-    units = heads.withColumn("unit", unit_vector(F.col("head")))
+    units = scaled.withColumn("unit", unit_vector(F.col("wide")))
     total = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x)
     measured = units.select(
         "doc_id",
-        l2_norm(F.col("head")).alias("norm"),
+        l2_norm(F.col("wide")).alias("norm"),
         l2_norm(F.col("unit")).alias("unit_norm"),
         total.alias("unit_sum"),
     )
@@ -190,7 +216,7 @@ def ivf_assign(spark: SparkSession, sf: str) -> DataFrame:
 def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = views.embeddings(spark, sf)
     run = views.run_cells(vectors, views.staged_vec_queries(spark, sf), views.centroids(vectors))
-    return run.select("query_id", "rank", "doc_id", "score")
+    return ranked(run)
 
 
 @query(
@@ -223,9 +249,9 @@ SWEEP = [1, 2, 4, 8, 16]
         settings AS (SELECT unnest({SWEEP}) AS nprobe),
         found AS (
           SELECT *, row_number() OVER (
-                   PARTITION BY query_id, nprobe ORDER BY score DESC, doc_id) AS rank
-          FROM (SELECT query_id, nprobe, doc_id,
-                       round(list_inner_product(qvec, embedding), 6) AS score
+                   PARTITION BY query_id, nprobe ORDER BY {v.significant("score")} DESC, doc_id)
+                     AS rank
+          FROM (SELECT query_id, nprobe, doc_id, list_inner_product(qvec, embedding) AS score
                 FROM settings JOIN routes ON visit <= nprobe JOIN assigned USING (cell)))
         SELECT nprobe::BIGINT AS nprobe,
                round(count(e.doc_id) / ((SELECT count(*) FROM vec_queries) * 10), 6)
@@ -250,7 +276,16 @@ def ivf_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     vectors, asked = views.embeddings(spark, sf), views.staged_vec_queries(spark, sf)
     centers = stage(ann.kmeans_centroids(vectors, views.CELLS), "kmeans")
     run = views.run_cells(vectors, asked, centers)
-    return run.select("query_id", "rank", "doc_id", "score")
+    return ranked(run)
+
+
+@query("ivf_kmeans_all_cells", EXACT_SQL)
+def ivf_kmeans_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell is visited: whatever the fitted centroids, this is the exact search."""
+    vectors, asked = views.embeddings(spark, sf), views.staged_vec_queries(spark, sf)
+    centers = stage(ann.kmeans_centroids(vectors, views.CELLS), "kmeans")
+    assigned = ann.assign_cells(vectors, centers)
+    return ranked(ann.search_cells(assigned, asked, centers, [views.CELLS]))
 
 
 AXES = 4
@@ -269,7 +304,7 @@ WIDTH = 0.125  # 1 / sqrt(64)
                  floor((round(list_inner_product(qvec, direction), 6) + 0.0) / {WIDTH}) AS code
                FROM vec_queries, axes)
         SELECT query_id, rank, doc_id, score FROM ({v.top_k('''
-          SELECT DISTINCT query_id, doc_id, round(list_inner_product(qvec, embedding), 6) AS score
+          SELECT DISTINCT query_id, doc_id, list_inner_product(qvec, embedding) AS score
           FROM query_codes JOIN doc_codes USING (axis, code)''')})""",
 )
 def lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,47 +312,29 @@ def lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
     axes = stage(ann.pivot_centroids(vectors, AXES), "axes")
     buckets = ann.assign_projection_buckets(vectors, axes, WIDTH)
     found = ann.search_projection_buckets(buckets, asked, axes, WIDTH)
-    return found.select("query_id", "rank", "doc_id", "score")
+    return ranked(found)
 
 
 # --- reduction --------------------------------------------------------------
-REDUCED = 8
-BASIS_SQL = f"""
-center AS (
-  SELECT list(component ORDER BY i) AS mean
-  FROM (SELECT i, avg(x) AS component
-        FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM vectors)
-        GROUP BY i)),
-basis AS (SELECT list(qvec ORDER BY qlabel)[1:{REDUCED}] AS axes FROM vec_queries)"""
-
-
-def reduced_sql(vector: str) -> str:
-    centred = f"[p[1] - p[2] FOR p IN list_zip({vector}, mean)]"
-    return v.unit(f"[list_inner_product({centred}, axis) FOR axis IN axes]")
-
-
 def label_basis(spark: SparkSession, sf: str) -> reduction.Projection:
-    """Label means as axes: a projection that SQL can repeat."""
-    rows = views.vec_queries(spark, sf).orderBy("qlabel").select("qvec").collect()
-    mean = reduction.mean_vector(views.embeddings(spark, sf))
-    return reduction.Projection(np.array(mean), np.array([r["qvec"] for r in rows]))
+    return views.label_basis(views.embeddings(spark, sf), views.staged_vec_queries(spark, sf))
 
 
 @query(
     "project_vectors",
-    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {BASIS_SQL},
-        reduced AS (SELECT doc_id, {reduced_sql("embedding")} AS small FROM vectors, center, basis)
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {v.BASIS},
+        reduced AS (SELECT doc_id, {v.reduced("embedding")} AS small FROM vectors, center, basis)
         SELECT doc_id, len(small) AS dimension, round(small[1], 6) + 0.0 AS first,
-               round(small[{REDUCED}], 6) + 0.0 AS last,
+               round(small[{views.REDUCED}], 6) + 0.0 AS last,
                round(list_sum(small), 6) + 0.0 AS total FROM reduced""",
 )
 def project_vectors(spark: SparkSession, sf: str) -> DataFrame:
     small = reduction.project(
-        views.embeddings(spark, sf).select("doc_id", "embedding"), label_basis(spark, sf), REDUCED
+        views.embeddings(spark, sf).select("doc_id", "embedding"), label_basis(spark, sf), views.REDUCED
     )
     parts = {
         "first": F.col("embedding")[0],
-        "last": F.col("embedding")[REDUCED - 1],
+        "last": F.col("embedding")[views.REDUCED - 1],
         "total": F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x),
     }
     return small.select(
@@ -329,17 +346,17 @@ def project_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "project_dimensions",
-    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {BASIS_SQL},
-        wide AS (SELECT doc_id, {reduced_sql("embedding")} AS whole FROM vectors, center, basis),
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {v.BASIS},
+        wide AS (SELECT doc_id, {v.reduced("embedding")} AS whole FROM vectors, center, basis),
         cut AS (SELECT doc_id, dim, {v.unit("part")} AS small
                 FROM (SELECT doc_id, dim, whole[1:dim] AS part
-                      FROM wide, (SELECT unnest([2, 4, {REDUCED}]) AS dim)))
+                      FROM wide, (SELECT unnest([2, 4, {views.REDUCED}]) AS dim)))
         SELECT doc_id, dim, round(small[1], 6) + 0.0 AS first,
                round(list_sum(small), 6) + 0.0 AS total FROM cut""",
 )
 def project_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     vectors = views.embeddings(spark, sf).select("doc_id", "embedding")
-    small = reduction.project_dimensions(vectors, label_basis(spark, sf), [2, 4, REDUCED])
+    small = reduction.project_dimensions(vectors, label_basis(spark, sf), [2, 4, views.REDUCED])
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return small.select(
         "doc_id",
@@ -351,17 +368,13 @@ def project_dimensions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dense_reduced_topk",
-    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {BASIS_SQL},
-        small_docs AS (SELECT doc_id, {reduced_sql("embedding")} AS sv FROM vectors, center, basis),
-        small_asked AS (SELECT query_id, {reduced_sql("qvec")} AS sq FROM vec_queries, center, basis)
-        SELECT query_id, rank, doc_id, score FROM ({v.top_k('''
-          SELECT query_id, doc_id, round(list_inner_product(sq, sv), 6) AS score
-          FROM small_asked, small_docs''')})""",
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES}, {v.RUN_REDUCED}
+        SELECT query_id, rank, doc_id, score FROM run_reduced""",
 )
 def dense_reduced(spark: SparkSession, sf: str) -> DataFrame:
-    basis = label_basis(spark, sf)
-    asked = views.vec_queries(spark, sf).select("query_id", "qvec")
-    return reduced_search(spark, sf, basis, REDUCED, asked)
+    return ranked(
+        views.run_reduced(views.embeddings(spark, sf), views.staged_vec_queries(spark, sf))
+    )
 
 
 def reduced_search(
@@ -372,7 +385,7 @@ def reduced_search(
         reduction.project(vectors, basis, dimension),
         stage(reduction.project(asked, basis, dimension, "qvec"), "reduced_queries"),
     )
-    return found.select("query_id", "rank", "doc_id", "score")
+    return ranked(found)
 
 
 @query("dense_pca_topk")
@@ -399,6 +412,42 @@ def explained_variance(spark: SparkSession, sf: str) -> DataFrame:
     return reduction.explained_variance(spark, basis)
 
 
+@query(
+    "pca_facts",
+    f"""WITH {v.VECTORS},
+        parts AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM vectors),
+        spread AS (SELECT round(sum(s), 6) AS total FROM (SELECT var_samp(x) AS s FROM parts GROUP BY i))
+        SELECT 'vectors' AS fact, count(*)::DOUBLE AS value FROM vectors
+        UNION ALL SELECT 'total_variance', total FROM spread
+        UNION ALL SELECT unnest(['not_orthonormal', 'not_eigenvectors', 'wrong_shares',
+                                 'wrong_running_sum', 'not_falling', 'missing_share']), 0.0""",
+)
+def pca_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for the components whatever their signs, against sums of their own."""
+    vectors = views.embeddings(spark, sf)
+    spread, rows = reduction.covariance(vectors)
+    width = len(spread)
+    basis, _ = reduction.fit_pca(vectors, width - 1)
+    components, shares = basis.components, basis.ratios
+    values = np.einsum("ij,jk,ik->i", components, spread, components)
+    running = reduction.explained_variance(spark, basis).orderBy("component").collect()
+    upto = np.array([r["cumulative_explained_variance_ratio"] for r in running])
+    # The one component that is not fitted holds what remains of the variance.
+    last = np.linalg.eigvalsh(spread)[0] / np.trace(spread)
+    facts = {
+        "vectors": float(rows),
+        "total_variance": np.trace(spread),
+        "not_orthonormal": np.abs(components @ components.T - np.eye(width - 1)).max(),
+        "not_eigenvectors": np.abs(components @ spread - values[:, None] * components).max(),
+        "wrong_shares": np.abs(shares - values / np.trace(spread)).max(),
+        "wrong_running_sum": np.abs(upto - np.cumsum(shares)).max(),
+        "not_falling": max(0.0, np.diff(shares).max()),
+        "missing_share": abs(1.0 - upto[-1] - last),
+    }
+    table = [(fact, round(float(value), 6) + 0.0) for fact, value in facts.items()]
+    return spark.createDataFrame(table, "fact string, value double")
+
+
 DIMENSIONS = [8, 16, 32]
 
 

@@ -188,7 +188,7 @@ def reduce_vectors(
     model: str,
     metrics: str,
     dimensions: list[int],
-    sample_size: int = 100_000,
+    sample_size: int | None = None,
 ) -> DataFrame:
     """Fit once at the largest dimension, write all dimensions and both reports."""
     documents = readers.read_vectors(spark, vectors)

@@ -7,19 +7,21 @@ Vector track: ``embeddings`` as corpus, the mean vector of every label as query.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from searchlab.functions.vectors import leading, unit_vector
+from searchlab.functions.vectors import unit_vector
 from searchlab.operators.ann import assign_cells, pivot_centroids, search_cells
 from searchlab.operators.dense import exact_top_k
 from searchlab.operators.pool import pool_candidates, union_runs
+from searchlab.operators.reduction import Projection, mean_vector, project
 from searchlab.sources.staging import stage
 
 CELLS = 16
 PROBES = 4
-HEAD = 32
+REDUCED = 8
 POOL_DEPTH = 8
 POOL_LIMIT = 12
 
@@ -90,12 +92,16 @@ def run_exact(vectors: DataFrame, asked: DataFrame) -> DataFrame:
     return exact_top_k(vectors, asked)
 
 
-def head_of(vectors: DataFrame, vec_col: str) -> DataFrame:
-    return vectors.withColumn(vec_col, unit_vector(leading(F.col(vec_col), HEAD)))
+def label_basis(vectors: DataFrame, asked: DataFrame) -> Projection:
+    """Means of the ``REDUCED`` first labels as axes: a projection that SQL can repeat."""
+    rows = asked.orderBy("qlabel").select("qvec").limit(REDUCED).collect()
+    return Projection(np.array(mean_vector(vectors)), np.array([r["qvec"] for r in rows]))
 
 
-def run_head(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    return exact_top_k(head_of(vectors, "embedding"), head_of(asked, "qvec"))
+def run_reduced(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    basis = label_basis(vectors, asked)
+    small = stage(project(asked.select("query_id", "qvec"), basis, None, "qvec"), "reduced_queries")
+    return exact_top_k(project(vectors.select("doc_id", "embedding"), basis), small)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -117,12 +123,15 @@ def vector_runs(spark: SparkSession, sf_dir: str, latency: bool = False) -> Data
     runs = union_runs(
         {
             "dense_flat": run_exact(vectors, asked),
-            f"dense_head{HEAD}": run_head(vectors, asked),
+            f"dense_reduced{REDUCED}": run_reduced(vectors, asked),
             cells_label(): run_cells(vectors, asked, centroids(vectors)),
         }
     )
-    runs = runs.join(asked.select("query_id", "qlabel", "category"), "query_id").withColumn(
-        "query", F.concat(F.lit("label "), F.col("qlabel"))
+    runs = runs.join(asked.select("query_id", "qlabel", "category"), "query_id").withColumns(
+        {
+            "query": F.concat(F.lit("label "), F.col("qlabel")),
+            "score": F.round("score", 6) + 0.0,
+        }
     )
     if latency:
         offset = F.when(F.col("system") == "dense_flat", 2.0).otherwise(

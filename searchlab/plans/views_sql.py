@@ -9,7 +9,8 @@ from searchlab.functions.text import (
 )
 from searchlab.operators.encode import DIMENSION
 from searchlab.operators.sampling import RARE_LIMIT, SEED
-from searchlab.plans.views import CELLS, HEAD, POOL_DEPTH, POOL_LIMIT, PROBES, cells_label
+from searchlab.operators.topk import SCORE_DIGITS
+from searchlab.plans.views import CELLS, POOL_DEPTH, POOL_LIMIT, PROBES, REDUCED, cells_label
 
 # Unicode white space written out: \s is ASCII-only in this engine.
 SPACE_CLASS = (
@@ -49,10 +50,22 @@ def unit(vector: str) -> str:
     return f"[x / (CASE WHEN {norm} = 0 THEN 1 ELSE {norm} END) FOR x IN {vector}]"
 
 
-def top_k(scored: str, doc: str = "doc_id", k: int = 20, score: str = "score") -> str:
+def significant(score: str) -> str:
+    """The key by which scores are compared: twelve significant digits."""
+    size = f"greatest(abs({score}), 1e-100)"
+    scale = f"pow(10, {SCORE_DIGITS - 1} - floor(log10({size})))"
+    return f"CASE WHEN abs({score}) < 1e-100 THEN 0 ELSE round({score} * {scale}) / {scale} END"
+
+
+def top_k(
+    scored: str, doc: str = "doc_id", k: int = 20, score: str = "score", digits: int = 6
+) -> str:
+    """Ranks by the whole score; it is rounded afterwards, for the comparison only."""
     return (
-        f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, {doc}) AS rank "
-        f"FROM ({scored}) QUALIFY rank <= {k}"
+        f"SELECT * REPLACE (round({score}, {digits}) + 0.0 AS {score}) FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY query_id "
+        f"ORDER BY {significant(score)} DESC, {doc}) AS rank "
+        f"FROM ({scored}) QUALIFY rank <= {k})"
     )
 
 
@@ -96,13 +109,21 @@ weights AS (
         FROM query_terms JOIN terms USING (term), totals)),
 bm25_scores AS (
   SELECT query_id, doc_id,
-         round(sum(weight * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * doc_len * documents / tokens))),
-               6) AS score
+         sum(weight * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * doc_len * documents / tokens)))
+           AS score
   FROM weights JOIN postings USING (term), totals GROUP BY ALL),
 bm25 AS ({top_k("SELECT * FROM bm25_scores")})"""
 
 BM25_ALL = ",".join([CORPUS, QUERIES, QUERY_TERMS, POSTINGS, BM25])
 
+# The commonest plain words of the corpus as queries, alone.
+COMMON_TERMS = 3
+COMMON_QUERIES = f"""
+queries AS (
+  SELECT 'C' || term AS query_id, term AS query FROM terms
+  WHERE regexp_full_match(term, '[a-z0-9]+') ORDER BY df DESC, term LIMIT {COMMON_TERMS})"""
+BM25_COMMON = ",".join([CORPUS, POSTINGS, COMMON_QUERIES, QUERY_TERMS, BM25])
+
 VECTORS = """
 vectors AS (
   SELECT vec_id AS doc_id, embedding::DOUBLE[] AS embedding, label FROM embeddings)"""
@@ -124,14 +145,29 @@ vec_queries AS (
 
 RUN_EXACT = f"""
 run_exact AS ({top_k('''
-  SELECT query_id, doc_id, round(list_inner_product(qvec, embedding), 6) AS score
+  SELECT query_id, doc_id, list_inner_product(qvec, embedding) AS score
   FROM vec_queries, vectors''')})"""
 
-RUN_HEAD = f"""
-run_head AS ({top_k(f'''
-  SELECT query_id, doc_id, round(list_inner_product(head_q, head_v), 6) AS score
-  FROM (SELECT query_id, {unit(f"qvec[1:{HEAD}]")} AS head_q FROM vec_queries),
-       (SELECT doc_id, {unit(f"embedding[1:{HEAD}]")} AS head_v FROM vectors)''')})"""
+BASIS = f"""
+center AS (
+  SELECT list(component ORDER BY i) AS mean
+  FROM (SELECT i, avg(x) AS component
+        FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM vectors)
+        GROUP BY i)),
+basis AS (SELECT list(qvec ORDER BY qlabel)[1:{REDUCED}] AS axes FROM vec_queries)"""
+
+
+def reduced(vector: str) -> str:
+    centred = f"[p[1] - p[2] FOR p IN list_zip({vector}, mean)]"
+    return unit(f"[list_inner_product({centred}, axis) FOR axis IN axes]")
+
+
+RUN_REDUCED = f"""{BASIS},
+small_docs AS (SELECT doc_id, {reduced("embedding")} AS sv FROM vectors, center, basis),
+small_asked AS (SELECT query_id, {reduced("qvec")} AS sq FROM vec_queries, center, basis),
+run_reduced AS ({top_k('''
+  SELECT query_id, doc_id, list_inner_product(sq, sv) AS score
+  FROM small_asked, small_docs''')})"""
 
 CELLS_SQL = f"""
 centroids AS (
@@ -140,28 +176,28 @@ centroids AS (
 assigned AS (
   SELECT doc_id, embedding, cell FROM (
     SELECT doc_id, embedding, cell,
-           row_number() OVER (PARTITION BY doc_id ORDER BY
-             round(list_inner_product(embedding, centroid), 6) DESC, cell) AS place
-    FROM vectors, centroids) WHERE place = 1),
+           row_number() OVER (PARTITION BY doc_id ORDER BY {significant("near")} DESC, cell) AS place
+    FROM (SELECT *, list_inner_product(embedding, centroid) AS near FROM vectors, centroids))
+  WHERE place = 1),
 routes AS (
-  SELECT query_id, qvec, cell, row_number() OVER (PARTITION BY query_id ORDER BY
-           round(list_inner_product(qvec, centroid), 6) DESC, cell) AS visit
-  FROM vec_queries, centroids)"""
+  SELECT query_id, qvec, cell,
+         row_number() OVER (PARTITION BY query_id ORDER BY {significant("near")} DESC, cell) AS visit
+  FROM (SELECT *, list_inner_product(qvec, centroid) AS near FROM vec_queries, centroids))"""
 
 RUN_CELLS = f"""
 run_cells AS ({top_k(f'''
-  SELECT query_id, doc_id, round(list_inner_product(qvec, embedding), 6) AS score
+  SELECT query_id, doc_id, list_inner_product(qvec, embedding) AS score
   FROM routes JOIN assigned USING (cell) WHERE visit <= {PROBES}''')})"""
 
 VECTOR_RUNS = (
-    ",".join([VECTORS, LABEL_MEANS, VEC_QUERIES, RUN_EXACT, RUN_HEAD, CELLS_SQL, RUN_CELLS])
+    ",".join([VECTORS, LABEL_MEANS, VEC_QUERIES, RUN_EXACT, RUN_REDUCED, CELLS_SQL, RUN_CELLS])
     + f""",
 runs AS (
   SELECT r.*, qlabel, category, 'label ' || qlabel AS query,
          1.0::DOUBLE + (qlabel * 7) % 11 + CASE system WHEN 'dense_flat' THEN 2.0
            WHEN '{cells_label()}' THEN 0.0 ELSE 1.0 END AS latency_ms
   FROM (SELECT *, 'dense_flat' AS system FROM run_exact
-        UNION ALL SELECT *, 'dense_head{HEAD}' FROM run_head
+        UNION ALL SELECT *, 'dense_reduced{REDUCED}' FROM run_reduced
         UNION ALL SELECT *, '{cells_label()}' FROM run_cells) r
   JOIN vec_queries USING (query_id))"""
 )
@@ -318,7 +354,7 @@ def encoded(name: str, source: str, key: str, text: str, prefix: str) -> str:
 def dense_from_buckets(docs: str, asked: str) -> str:
     """Inner products of two encoded CTEs; every pair gets a row."""
     return f"""
-      SELECT query_id, doc_id, round(coalesce(score, 0), 6) + 0.0 AS score
+      SELECT query_id, doc_id, coalesce(score, 0) AS score
       FROM (SELECT DISTINCT query_id FROM {asked})
       CROSS JOIN (SELECT DISTINCT doc_id FROM {docs})
       LEFT JOIN (SELECT a.query_id, d.doc_id, sum(a.weight * d.weight) AS score
