@@ -5,10 +5,11 @@
    hash is kept for verification.
 2. Equal sets are one representative from here on (copies are never paired).
 3. Representatives that agree in a band are candidates. No bucket is expanded into all its
-   pairs: in ``PIVOT_ROUNDS`` rounds each one meets one member of the component that leads its
-   bucket, first the most central one; links found tie components together, and only
-   candidates that still are in different components are paired at the end, so that no link
-   between components is lost. A pair that shares a rare shingle (in at most ``RARE``
+   pairs: first each one meets one central member of its buckets, then each one that stays
+   outside of a bucket's leading component meets up to ``MEETINGS`` of its most central
+   members; links found tie components together, and only candidates that still are in
+   different components are paired at the end, so that no link between components is lost.
+   A pair that shares a rare shingle (in at most ``RARE``
    candidates) is found by it; any other pair shares none of its rare shingles, and is left out where
    the rest of both sets cannot reach the threshold (an exact bound, no pair is lost).
 4. A candidate pair compares its hashes batch by batch. After each batch the posterior of
@@ -27,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from searchlab.llm.common import document_columns, fresh_name
 from searchlab.llm.components import components
@@ -37,7 +38,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-7
-PIVOT_ROUNDS = 2
+MEETINGS = 16
 RARE = 128
 SALTS = 64
 PERCENT = 80
@@ -254,29 +255,18 @@ def _mixed(members: DataFrame) -> DataFrame:
         sizes.groupBy("key")
         .agg(F.max(F.struct("n", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .filter("low != high")
-        .select("key", F.col("most.comp").alias("lead"))
+        .select("key", F.col("most.comp").alias("lead"), F.col("most.n").alias("n_lead"))
     )
 
 
-def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
-    """One pair for each representative outside the lead of its buckets.
-
-    A bucket's pivot is a member of its leading component: the most central one in the first round,
-    then one chosen by a hash that changes with the round. Of the pivots offered, a
-    representative meets the one that shares most buckets with it.
-    """
-    lead = _mixed(members)
-    order = F.struct((F.col("centre") if not number else F.xxhash64("rep", F.lit(number))).alias("h"), "rep")
-    pivots = (
-        members.join(lead.hint("merge"), "key")
-        .filter("comp = lead" if number else "true")
-        .groupBy("key")
-        .agg(F.max(order).alias("p"), F.max("lead").alias("lead"))
-        .select("key", F.col("p.rep").alias("pivot"), "lead")
-    )
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """One pair for each representative: of the most central members of its buckets, the one
+    that shares most buckets with it."""
+    order = F.struct("centre", "rep")
+    pivots = members.groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.rep").alias("pivot"))
     offers = (
         members.join(pivots.hint("merge"), "key")
-        .filter("comp != lead and rep != pivot" if number else "rep != pivot")
+        .filter("rep != pivot")
         .groupBy("rep", "pivot")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -284,6 +274,30 @@ def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
     return best.select(F.col("rep").alias("a"), F.col("best.pivot").alias("b"))
 
 
+def _central_pairs(members: DataFrame) -> DataFrame:
+    """At most ``MEETINGS`` pairs for each representative and leading component it is outside of.
+
+    They meet in the bucket that holds most of that component: its most central members are
+    nearest to the text that all were copied from, so a copy that misses one of them at the
+    threshold reaches another.
+    """
+    mixed = members.join(_mixed(members).hint("merge"), "key")
+    outside = (
+        mixed.filter("comp != lead")
+        .groupBy("rep", "lead")
+        .agg(F.max(F.struct("n_lead", "key")).alias("place"))
+        .select(F.col("rep").alias("a"), F.col("place.key").alias("key"))
+    )
+    best_first = Window.partitionBy("key").orderBy(F.col("centre").desc(), "rep")
+    central = (
+        mixed.filter("comp = lead")
+        .withColumn("place", F.row_number().over(best_first))
+        .filter(F.col("place") <= MEETINGS)
+        .select("key", F.col("rep").alias("b"))
+    )
+    return outside.join(central.hint("merge"), "key").select("a", "b").distinct()
+
+
 def _postings(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(hash, rep, df): shingles of the representatives in ``members``, in how many they are."""
     kind = sets.schema["rep"].dataType.simpleString()
@@ -395,12 +409,11 @@ def near_duplicates(
     sketches = stage(sketches.dropDuplicates(["rep"]), "sketches")
 
     links, labels = [], None
-    for number in range(PIVOT_ROUNDS + 1):
+    for step in (_pivot_pairs, _central_pairs, lambda members: _open_pairs(members, sets, percent)):
         labelled = _labelled(members, labels)
-        if number:
+        if labels is not None:
             labelled = stage(labelled, "labelled")
-        last = number == PIVOT_ROUNDS
-        pairs = _open_pairs(labelled, sets, percent) if last else _pivot_pairs(labelled, number)
+        pairs = step(labelled)
         pairs = _plausible(pairs, sketches, percent, miss)
         links.append(stage(_confirmed(pairs, sets, percent), "confirmed"))
         labels = stage(components(reduce(DataFrame.unionByName, links)), "components")
