@@ -51,6 +51,21 @@ def test_scores_equal_fts5(spark, seed):
     assert counts == {q: len(fts_scores(corpus, w)) for q, w in asked}
 
 
+def test_common_words_are_ranked_by_their_whole_score(spark):
+    """A word of every document has the least weight; the order still is that of the scores."""
+    corpus = [(i, "the", " ".join(["pad"] * (i * 7 % 13)), "the " * (1 + i * 5 % 11)) for i in range(40)]
+    docs = spark.createDataFrame(corpus, "doc_id bigint, title string, skills string, summary string")
+    queries = spark.createDataFrame([("q", "the")], "query_id string, query string")
+    rows = lexical.search_bm25(lexical.write_index(docs), queries, k=40).collect()
+    want = fts_scores(corpus, ["the"])
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert got.keys() == want.keys() and max(want.values()) < 1e-5
+    assert all(abs(got[d] - want[d]) <= 1e-9 * want[d] for d in want)
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"])]
+    assert order == sorted(want, key=lambda d: (-float(f"{want[d]:.11e}"), d))
+    assert order != sorted(order)
+
+
 def test_top_k_breaks_ties_by_document(spark):
     docs = spark.createDataFrame(
         [(i, "same", "", "") for i in range(50)] + [(99, "other", "", "")],
