@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ ASIDE_WORDS = {
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
+# Elements that may go without an end tag: the start tags that end them, and the elements that, when open
+# inside them, hold such tags of their own.
+ENDED_BY = {
+    "p": (BLOCK, set()), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th", "tr", "tbody", "tfoot"}, {"table"}), "th": ({"td", "th", "tr", "tbody", "tfoot"}, {"table"}),
+    "tr": ({"tr", "tbody", "tfoot"}, {"table"}),
+}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
@@ -69,13 +77,29 @@ def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def _ends(skipped: str, name: str, closing: bool, inside: Counter, around: Counter) -> bool:
+    """Whether a tag ends the skipped element though it is not the end tag of it.
+
+    That is the end of an element around it, or a start that an element without end tag cannot hold.
+    """
+    if closing:
+        return name not in ENDED_BY and not inside[name] and around[name] > 0
+    starts, holders = ENDED_BY.get(skipped, ((), ()))
+    return name in starts and not any(inside[h] for h in holders)
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
-    """Lines of a page in order, whether each is content, whether an article is marked."""
+    """Lines of a page in order, whether each is content, whether an article is marked.
+
+    Missing end tags are read as browsers do for paragraphs, list items and cells, so that a side part
+    without one does not reach over the text after it.
+    """
     lines: list[str] = []
     content: list[bool] = []
     marked: list[bool] = []
     current: list[str] = []
-    skipped, depth, in_main, any_main = "", 0, 0, False
+    skipped, in_main, any_main = "", 0, False
+    around, inside = Counter(), Counter()  # open blocks outside and inside of the skipped element
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(current)).split())
@@ -105,17 +129,23 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             flush()
         elif name == "br":
             current.append("\n")
+        counted = name in BLOCK and name not in VOID
+        if skipped and name in BLOCK and _ends(skipped, name, closing, inside, around):
+            flush()
+            skipped = ""
         if skipped:
-            if name == skipped:
-                depth += -1 if closing else 1
-                if depth == 0:
+            if counted or name == skipped:
+                inside[name] = max(0, inside[name] + (-1 if closing else 1))
+                if not inside[skipped]:
                     flush()
                     skipped = ""
             continue
         if not closing and name not in VOID and _is_aside(name, token[3] or "", in_main > 0):
             flush()
-            skipped, depth = name, 1
+            skipped, inside = name, Counter({name: 1})
             continue
+        if counted:
+            around[name] = max(0, around[name] + (-1 if closing else 1))
         if name in MAIN:
             in_main = max(0, in_main + (-1 if closing else 1))
             any_main = any_main or not closing

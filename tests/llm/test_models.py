@@ -164,6 +164,22 @@ def test_page_text_of_templates():
     assert html_text.main_text("<p>a</p>" * 5000).count("\n") == 4999
 
 
+def test_missing_end_tags():
+    main = "<p>The real text of the page.</p><p>It goes on.</p>"
+    text = "The real text of the page.\nIt goes on."
+    for page, want in [
+        ("<body><p class=promo>buy" + main + "</body>", text),
+        ("<ul><li class=share>x<li>one item<li>two</ul>" + main, "one item\ntwo\n" + text),
+        ("<ul><li class=share>x<ul><li>y<li>z</ul>w<li>one</ul>" + main, "one\n" + text),
+        ("<table><tr><td class=ad>x<td>cell<tr><td>more</table>" + main, "cell\nmore\n" + text),
+        ("<article><div><div class=ad>x<p>y</div></div>" + main + "</article>", text),
+        ("<article>" + main + "<section><div class=ad>x<p>y</section><p>End.</article>", text + "\nEnd."),
+        ("<article>" + main + "<div class=ad>x</p>y</div><p>End.</article>", text + "\nEnd."),
+        ("<p class=ad>x<hr>" + main, text),
+    ]:
+        assert html_text.main_text(page) == want
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, None), (None, "v", "plain words", "x"), (1, "u", PAGE, "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
