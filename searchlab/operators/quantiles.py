@@ -64,15 +64,19 @@ def exact_quantile(
         return F.min(F.when(F.col("_last") >= position, F.col("_value")))
 
     low, high = F.floor("_at"), F.ceil("_at")
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    # Both ranks must lie inside the bracket; a wrong value is never returned.
+    caught = (F.col("_below") <= F.floor("_at")) & F.col("_b").isNotNull()
+    missed = F.raise_error(F.lit("the sketch missed the quantile: raise its accuracy")).cast("double")
     return (
         ranked.groupBy(group)
-        .agg(at(low).alias("_a"), at(high).alias("_b"), F.first("_at").alias("_at"))
-        .select(
-            group,
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias(
-                name
-            ),
+        .agg(
+            at(low).alias("_a"),
+            at(high).alias("_b"),
+            F.first("_at").alias("_at"),
+            F.sum(F.when(F.col("_under"), F.col("_rows")).otherwise(0)).alias("_below"),
         )
+        .select(group, F.when(caught, between).otherwise(missed).alias(name))
     )
 
 

@@ -51,7 +51,8 @@ def allocate(sizes: DataFrame, sample_size: int, stratum: str = "stratum") -> Da
     Rounded half-even, at least 1, at most the size. What is missing is added one
     row at a time going round from the smallest stratum; what is too much is taken
     one at a time going round from the largest. Equal sizes go by name. ``sizes``
-    has one row per stratum, so the windows without partition are small.
+    has one row per stratum, and nothing larger is made of it: the windows without
+    partition sort the strata.
     """
     if sample_size <= 0:
         raise ValueError("sample_size must be positive")
@@ -70,19 +71,31 @@ def allocate(sizes: DataFrame, sample_size: int, stratum: str = "stratum") -> Da
     capacity = F.when(F.col("gap") > 0, F.col("size") - F.col("start")).otherwise(
         F.col("start") - 1
     )
-    steps = F.least(capacity, F.abs("gap"))
-    units = (
-        rounded.filter(steps > 0)
-        .withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), steps)))
-        .withColumn("place", F.row_number().over(Window.orderBy("turn", walk, stratum)))
-        .filter(F.col("place") <= F.abs("gap"))
-        .groupBy(stratum)
-        .agg((F.count("*") * F.signum(F.max("gap"))).cast("long").alias("correction"))
+    # After t turns the strata with less capacity gave all they had, the others t each: the
+    # number of full turns follows from sums over the capacities, no unit is made.
+    need, first, last = F.abs("gap"), Window.unboundedPreceding, Window.unboundedFollowing
+    by_capacity = Window.orderBy("capacity")
+    spent = F.coalesce(F.sum("capacity").over(by_capacity.rangeBetween(first, -1)), F.lit(0))
+    going = F.count("*").over(by_capacity.rangeBetween(Window.currentRow, last))
+    turns = F.floor((need - F.col("spent")) / F.col("going"))
+    end = F.struct(
+        "capacity", turns.alias("turns"), (need - F.col("spent") - turns * F.col("going")).alias("extra")
     )
-    return rounded.join(units, stratum, "left").select(
-        stratum,
-        "size",
-        (F.col("start") + F.coalesce("correction", F.lit(0).cast("long"))).alias("n"),
+    enough = F.col("spent") + F.col("capacity") * F.col("going") >= need
+    walked = (
+        rounded.withColumn("capacity", capacity)
+        .withColumns({"spent": spent, "going": going})
+        .withColumn("end", F.min(F.when(enough, end)).over(everything))
+        .withColumns({
+            "turns": F.coalesce("end.turns", F.max("capacity").over(everything)),
+            "extra": F.coalesce("end.extra", F.lit(0).cast("long")),
+        })
+    )
+    more = F.col("capacity") > F.col("turns")
+    place = F.row_number().over(Window.partitionBy(more).orderBy(walk, stratum))
+    units = F.least("capacity", "turns") + (more & (place <= F.col("extra"))).cast("long")
+    return walked.select(
+        stratum, "size", (F.col("start") + units * F.signum("gap")).cast("long").alias("n")
     )
 
 

@@ -24,8 +24,9 @@ from searchlab.operators.sampling import (
 )
 from searchlab.plans import corpus_build, views, views_sql as v
 from searchlab.plans.registry import query, rounded
-from searchlab.sources.readers import first_documents
+from searchlab.sources.readers import first_documents, read_queries, read_strings
 from searchlab.sources.staging import stage
+from searchlab.sources.writers import through_csv
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -36,7 +37,18 @@ TABLES = [
 # --- scans ------------------------------------------------------------------
 @query("scan_postings", "SELECT page_id, url FROM pages")
 def scan_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return views.table(spark, sf, "pages").select("page_id", "url")
+    """Whole pages table through CSV and the reader of raw files."""
+    pages = through_csv(views.table(spark, sf, "pages").select("page_id", "url"), "pages")
+    return read_strings(spark, pages, ["page_id", "url"]).withColumn("page_id", F.col("page_id").cast("long"))
+
+
+@query(
+    "scan_queries",
+    """SELECT 'Q' || item_id AS query_id, text AS query, 'cat' || (item_id % 5) AS category
+       FROM benchmark""",
+)
+def scan_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return read_queries(spark, through_csv(views.queries(spark, sf), "queries"))
 
 
 @query(

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from searchlab.functions.text import PASSAGE_PREFIX, QUERY_PREFIX
 from searchlab.operators import checks, evaluate, pool, quantiles
 from searchlab.operators.fusion import reciprocal_rank_fusion
 from searchlab.plans import experiment, views, views_sql as v
 from searchlab.plans.registry import query, rounded
-from searchlab.sources.readers import typed_run
+from searchlab.sources.readers import read_run
 from searchlab.sources.staging import stage
+from searchlab.sources.writers import through_csv
 
 QUALITY = ["ndcg_at_10", "mrr_at_10", "precision_at_10", "recall_at_10"]
 
@@ -86,8 +87,11 @@ FAULTY = f"{v.VECTOR_RUNS}, {v.FAULTY_RUN}"
     f"WITH {FAULTY} SELECT 'loaded' AS system, query_id, doc_id, rank, score FROM faulty_run",
 )
 def run_load(spark: SparkSession, sf: str) -> DataFrame:
-    run = views.faulty_run(views.vector_runs(spark, sf))
-    return typed_run(run, "loaded").select("system", "query_id", "doc_id", "rank", "score")
+    """The run through CSV and the reader of run files."""
+    run = through_csv(views.faulty_run(views.vector_runs(spark, sf)), "run")
+    return read_run(spark, run, "loaded").select(
+        "system", "query_id", F.col("doc_id").cast("long").alias("doc_id"), "rank", "score"
+    )
 
 
 @query(

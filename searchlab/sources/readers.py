@@ -27,21 +27,30 @@ MISSING_TOKENS = [
 
 
 def _or_null(column: str) -> Column:
-    return F.when(~F.col(column).isin(MISSING_TOKENS), F.col(column)).alias(column)
+    text = F.col(column).cast("string")
+    return F.when(~text.isin(MISSING_TOKENS), text).alias(column)
+
+
+def is_parquet(path: str) -> bool:
+    """``*.parquet``, or the folder of one system that ``write_run`` makes (``.../system=name``)."""
+    return path.rstrip("/").endswith(".parquet") or "/system=" in path
 
 
 def read_strings(
     spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """CSV as strings, missing tokens as null, only the asked columns.
+    """CSV or Parquet (see ``is_parquet``) as strings, missing tokens as null, only the asked columns.
 
-    Types are never inferred. With ``multi_line`` a quoted field may hold line
+    Types of CSV are never inferred. With ``multi_line`` a quoted field may hold line
     breaks, but then Spark reads a file in one task: store large raw files as
     several files, or convert them to Parquet once and go on from there.
     """
-    raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"'
-    )
+    if is_parquet(path):
+        raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.csv(
+            path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"'
+        )
     wanted = columns or raw.columns
     require_columns(raw, wanted, path)
     return raw.select(*[_or_null(c) for c in wanted])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from searchlab.sources.staging import new_location
+
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.write.mode("overwrite").option("compression", "snappy").parquet(path)
@@ -33,6 +35,15 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
+def through_csv(df: DataFrame, name: str) -> str:
+    """Where ``df`` was staged as CSV, in the form of the raw files."""
+    location = new_location(df.sparkSession, name)
+    df.write.csv(
+        location, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return location
+
+
 def run_metrics(run: DataFrame, latency: DataFrame, k: int) -> DataFrame:
     """Record of a search: queries, depth and latency statistics per system."""
     queries = run.groupBy("system").agg(F.count_distinct("query_id").alias("query_count"))
