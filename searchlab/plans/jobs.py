@@ -118,6 +118,18 @@ def _encoded_queries(spark: SparkSession, queries: str, encoder: Encoder) -> tup
     return asked, stage(vectors, "query_vectors")
 
 
+def _write_record(vectors: DataFrame, asked: DataFrame, system: str, k: int, output: str) -> None:
+    """One JSON row: system, documents, dimension, queries and depth of a vector run."""
+    record = vectors.agg(
+        F.lit(system).alias("system"),
+        F.count("*").alias("documents"),
+        F.max(F.size("embedding")).alias("dimension"),
+        F.lit(asked.count()).alias("query_count"),
+        F.lit(k).alias("top_k"),
+    )
+    writers.write_metrics_json(record, output)
+
+
 def dense_run(
     spark: SparkSession,
     corpus: str,
@@ -127,10 +139,14 @@ def dense_run(
     encoder: Encoder = HashedEncoder,
     k: int = 20,
     system: str = "dense_flat",
+    metrics: str | None = None,
 ) -> DataFrame:
-    """Exact search of all queries."""
+    """Exact search of all queries; ``metrics``: where the record of the run goes."""
     asked, encoded = _encoded_queries(spark, queries, encoder)
-    found = exact_top_k(readers.read_vectors(spark, vectors), encoded, k)
+    documents = readers.read_vectors(spark, vectors)
+    if metrics:
+        _write_record(documents, asked, system, k, metrics)
+    found = exact_top_k(documents, encoded, k)
     return _save_run(spark, found, asked, corpus, system, output)
 
 
@@ -149,10 +165,15 @@ def cell_runs(
     recall_k: int = 10,
     rebuild: bool = False,
 ) -> DataFrame:
-    """Build or reuse the cells, then one run per ``nprobe`` and its recall."""
+    """Build or reuse the cells, then one run per ``nprobe`` and its recall.
+
+    The run of a setting lies in the folder ``system=<name>`` of ``output``; that path is
+    what the pool and the evaluation take.
+    """
     asked, encoded = _encoded_queries(spark, queries, encoder)
     documents = readers.read_vectors(spark, vectors)
-    facts = {"documents": documents.count(), "cells": cell_count}
+    rows, dimension = documents.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    facts = {"documents": rows, "dimension": dimension, "cells": cell_count}
     if not checks.reusable(spark, cells, rebuild, **facts):
         centers = stage(ann.kmeans_centroids(documents, cell_count), "centers")
         writers.write_vectors(centers, f"{cells}.centroids")
@@ -216,6 +237,7 @@ def reduced_dense_run(
     dimension: int,
     encoder: Encoder = HashedEncoder,
     k: int = 20,
+    metrics: str | None = None,
 ) -> DataFrame:
     """Exact search on reduced vectors; queries pass through the same projection."""
     asked, encoded = _encoded_queries(spark, queries, encoder)
@@ -224,6 +246,8 @@ def reduced_dense_run(
     documents = spark.read.parquet(reduced).filter(F.col("dim") == dimension)
     if documents.isEmpty():
         raise ValueError(f"no vectors of {dimension} dimensions at {reduced}")
+    if metrics:
+        _write_record(documents, asked, f"dense_pca{dimension}", k, metrics)
     found = exact_top_k(documents, small, k)
     return _save_run(spark, found, asked, corpus, f"dense_pca{dimension}", output)
 

@@ -50,7 +50,12 @@ def test_whole_experiment(spark, folder):
     ).count() == 0
 
     jobs.encode_corpus(spark, at("corpus"), at("vectors"))
-    jobs.dense_run(spark, at("corpus"), at("queries.csv"), at("vectors"), runs["dense_flat"])
+    jobs.dense_run(
+        spark, at("corpus"), at("queries.csv"), at("vectors"), runs["dense_flat"], metrics=at("dense_record")
+    )
+    record = spark.read.json(at("dense_record")).first()
+    assert (record["documents"], record["query_count"], record["top_k"]) == (80, 3, 20)
+    assert record["dimension"] == len(spark.read.parquet(at("vectors")).first()["embedding"])
 
     recall = jobs.cell_runs(
         spark, at("corpus"), at("queries.csv"), at("vectors"), at("cells"), at("cell_runs"),
@@ -58,6 +63,7 @@ def test_whole_experiment(spark, folder):
     )
     values = {r["nprobe"]: r["ann_recall_at_10"] for r in recall.collect()}
     assert values[5] == 1.0 and 0 < values[1] <= 1
+    runs["ivf_c5_p1"] = at("cell_runs/system=ivf_c5_p1")
 
     report = jobs.reduce_vectors(
         spark, at("vectors"), at("reduced"), at("model"), at("reduction"), [4, 8]
@@ -86,7 +92,7 @@ def test_whole_experiment(spark, folder):
     rows = {r["system"]: r for r in summary.collect()}
     assert rows.keys() == runs.keys()
     assert rows["bm25"]["ndcg_at_10"] == pytest.approx(1.0)
-    assert per_query.count() == 9 and by_category.count() == 9
+    assert per_query.count() == 12 and by_category.count() == 12
     assert (folder / "metrics" / "category_metrics").is_dir()
 
 
