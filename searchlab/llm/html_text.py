@@ -14,6 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,11 @@ ASIDE_WORDS = {
     "popup", "promo", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar",
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+READER_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+TITLE_WORDS = {"header", "masthead", "banner"}
+CONTENT_WORDS = {"article", "blog", "content", "entry", "news", "post", "story", "title"}
+HAVING = {"has", "have", "no", "with", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 # Elements that may go without an end tag: the start tags that end them, and the elements that, when open
 # inside them, hold such tags of their own.
@@ -55,26 +61,54 @@ _TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# One attribute: its name and, quoted or not, its value. Matches follow one another, so no value is read as a name.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is a menu, notice, advert or the like."""
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a start tag; of a repeated name the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for one in _ATTRIBUTE.finditer(source):
+        found.setdefault(one[1].lower(), (one[2] or one[3] or one[4] or "").lower())
+    return found
+
+
+def _side_words(name: str, value: str, in_main: bool) -> set[str]:
+    """Words of a class or id that name a side part.
+
+    Names that tell what an element has or lacks (has-sidebar, layout--sidebar) do not name the element,
+    and the header of an article or a heading is its title.
+    """
+    words: set[str] = set()
+    for one in value.split():
+        parts = _WORDS.findall(one.split("--")[0] or one)
+        if parts and parts[0] in HAVING:
+            continue
+        side = ASIDE_WORDS.intersection(parts)
+        if in_main or name in HEADINGS or CONTENT_WORDS.intersection(parts):
+            side -= TITLE_WORDS
+        words |= side
+    return words
+
+
+def _aside(name: str, source: str, in_main: bool) -> str:
+    """Why an element is a menu, notice, advert or the like: tag, hidden, readers, form or box; else empty.
+
+    Forms and boxes may turn out to be wrappers of the whole page.
+    """
     if name in ASIDE:
-        return not (name == "header" and in_main)
-    if name in MAIN or name in ("html", "body"):
-        return False
-    for found in _ATTRIBUTE.finditer(attributes):
-        kind = found[1].lower()
-        value = (found[2] or found[3] or found[4] or "").lower()
-        if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
-        if kind == "role" and value in ASIDE_ROLES:
-            return True
-        if kind in ("class", "id") and ASIDE_WORDS.intersection(_WORDS.findall(value)):
-            return True
-    return False
+        return "" if name == "header" and in_main else "form" if name == "form" else "tag"
+    if name in MAIN or name in ("html", "body") or not source:
+        return ""
+    attributes = _attributes(source)
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return "hidden"
+    words = _side_words(name, attributes.get("class", ""), in_main) | _side_words(name, attributes.get("id", ""), in_main)
+    if words:
+        return "readers" if words <= READER_WORDS else "box"
+    role = attributes.get("role", "").split()[:1]
+    return "box" if role and role[0] in ASIDE_ROLES and not (in_main and role[0] == "banner") else ""
 
 
 def _ends(skipped: str, name: str, closing: bool, inside: Counter, around: Counter) -> bool:
@@ -88,9 +122,52 @@ def _ends(skipped: str, name: str, closing: bool, inside: Counter, around: Count
     return name in starts and not any(inside[h] for h in holders)
 
 
+@dataclass
+class _Skipped:
+    """A skipped element: why, whether it lies in the article or main part, and the characters that it holds."""
+
+    why: str
+    in_main: bool
+    chars: int = 0
+    has_main: bool = False
+    parts: list[int] = field(default_factory=list)  # of each article or main part inside of it
+
+
+def _wrappers(skipped: dict[int, _Skipped], parts: list[int], has_main: bool, kept: int) -> set[int]:
+    """Skipped elements that hold the article or main part, or most of the text of a page without one.
+
+    ``parts`` are the characters kept of each article or main part, ``kept`` those of the page.
+    """
+    found = set()
+    total = kept + sum(s.chars for s in skipped.values())
+    for at, one in skipped.items():
+        box = one.why in ("box", "form")
+        if one.parts:
+            rest = max(parts) if parts else kept
+            only = box and not parts and len(one.parts) == 1
+            if one.has_main and not has_main or only or max(one.parts) > rest:
+                found.add(at)
+        elif box and not parts and 2 * one.chars > total:
+            found.add(at)
+    return found
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
     """Lines of a page in order, whether each is content, whether an article is marked.
 
+    An element that is named like a side part but holds the article is read like any other.
+    """
+    spared: set[int] = set()
+    while True:
+        *result, wrappers = _read_lines(page, spared)
+        if not wrappers:
+            return tuple(result)
+        spared |= wrappers
+
+
+def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], bool, set[int]]:
+    """Lines as ``lines_of`` gives them, and the places of skipped elements that are to be spared next.
+
     Missing end tags are read as browsers do for paragraphs, list items and cells, so that a side part
     without one does not reach over the text after it.
     """
@@ -99,6 +176,10 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
     marked: list[bool] = []
     current: list[str] = []
     skipped, in_main, any_main = "", 0, False
+    boxes: dict[int, _Skipped] = {}
+    box = None
+    parts: list[int] = []  # characters kept of each article or main part
+    has_main = False
     around, inside = Counter(), Counter()  # open blocks outside and inside of the skipped element
 
     def flush() -> None:
@@ -107,6 +188,12 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             lines.append(text)
             content.append(not skipped)
             marked.append(in_main > 0)
+            if skipped:
+                box.chars += len(text)
+                if box.parts and any(inside[m] for m in MAIN):
+                    box.parts[-1] += len(text)
+            elif in_main:
+                parts[-1] += len(text)
         current.clear()
 
     at = 0
@@ -135,24 +222,35 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             skipped = ""
         if skipped:
             if counted or name == skipped:
+                if name in MAIN and not closing:
+                    box.has_main |= name == "main"
+                    if not any(inside[m] for m in MAIN):
+                        box.parts.append(0)
                 inside[name] = max(0, inside[name] + (-1 if closing else 1))
                 if not inside[skipped]:
                     flush()
                     skipped = ""
             continue
-        if not closing and name not in VOID and _is_aside(name, token[3] or "", in_main > 0):
+        why = "" if closing or name in VOID or token.start() in spared else _aside(name, token[3] or "", in_main > 0)
+        if why:
             flush()
             skipped, inside = name, Counter({name: 1})
+            box = boxes[token.start()] = _Skipped(why, in_main > 0)
             continue
         if counted:
             around[name] = max(0, around[name] + (-1 if closing else 1))
         if name in MAIN:
+            if not closing:
+                has_main |= name == "main"
+                if not in_main:
+                    parts.append(0)
             in_main = max(0, in_main + (-1 if closing else 1))
             any_main = any_main or not closing
     flush()
+    kept = sum(len(x) for x, c in zip(lines, content) if c)
     if any_main:
         content = [c and m for c, m in zip(content, marked)]
-    return lines, content, any_main
+    return lines, content, any_main, _wrappers(boxes, parts, has_main, kept)
 
 
 def stretches(lengths: np.ndarray, threshold: float) -> list[tuple[int, int]]:

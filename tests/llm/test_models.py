@@ -180,6 +180,27 @@ def test_missing_end_tags():
         assert html_text.main_text(page) == want
 
 
+def test_attribute_values_and_wrappers_are_no_side_parts():
+    long = "<p>" + "words " * 30 + "</p>"
+    text = ("words " * 30).strip()
+    for page, want in [
+        ('<article><div style="overflow:hidden"><p>One.</p></div><p title="A hidden gem">Two.</p></article>', "One.\nTwo."),
+        ('<article><p>See <a href="/p?id=menu">this</a> and <a href=/p?id=menu>that</a>.</p></article>', "See this and that."),
+        ("<article><p data-x='class=\"ad\"'>One.</p><p hidden>x</p><p CLASS=ad>x</p></article>", "One."),
+        ('<div class="layout has-sidebar"><article><p>One.</p></article><div class=sidebar>x</div></div>', "One."),
+        ('<div class="sidebar-layout"><article><p>One.</p></article><div class=sidebar>x</div></div><p>out</p>', "One."),
+        ('<main><div class="sidebar-right"><article><p>One two.</p></article></div></main>', "One two."),
+        ('<div class="nav-page">' + long + "<ul class=menu><li>x</ul></div>", text),
+        ('<form id=page><div class="widget">' + long + "<button>x</button></div></form>", text),
+        ('<article><div class="article-header"><h1>Title</h1></div><p>One.</p></article>', "Title\nOne."),
+        ('<div class="article-header">Title</div>' + long + '<div class="site-header">x</div>', "Title\n" + text),
+        ('<article><p>One long text.</p></article><div class=related><article>x</article><article>y</article></div>',
+         "One long text."),
+        ("<p>The text.</p><div id=comments>" + long + "</div>", "The text."),
+    ]:
+        assert html_text.main_text(page) == want
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, None), (None, "v", "plain words", "x"), (1, "u", PAGE, "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
