@@ -4,8 +4,9 @@ Markup is stripped so that each block element leaves one line. Lines of menus, h
 footers, sidebars, notices, adverts, forms, scripts, styles and comments keep their place but lose their
 text, and where the page marks its article or main part, so do the lines outside it. The text
 lengths of ``WINDOW`` consecutive lines are summed; the main text starts where the sum
-first surges above a threshold and ends where it dives back to nothing, and the stretch between
-with most text is kept, together with later stretches that are as dense.
+first surges above a threshold and ends with the dive back to nothing after its last surge. All lines
+between that are not skipped are kept, and so are those before and after, up to a menu of links. On pages with
+a marked article or main part the threshold is 0, so there the marks decide alone.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
-#: A stretch outside marked parts must reach this share of the highest window sum.
-SURGE = 0.1
+#: A window of more characters begins the main text of a page without marked parts, however long others are.
+#: Where none has more, every line that is not skipped is kept.
+SURGE = 86
 
 # Element names and words of the HTML language and of common page templates.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas"}
@@ -152,8 +154,8 @@ def _wrappers(skipped: dict[int, _Skipped], parts: list[int], has_main: bool, ke
     return found
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
-    """Lines of a page in order, whether each is content, whether an article is marked.
+def lines_of(page: str) -> tuple[list[str], list[bool], list[bool], bool]:
+    """Lines of a page in order, whether each is content, whether it is links only, whether an article is marked.
 
     An element that is named like a side part but holds the article is read like any other.
     """
@@ -165,7 +167,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
         spared |= wrappers
 
 
-def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], bool, set[int]]:
+def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], list[bool], bool, set[int]]:
     """Lines as ``lines_of`` gives them, and the places of skipped elements that are to be spared next.
 
     Missing end tags are read as browsers do for paragraphs, list items and cells, so that a side part
@@ -173,6 +175,7 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], boo
     """
     lines: list[str] = []
     content: list[bool] = []
+    links: list[bool] = []
     marked: list[bool] = []
     current: list[str] = []
     skipped, in_main, any_main = "", 0, False
@@ -180,13 +183,16 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], boo
     box = None
     parts: list[int] = []  # characters kept of each article or main part
     has_main = False
+    in_link, plain = False, False  # plain: the current line has text outside of links, or is a heading
     around, inside = Counter(), Counter()  # open blocks outside and inside of the skipped element
 
     def flush() -> None:
+        nonlocal plain
         text = " ".join(html.unescape("".join(current)).split())
         if text:
             lines.append(text)
             content.append(not skipped)
+            links.append(not plain)
             marked.append(in_main > 0)
             if skipped:
                 box.chars += len(text)
@@ -195,11 +201,13 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], boo
             elif in_main:
                 parts[-1] += len(text)
         current.clear()
+        plain = False
 
     at = 0
     while True:
         token = _TOKEN.search(page, at)
         current.append(page[at : token.start() if token else len(page)])
+        plain = plain or not in_link and not current[-1].isspace() and bool(current[-1])
         if token is None:
             break
         at = token.end()
@@ -212,8 +220,11 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], boo
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if name == "a":
+            in_link = not closing and "href" in _attributes(token[3] or "")
         if name in BLOCK:
             flush()
+            plain = name in HEADINGS and not closing
         elif name == "br":
             current.append("\n")
         counted = name in BLOCK and name not in VOID
@@ -250,7 +261,7 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], boo
     kept = sum(len(x) for x, c in zip(lines, content) if c)
     if any_main:
         content = [c and m for c, m in zip(content, marked)]
-    return lines, content, any_main, _wrappers(boxes, parts, has_main, kept)
+    return lines, content, links, any_main, _wrappers(boxes, parts, has_main, kept)
 
 
 def stretches(lengths: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -270,15 +281,40 @@ def stretches(lengths: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return found
 
 
+def _neighbours(content: list[bool], links: list[bool], start: int, end: int) -> tuple[int, int]:
+    """The range with the content lines before and after it, up to ``WINDOW`` lines of links in a row.
+
+    Skipped lines between do not end it, since they tell nothing of the lines behind them.
+    """
+
+    def reach(places: range, edge: int) -> int:
+        run, last = 0, edge
+        for i in places:
+            if not content[i]:
+                continue
+            run = run + 1 if links[i] else 0
+            if run == WINDOW:
+                return edge
+            last = i
+            if not run:
+                edge = i
+        return last
+
+    return reach(range(start - 1, -1, -1), start), reach(range(end, len(content)), end - 1) + 1
+
+
 def main_text(page: str) -> str:
     """Main text of one page, blocks joined by a line break."""
-    lines, content, marked = lines_of(page)
+    lines, content, links, marked = lines_of(page)
     lengths = np.array([len(x) if c else 0 for x, c in zip(lines, content)], dtype=np.int64)
     if not lengths.any():
         return ""
     sums = np.convolve(lengths, np.ones(WINDOW, np.int64))
-    found = stretches(lengths, 0 if marked else SURGE * sums.max())
-    return "\n".join(lines[i] for a, b in found for i in range(a, b) if content[i])
+    found = stretches(lengths, 0 if marked or sums.max() <= SURGE else SURGE)
+    start, end = found[0][0], found[-1][1]
+    if not marked:
+        start, end = _neighbours(content, links, start, end)
+    return "\n".join(lines[i] for i in range(start, end) if content[i])
 
 
 def extract_pages(

@@ -201,6 +201,31 @@ def test_attribute_values_and_wrappers_are_no_side_parts():
         assert html_text.main_text(page) == want
 
 
+def unmarked(lengths):
+    texts = ["x" * n for n in lengths]
+    return texts, [f"<p>{t}</p>" for t in texts]
+
+
+def test_long_paragraph_does_not_cut_the_others():
+    box = "<div class=related><p>a</p><p>b</p><p>c</p><p>d</p></div>"
+    for lengths in ([20, 150, 150, 150, 150, 8000], [8000, 150, 150, 20], [20, 30, 8000, 30, 20, 10], [5, 6, 7, 90_000]):
+        texts, blocks = unmarked(lengths)
+        assert html_text.main_text("".join(blocks)) == "\n".join(texts)
+        for at in range(len(blocks) + 1):
+            page = "".join([*blocks[:at], box, *blocks[at:]])
+            assert html_text.main_text(page) == "\n".join(texts), (lengths, at)
+
+
+def test_menu_of_links_before_the_text_goes():
+    texts, blocks = unmarked([20, 150, 8000, 150, 30])
+    menu = "<ul>" + "<li><a href=/x>Page</a>" * 6 + "</ul>"
+    source = "<p><a href=/y>Source</a></p>"
+    page = "<body>" + menu + "<hr><p>By me</p>" + "".join(blocks) + source + "<p>End.</p></body>"
+    got = html_text.main_text(page).split("\n")
+    assert [x for x in got if x != "Page"] == ["By me", *texts, "Source", "End."] and got.count("Page") <= 2
+    assert html_text.main_text(menu).count("Page") == 6
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, None), (None, "v", "plain words", "x"), (1, "u", PAGE, "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
