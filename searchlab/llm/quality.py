@@ -3,7 +3,7 @@
 Each whole text becomes ``FEATURES`` transformed statistics, one pass without a shuffle.
 Counts, sums and products of the labelled rows are added up by Spark for each class (all
 labelled training rows, no sample); the driver receives (1 + d + d * d) numbers for each class.
-The covariance of a class is shrunk toward the pooled diagonal; its Cholesky factor is inverted once and
+The covariance of a class is shrunk toward the pooled diagonal, that of a rare class more; its Cholesky factor is inverted once and
 sent to the tasks, which turn Mahalanobis distances into log-density differences.
 """
 
@@ -104,8 +104,8 @@ class Discriminant:
 def fit_discriminant(statistics_of: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
     """Fit on all labelled rows (``labels``: doc_id, quality 0 or 1; others are ignored).
 
-    Repeated labels count each. Where a class has fewer rows than there are statistics, every score is
-    the smoothed share of label 1.
+    Repeated labels count each. The fewer rows a class has beside the statistics, the more its covariance is
+    shrunk. Only where a class has no row at all, every score is the smoothed share of label 1.
     """
     d = len(FEATURES)
 
@@ -137,7 +137,7 @@ def fit_discriminant(statistics_of: DataFrame, labels: DataFrame, shrinkage: flo
         moments[label, at] = value
     moments = moments.reshape(2, d + 1, d + 1)
     n = moments[:, 0, 0]
-    if n.min() < d + 1:
+    if not n.min():
         return Discriminant(constant=float((n[1] + 1) / (n.sum() + 2)))
     means = moments[:, 0, 1:] / n[:, None]
     covariance = np.array([
@@ -146,7 +146,8 @@ def fit_discriminant(statistics_of: DataFrame, labels: DataFrame, shrinkage: flo
     pooled = np.diag(np.tensordot(n / n.sum(), covariance, 1).diagonal() + FLOOR)
     whiten, offsets = [], []
     for k in (0, 1):
-        factor = np.linalg.cholesky((1 - shrinkage) * covariance[k] + shrinkage * pooled)
+        shrunk = shrinkage + (1 - shrinkage) * d**2 / (d**2 + n[k] ** 2)
+        factor = np.linalg.cholesky((1 - shrunk) * covariance[k] + shrunk * pooled)
         whiten.append(np.linalg.inv(factor))
         offsets.append(math.log(n[k] / n.sum()) - np.log(factor.diagonal()).sum())
     return Discriminant(None, means, np.array(whiten), np.array(offsets))

@@ -69,6 +69,20 @@ def test_quality_on_held_out_rows(spark, documents):
     assert np.mean(hits) >= 0.95
 
 
+def test_rare_label_is_learnt(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality in (0, 1)")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    bad = sorted(d for d, q in truth.items() if q == 0 and not held_out(d))
+    for n in (1, 8):
+        known = labels.filter(labels.quality.eqNullSafe(1) | labels.doc_id.isin(bad[:n]))
+        rows = quality.quality_scores(documents, known).filter("held_out").collect()
+        rows = [r for r in rows if r.doc_id in truth]
+        good = np.array([r.score for r in rows if truth[r.doc_id] == 1])
+        poor = np.array([r.score for r in rows if truth[r.doc_id] == 0])
+        assert np.mean(poor < quality.THRESHOLD) >= (0.6 if n == 8 else 0.1)
+        assert np.mean(good >= quality.THRESHOLD) >= 0.95
+
+
 def test_quality_edge_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, None), (99, 0)], "doc_id long, quality int")
     rows = quality.quality_scores(edge_documents(spark), labels).collect()

@@ -39,6 +39,16 @@ def test_pipeline_equals_its_steps(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_quality_stage_rejects_documents(spark):
+    docs = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rejected = [truth[r.doc_id] for r in docs.collect() if r.doc_id in truth and r.doc_id not in kept]
+    assert rejected.count(0) >= 8 and rejected.count(1) <= 3
+    assert 0 < len(kept) < docs.count()
+
+
 def test_stages_on_empty_documents(spark):
     docs = table(spark, SF, "documents").filter("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
