@@ -1,4 +1,4 @@
-"""Bulk-synchronous best-fit packing of pieces into sequences of a fixed capacity.
+"""Best-fit packing of pieces into sequences of a fixed capacity; the sweep over lengths runs on the driver.
 
 Documents are range-sorted by length; a document's rank among those of equal length comes
 from the counts of the sorted partitions, so no group is gathered. Gaps are kept sorted by
@@ -9,6 +9,9 @@ i of the run), runs get their new capacity, and the next class follows, until al
 placed. A class that finds no gap opens new sequences. All the classes of a length give
 the state of an ordinary best-fit-decreasing pass, so the number of sequences is the same.
 
+Spark sorts, ranks and places; the steps themselves are one sequential loop on the driver, in place of
+a distributed sweep, which would need a job for each length class.
+
 What the driver sees is one count for each length and sorted partition, and the runs.
 Both are bounded by the capacity and the number of partitions, not by the documents.
 """
