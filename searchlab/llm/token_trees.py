@@ -76,9 +76,13 @@ class SumTree:
 
 
 def recount(
-    leaves: list[str], counts: SumTree, edits: list[tuple[int, int, str]], encoder: Encoder
+    leaves: list[str], counts: SumTree, edits: list[tuple[int, int, str]], encoder: Encoder,
+    changed: list[tuple[int, int, str]] | None = None,
 ) -> tuple[int, int]:
-    """Update ``counts`` for edits of the old text; (new total, characters re-encoded)."""
+    """Update ``counts`` for edits of the old text; (new total, characters re-encoded).
+
+    ``changed`` takes the (first, last) leaves that were edited and their new text.
+    """
     chars = SumTree.of([len(x) for x in leaves])
     regions: list[list] = []
     for start, stop, replacement in sorted(edits):
@@ -107,9 +111,29 @@ def recount(
         for leaf in range(first + 1, last + 1):
             counts.set(leaf, 0)
         encoded += len(new)
+        if changed is not None:
+            changed.append((first, last, new))
     return counts.total, encoded
 
 
+def spliced(
+    leaves: list[str], counts: SumTree, edits: list[tuple[int, int, str]], encoder: Encoder
+) -> tuple[list[str], SumTree]:
+    """Leaves and tree of the text after edits; only the edited leaves are cut and encoded again."""
+    values = counts.nodes[counts.size :].tolist()
+    changed: list[tuple[int, int, str]] = []
+    recount(leaves, SumTree(counts.nodes.copy()), edits, encoder, changed)
+    new_leaves, new_values, done = [], [], 0
+    for first, last, text in changed:
+        own = leaves_of(text) if text else []
+        new_leaves += [*leaves[done:first], *own]
+        new_values += [*values[done:first], *(len(encoder.ids(x)) for x in own)]
+        done = last + 1
+    new_leaves += leaves[done:]
+    new_values += values[done : len(leaves)]
+    return new_leaves or [""], SumTree.of(new_values or [0])
+
+
 def build_trees(
     docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -180,6 +204,38 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None) -
     )
 
 
+def edit_trees(trees: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
+    """The trees after edits, with the columns of ``build_trees``, so that a next batch of edits can follow.
+
+    ``edits`` are those of ``apply_edits``.
+    """
+    path = tokenizer or default_tokenizer()
+    source = trees.select("doc_id", "leaves", "counts", edits.cast(EDITS).alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                rows = []
+                for leaves, counts, own in zip(batch.column(1), batch.column(2), batch.column(3)):
+                    own = [(e["start"], e["stop"], e["replacement"] or "") for e in own.as_py() or []]
+                    rows.append(spliced(leaves.as_py(), SumTree(np.frombuffer(counts.as_py(), "<i8")), own, encoder))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array([x for x, _ in rows], pa.list_(pa.string())),
+                        pa.array([t.nodes.tobytes() for _, t in rows], pa.binary()),
+                        pa.array([t.total for _, t in rows], pa.int64()),
+                        pa.array([sum(map(len, x)) for x, _ in rows], pa.int64()),
+                    ],
+                    ["doc_id", "leaves", "counts", "n_tokens", "n_chars"],
+                )
+
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, leaves array<string>, counts binary, n_tokens long, n_chars long"
+    return source.mapInArrow(run, schema)
+
+
 def revision(slots: int = 3, longest: int = 24) -> Column:
     """Edits derived from id and length: one in each of ``slots`` equal parts of the text.
 

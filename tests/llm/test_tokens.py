@@ -124,6 +124,29 @@ def test_leaves_add_up_and_edits_equal_a_full_count(encoder):
         assert token_trees.recount(leaves, tree, edits, encoder)[0] == len(encoder.ids(new)), (text, edits)
 
 
+def test_edits_follow_one_another(spark, encoder):
+    random.seed(11)
+    parts = ["word", " ", "  ", "\n", "'s", "1", "23", ".", "é", " the", "x" * 40]
+    for _ in range(40):
+        text = "".join(random.choices(parts, k=random.randint(0, 400)))
+        leaves = token_trees.leaves_of(text)
+        tree = token_trees.SumTree.of([len(encoder.ids(x)) for x in leaves])
+        for _ in range(4):
+            marks = sorted(random.choices(range(len(text) + 1), k=2))
+            by = random.choice(["", " new", "\n", "n't", "  ", " 9", " more words" * 60])
+            leaves, tree = token_trees.spliced(leaves, tree, [(*marks, by)], encoder)
+            text = text[: marks[0]] + by + text[marks[1] :]
+            assert "".join(leaves) == text and tree.total == len(encoder.ids(text))
+    trees = token_trees.build_trees(edge_documents(spark))
+    for _ in range(2):
+        trees = token_trees.edit_trees(trees, token_trees.revision())
+    rows = trees.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        text = "".join(r.leaves)
+        assert r.n_chars == len(text) and r.n_tokens == len(whole(encoder, text))
+
+
 def test_token_trees_edge_rows(spark, encoder):
     trees = token_trees.build_trees(edge_documents(spark))
     rows = token_trees.apply_edits(trees, token_trees.revision()).collect()
