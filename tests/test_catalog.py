@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from searchlab.plans.catalog import QUERIES
 from tests.compare import check, connect
 
 SF = os.environ.get("TEST_SF", "0.001")
@@ -15,7 +16,7 @@ def connection():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_check_sql(spark, connection, name):
     problem, rows, _, _ = check(spark, connection, name, SF)
     assert problem is None
