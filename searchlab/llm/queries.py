@@ -17,6 +17,7 @@ from searchlab.llm.packed_ids import packed_matrix
 from searchlab.llm.personal_data import find_personal_data
 from searchlab.llm.quality import quality_scores
 from searchlab.llm.radix_dedup import exact_groups
+from searchlab.llm.token_alignment import aligned_tokens
 from searchlab.llm.token_trees import apply_edits, build_trees, revision
 from searchlab.llm.tokens import token_pieces
 from searchlab.sources.staging import stage
@@ -106,6 +107,10 @@ QUALIFY rank <= 10
 """
 
 
+def op13_galloping_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_id_matrix": op1_packed_id_matrix,
     "op2_radix_dedup": op2_radix_dedup,
@@ -118,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_block_text": op9_line_block_text,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_strassen_hard_negatives": op11_strassen_hard_negatives,
+    "op13_galloping_token_alignment": op13_galloping_token_alignment,
 }
 CHECK_SQL = {"op2_radix_dedup": OP2_SQL, "op11_strassen_hard_negatives": OP11_SQL}
