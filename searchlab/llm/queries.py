@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from searchlab.llm.best_fit import best_fit
 from searchlab.llm.common import table
+from searchlab.llm.count_tree import jaccard_components
 from searchlab.llm.edit_match import benchmark_matches
 from searchlab.llm.hard_negatives import hard_negatives
 from searchlab.llm.html_text import extract_pages
@@ -107,6 +108,43 @@ QUALIFY rank <= 10
 """
 
 
+def op12_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def jaccard_sql(words: int, percent: int, columns: str) -> str:
+    """Word shingle sets, all pairs that share a shingle, and the closure of the links."""
+    return f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+g AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(w) - {words - 1}, 1) + 1),
+        lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS g
+    FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g),
+t AS (SELECT doc_id, unnest(g) AS shingle FROM g),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (
+    SELECT doc_id AS node, doc_id AS low FROM n
+    UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b),
+c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT {columns} FROM n JOIN c ON c.node = n.doc_id
+"""
+
+
+OP10_SQL = jaccard_sql(2, 80, "doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept")
+OP12_SQL = jaccard_sql(3, 90, "doc_id, n AS n_shingles, component_id")
+
+
 def op13_galloping_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_tokens(table(spark, sf_dir, "documents"))
 
@@ -123,6 +161,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_block_text": op9_line_block_text,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_strassen_hard_negatives": op11_strassen_hard_negatives,
+    "op12_count_tree_join": op12_count_tree_join,
     "op13_galloping_token_alignment": op13_galloping_token_alignment,
 }
-CHECK_SQL = {"op2_radix_dedup": OP2_SQL, "op11_strassen_hard_negatives": OP11_SQL}
+CHECK_SQL = {
+    "op2_radix_dedup": OP2_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
+    "op11_strassen_hard_negatives": OP11_SQL,
+    "op12_count_tree_join": OP12_SQL,
+}

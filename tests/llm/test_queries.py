@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.CHECK_SQL))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table_name in ("documents", "embeddings"):
+        connection.execute(f"CREATE VIEW {table_name} AS SELECT * FROM '{SF}/{table_name}.parquet'")
     cursor = connection.execute(queries.CHECK_SQL[name])
     names = [d[0] for d in cursor.description]
     result = queries.QUERIES[name](spark, SF)
