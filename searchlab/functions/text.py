@@ -24,22 +24,24 @@ UNKNOWN_GROUP = "unknown"
 
 
 def _folding_alphabet() -> tuple[str, str]:
-    """Lower-case letters with a diacritic -> their base letter.
+    """Lower-case letters and what an index takes them for.
 
-    Combining marks are listed last without a counterpart, which deletes them.
+    A Latin letter with one diacritic counts as the plain letter; with two it keeps both, and
+    other scripts keep theirs. Letter variants that only case folding unites (final sigma,
+    long s) count as the common form. The marks that stand behind a Latin letter without
+    changing its place in the alphabet are listed last without a counterpart, which deletes them.
     """
-    accented, base = [], []
-    for point in [*range(0xC0, 0x250), *range(0x370, 0x500), *range(0x1E00, 0x2000)]:
-        char = chr(point)
-        decomposed = unicodedata.normalize("NFD", char)
-        marks_only = all(unicodedata.combining(c) for c in decomposed[1:])
-        if len(decomposed) > 1 and marks_only and char == char.lower():
-            accented.append(char)
-            base.append(decomposed[0])
-    accented.append("ς")
-    base.append("σ")
-    marks = [chr(p) for p in range(0x300, 0x370) if unicodedata.combining(chr(p))]
-    return "".join(accented + marks), "".join(base)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    marks = [chr(p) for p in range(0x300, 0x370) if unicodedata.normalize("NFC", chr(p)) == chr(p)]
+    composed = {unicodedata.normalize("NFC", b + m): (b, m) for b in letters for m in marks}
+    composed = {c: pair for c, pair in composed.items() if len(c) == 1}
+    folded = {c: base for c, (base, _) in composed.items()}
+    for char in map(chr, [*range(0x80, 0x400), *range(0x1E00, 0x2000)]):
+        common = char.casefold()
+        if char == char.lower() and len(common) == 1 and common != char:
+            folded[char] = folded.get(common, common)
+    gone = sorted({mark for _, mark in composed.values()})
+    return "".join([*folded, *gone]), "".join(folded.values())
 
 
 FOLD_FROM, FOLD_TO = _folding_alphabet()
@@ -88,7 +90,7 @@ def query_tokens(text: Column) -> Column:
 
 
 def document_tokens(text: Column) -> Column:
-    """Letter/number runs, lower-cased, without diacritics."""
+    """Letter/number runs, lower-cased, Latin letters without their diacritic."""
     folded = F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
     return F.regexp_extract_all(folded, F.lit(DOCUMENT_TOKEN_PATTERN), F.lit(0))
 

@@ -143,13 +143,26 @@ def tokens_of_queries(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("pos", F.col("pos").cast("long"))
 
 
+# What a full-text index with plain Latin folding makes of these words.
+SCRIPT_WORDS = {
+    "Ελλάδα": "ελλάδα", "καφές": "καφέσ", "ΟΔΟΣ": "οδοσ", "ёлка": "ёлка", "йод": "йод", "ЙОД": "йод",
+    "Việt": "việt", "tiếng": "tiếng", "ường": "uờng", "Đà": "đa", "résumé": "resume",
+    "Ångström": "angstrom", "ŠKODA": "skoda", "café": "cafe", "naïve": "naive", "ǖ": "ǖ",
+    "ſenſe": "sense", "İstanbul": "istanbul", "x²": "x²", "Ｆｕｌｌ": "ｆｕｌｌ", "東京": "東京",
+    "étude": "etude", "µm": "μm",
+}
+
+
 @query(
     "doc_tokens",
-    f"""WITH t AS (SELECT doc_id, {v.tokens("text")} AS list FROM documents)
+    f"""WITH t AS (SELECT doc_id, {v.tokens("text")} AS list FROM documents
+               UNION ALL SELECT -1, {list(SCRIPT_WORDS.values())})
         SELECT doc_id, unnest(list) AS token, generate_subscripts(list, 1) - 1 AS pos FROM t""",
 )
 def tokens_of_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = views.table(spark, sf, "documents")
+    """All documents, and one more text with words of several scripts."""
+    scripts = spark.range(1).select(F.lit(-1).cast("long"), F.lit(" ".join(SCRIPT_WORDS)))
+    documents = views.table(spark, sf, "documents").select("doc_id", "text").unionAll(scripts)
     return documents.select(
         "doc_id", F.posexplode(document_tokens(F.col("text"))).alias("pos", "token")
     ).withColumn("pos", F.col("pos").cast("long"))

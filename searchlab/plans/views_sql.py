@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from searchlab.functions.text import (
-    DOCUMENT_TOKEN_PATTERN,
-    FOLD_FROM,
-    FOLD_TO,
-)
+from searchlab.functions.text import DOCUMENT_TOKEN_PATTERN
 from searchlab.operators.encode import DIMENSION
 from searchlab.operators.sampling import RARE_LIMIT, SEED
 from searchlab.operators.topk import SCORE_DIGITS
@@ -19,10 +15,22 @@ SPACE_CLASS = (
 )
 
 
+# Single diacritics composed by this engine; a map of its own, not that of ``functions.text``.
+COMPOSED = """
+  (SELECT b, m, nfc_normalize(b || m) AS c
+   FROM (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS b),
+        (SELECT chr(unnest(range(768, 880))::INTEGER) AS m)
+   WHERE length(nfc_normalize(b || m)) = 1 AND nfc_normalize(m) = m)"""
+VARIANTS, COMMON_FORMS = "ςµſẛϐϑϕϖϰϱϵ", "σμssβθφπκρε"
+
+
 def tokens(text: str) -> str:
+    folding = f"(SELECT string_agg(c, '' ORDER BY c) FROM {COMPOSED})"
+    plain = f"(SELECT string_agg(b, '' ORDER BY c) FROM {COMPOSED})"
+    marks = f"(SELECT string_agg(DISTINCT m, '') FROM {COMPOSED})"
     return (
-        f"regexp_extract_all(translate(lower({text}), '{FOLD_FROM}', '{FOLD_TO}'), "
-        f"'{DOCUMENT_TOKEN_PATTERN}')"
+        f"regexp_extract_all(translate(lower({text}), '{VARIANTS}' || {folding} || {marks}, "
+        f"'{COMMON_FORMS}' || {plain}), '{DOCUMENT_TOKEN_PATTERN}')"
     )
 
 

@@ -1,10 +1,12 @@
 """Hand cases of the text expressions."""
 
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from searchlab.functions import text as t
+from searchlab.plans.catalog_corpus import SCRIPT_WORDS
 
 
 def values(spark, column, *rows):
@@ -64,3 +66,33 @@ def test_tokens(spark):
 @pytest.mark.parametrize("text", ["", "  ", "one", " a b c \n d ", "x\x1cy"])
 def test_word_count_like_python_split(spark, text):
     assert values(spark, t.word_count(F.col("c0")), (text,)) == [len(text.split())]
+
+
+def index_tokens(texts):
+    """Tokens that SQLite's full-text index makes of each text."""
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize = 'unicode61')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts)))
+    found = [[] for _ in texts]
+    for term, doc in db.execute("SELECT term, doc FROM v ORDER BY doc, offset"):
+        found[doc].append(term)
+    return found
+
+
+def test_letters_fold_as_in_the_index(spark):
+    """Every letter of Latin, Greek, Cyrillic and Vietnamese blocks, and every mark behind a letter."""
+    letters = [chr(p) for p in [*range(0xAA, 0x370), *range(0x370, 0x528), *range(0x1E00, 0x2000)]]
+    # A letter newer than the tables of the index.
+    unknown = {chr(0x37F)}
+    texts = [f"x{c}y" for c in letters if (c.isalpha() or 0x300 <= ord(c) < 0x332) and c not in unknown]
+    want = index_tokens(texts)
+    got = values(spark, t.document_tokens(F.col("c0")), *[(x,) for x in texts])
+    assert [(x, g) for x, g, w in zip(texts, got, want) if g != w] == []
+    assert len(texts) > 1100
+
+
+def test_script_words_fold_as_in_the_index(spark):
+    want = index_tokens(list(SCRIPT_WORDS))
+    assert [[w] for w in SCRIPT_WORDS.values()] == want
+    assert values(spark, t.document_tokens(F.col("c0")), *[(w,) for w in SCRIPT_WORDS]) == want
