@@ -1,10 +1,28 @@
-"""Field-weighted BM25 over an inverted index kept as Parquet tables."""
+"""Field-weighted BM25 over an inverted index kept as Parquet tables.
+
+A posting's score is the query's weight of the term times the posting's saturation, which the
+index fixes. Postings lie in blocks: those of one term in documents of about one length.
+The largest saturation of each block is kept, so the most that a block can add to a score is
+known before any of its postings is read.
+
+A search needs only the best k documents of each query:
+
+1. In each class of length the blocks that can add least are set aside, as long as all of them
+   together stay below a small share of what the query can score at most. These are the common
+   words, whose postings are most of the index. The others are read and summed.
+2. The k-th best of these sums is a bar that every document of the result reaches. Documents stay
+   whose sum reaches it together with the most that the blocks set aside could add.
+3. Only for these documents the postings set aside are looked up.
+
+A document that is only in blocks set aside stays below the bar. Where the bar is too low to
+say so, as when there are fewer than k documents, that query reads all its blocks. The result is exact.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from searchlab.functions.text import document_tokens, query_tokens
 from searchlab.operators.topk import rank_top_k
@@ -16,108 +34,169 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 
-TERM_BUCKETS = 64
+MIN_BUCKETS, MAX_BUCKETS = 16, 16384
+BUCKET_BYTES = 32 * 1024 * 1024  # of indexed text
+LENGTH_CLASSES = 2  # for each doubling of the document length
+ASIDE = 1 / 32  # of a query's largest possible score
+SLACK = 1e-9  # scores are sums in any order
+PRUNE_FROM = 50_000_000  # postings of a batch; below, the rounds of pruning cost more than they save
 
 
-def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _term_counts(fields: dict[str, float]) -> Column:
+    """Array of (doc_len, term, wtf, tf) of a row, counted inside of the row.
+
+    Each token gets the number of its field as a last character below all letters; sorted, the
+    tokens of a term stand together, and its fields in order. Ends of runs give the counts.
+    """
+    def tagged(field: str, number: int) -> Column:
+        return F.transform(document_tokens(F.coalesce(field, F.lit(""))), lambda t: F.concat(t, F.lit(chr(number))))
+
+    weights = F.array(*[F.lit(float(w)) for w in fields.values()])
+
+    def run(tokens: Column, ends: Column, end: Column, number: Column) -> Column:
+        token = F.get(tokens, end - 1)
+        n = end - F.coalesce(F.get(ends, number - 1), F.lit(0))
+        weight = F.get(weights, F.ascii(F.right(token, F.lit(1))) - 1)
+        return F.struct(
+            F.left(token, F.length(token) - 1).alias("term"), (weight * n).alias("wtf"), n.cast("long").alias("tf")
+        )
+
+    def merged(tokens: Column, runs: Column) -> Column:
+        def over(r: Column, number: Column, name: str) -> Column:
+            """Sum over the runs of the term that ends here, one for each field at most."""
+            total = r[name]
+            for back in range(1, len(fields)):
+                before = F.get(runs, number - back)
+                total += F.when(before["term"] == r["term"], before[name]).otherwise(F.lit(0))
+            return total
+
+        return F.array_compact(F.transform(runs, lambda r, number: F.when(
+            ~r["term"].eqNullSafe(F.get(runs, number + 1)["term"]),
+            F.struct(
+                F.size(tokens).cast("long").alias("doc_len"), r["term"].alias("term"),
+                over(r, number, "wtf").alias("wtf"), over(r, number, "tf").alias("tf"),
+            ),
+        )))
+
+    def counted(tokens: Column) -> Column:
+        ends = F.array_compact(F.transform(
+            tokens, lambda t, i: F.when(~t.eqNullSafe(F.get(tokens, i + 1)), i + 1)
+        ))
+        return _with(ends, lambda ends: _with(
+            F.transform(ends, lambda end, number: run(tokens, ends, end, number)), lambda runs: merged(tokens, runs)
+        ))
+
+    return _with(F.sort_array(F.concat(*[tagged(f, n) for n, f in enumerate(fields, 1)])), counted)
+
+
 def build_postings(
     corpus: DataFrame, doc_col: str = "doc_id", fields: dict[str, float] = FIELD_WEIGHTS
 ) -> DataFrame:
     """``(doc_id, doc_len, term, wtf, tf)``: one row per document and term.
 
     ``wtf`` is the term frequency weighted by field, ``doc_len`` the unweighted
-    number of tokens of all indexed fields. The texts are placed by document before
-    they are cut up: that is the only shuffle, the counting below needs none, and
-    the text is several times smaller than its postings.
+    number of tokens of all indexed fields. Counting needs no shuffle; every row of ``corpus`` is
+    a document of its own.
     """
-    tokens = corpus.select(doc_col, *fields).repartition(doc_col).select(
-        doc_col, *[document_tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields]
-    )
-    lengths = [F.size(f) for f in fields]
-    weighted = F.array(
-        *[
-            F.struct(F.lit(float(weight)).alias("weight"), F.col(field).alias("terms"))
-            for field, weight in fields.items()
-        ]
-    )
-    return (
-        tokens.select(
-            doc_col,
-            sum(lengths[1:], lengths[0]).cast("long").alias("doc_len"),
-            F.explode(weighted).alias("field"),
-        )
-        .select(
-            doc_col,
-            "doc_len",
-            F.col("field.weight").alias("weight"),
-            F.explode("field.terms").alias("term"),
-        )
-        .groupBy(doc_col, "doc_len", "term")
-        .agg(F.sum("weight").alias("wtf"), F.count("*").alias("tf"))
+    return corpus.select(doc_col, F.explode(_term_counts(fields)).alias("_p")).select(
+        doc_col, "_p.doc_len", "_p.term", "_p.wtf", "_p.tf"
     )
 
 
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+def length_class(doc_len: Column) -> Column:
+    return F.floor(F.log2(doc_len) * LENGTH_CLASSES).cast("int")
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tables of an index: postings by term bucket, term counts, one row of totals."""
+    """Tables of an index: postings and blocks by term bucket, one row of totals."""
 
     postings: DataFrame
-    terms: DataFrame
+    blocks: DataFrame
     totals: DataFrame
     doc_col: str = "doc_id"
-    buckets: int = TERM_BUCKETS
+    buckets: int = MIN_BUCKETS
+
+    @property
+    def terms(self) -> DataFrame:
+        """``(term, df)``: documents that hold the term."""
+        return self.blocks.groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _bucket_count(corpus: DataFrame, fields: dict[str, float]) -> int:
+    size = sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in fields), F.lit(0).cast("long"))
+    total = corpus.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return min(max(-(-total // BUCKET_BYTES), MIN_BUCKETS), MAX_BUCKETS)
 
 
 def write_index(
     corpus: DataFrame,
     location: str | None = None,
     doc_col: str = "doc_id",
-    buckets: int = TERM_BUCKETS,
+    buckets: int | None = None,
     fields: dict[str, float] = FIELD_WEIGHTS,
 ) -> LexicalIndex:
     """Tokenise once and write the index; every later search only reads it.
 
-    More ``buckets`` let a search skip more of a large index. ``rebalance`` splits the
-    postings of a very common term over many files and merges the buckets of rare ones.
+    The number of buckets follows from the size of the texts unless it is given. ``rebalance``
+    is the one shuffle: it splits the postings of a very common term over many files and merges the
+    buckets of rare ones. Files are sorted by term and length class, so that a search skips what
+    lies between its blocks.
     """
     spark = corpus.sparkSession
     location = location or new_location(spark, "lexical_index")
+    buckets = buckets or _bucket_count(corpus, fields)
     (
         build_postings(corpus, doc_col, fields)
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
+        .withColumn("class", length_class(F.col("doc_len")))
         .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "term", "class")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{location}/postings")
     )
     postings = spark.read.parquet(f"{location}/postings")
-    document_frequencies(postings).write.mode("overwrite").parquet(f"{location}/terms")
     # Documents without any token count in the totals as well.
     totals = corpus.agg(F.count("*").alias("documents")).withColumn(
         "tokens", postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
     )
-    totals.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(
-        f"{location}/totals"
+    totals = totals.withColumns({
+        "buckets": F.lit(buckets), "weights": F.lit(",".join(f"{f}={float(w)}" for f, w in fields.items())),
+    })
+    totals.write.mode("overwrite").parquet(f"{location}/totals")
+    totals = spark.read.parquet(f"{location}/totals")
+    (
+        postings.groupBy("bucket", "term", "class")
+        .agg(F.count("*").alias("n"), F.max(_saturation(totals)).alias("most"))
+        .hint("rebalance", "bucket")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(f"{location}/blocks")
     )
     return read_index(spark, location, doc_col)
 
 
 def read_index(spark, location: str, doc_col: str = "doc_id") -> LexicalIndex:
     totals = spark.read.parquet(f"{location}/totals")
-    return LexicalIndex(
-        postings=spark.read.parquet(f"{location}/postings"),
-        terms=spark.read.parquet(f"{location}/terms"),
-        totals=totals,
-        doc_col=doc_col,
-        buckets=totals.first()["buckets"],
-    )
+    postings, blocks = (spark.read.parquet(f"{location}/{name}") for name in ("postings", "blocks"))
+    return LexicalIndex(postings, blocks, totals, doc_col, totals.first()["buckets"])
+
+
+def _saturation(totals: DataFrame) -> Column:
+    """What a posting adds to a score for each unit of weight."""
+    mean_length = totals.select(F.col("tokens") / F.col("documents")).scalar()
+    length_norm = F.lit(1 - B) + F.lit(B) * F.col("doc_len") / mean_length
+    return F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * length_norm)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -135,25 +214,22 @@ def require_searchable(queries: DataFrame) -> None:
         raise ValueError(f"query without a searchable token: {empty[0]['query_id']!r}")
 
 
-def _weighted_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """``(query_id, term, bucket, weight)``: occurrences times inverse frequency.
+def weighted_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, bucket, term, df, weight)``: weight is occurrences times inverse frequency.
 
     Staged, so that its size is known before the plans below are made.
     """
+    asked = query_terms(queries).withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     documents = index.totals.select("documents").scalar()
     idf = F.log((documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = (
-        query_terms(queries)
-        .join(index.terms, "term")
-        .select(
-            "query_id",
-            "term",
-            term_bucket(F.col("term"), index.buckets).alias("bucket"),
-            (F.col("occurrences") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf)).alias("weight"),
-        )
+        index.blocks.join(asked, ["bucket", "term"])
+        .groupBy("query_id", "bucket", "term", "occurrences")
+        .agg(F.sum("n").alias("df"))
+        .withColumn("weight", F.col("occurrences") * F.when(idf <= 0, IDF_FLOOR).otherwise(idf))
     )
     # The predicate holds for every row; partition pruning at run time asks for one.
-    return stage(terms, "query_terms").filter(F.col("weight") > 0)
+    return stage(terms.drop("occurrences"), "query_terms").filter(F.col("weight") > 0)
 
 
 def _matches(index: LexicalIndex, weights: DataFrame, payload: list[Column]) -> DataFrame:
@@ -169,13 +245,13 @@ def _matches(index: LexicalIndex, weights: DataFrame, payload: list[Column]) ->
         .select("term", index.doc_col, *payload)
         .repartition(index.doc_col)
     )
-    return postings.join(weights.drop("bucket"), "term")
+    return postings.join(weights.select("query_id", "term", "weight"), "term")
 
 
 def match_counts(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """Documents holding at least one query token, per query."""
     return (
-        _matches(index, _weighted_terms(index, queries), [])
+        _matches(index, weighted_terms(index, queries), [])
         .groupBy("query_id", index.doc_col)
         .agg(F.count("*").alias("terms"))
         .groupBy("query_id")
@@ -183,14 +259,126 @@ def match_counts(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     )
 
 
-def search_bm25(index: LexicalIndex, queries: DataFrame, k: int = 20) -> DataFrame:
-    """``(query_id, doc_id, score, rank)`` for the whole batch of queries in one job."""
-    mean_length = index.totals.select(F.col("tokens") / F.col("documents")).scalar()
-    length_norm = F.lit(1 - B) + F.lit(B) * F.col("doc_len") / mean_length
-    saturation = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * length_norm)
-    scored = (
-        _matches(index, _weighted_terms(index, queries), [saturation.alias("saturation")])
-        .groupBy("query_id", index.doc_col)
-        .agg(F.sum(F.col("weight") * F.col("saturation")).alias("score"))
+def query_blocks(index: LexicalIndex, weights: DataFrame) -> DataFrame:
+    """The blocks of the queries' terms: ``(query_id, bucket, term, class, n, weight, most, aside, rest)``.
+
+    ``most`` is what the block can add to a score at most, ``rest`` what all blocks set ``aside`` in this
+    class of length can add. Staged like the terms.
+    """
+    by_class = Window.partitionBy("query_id", "class")
+    upward = by_class.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = (
+        index.blocks.join(weights, ["bucket", "term"])
+        .repartition("query_id")  # serves all windows
+        .withColumn("most", F.col("weight") * F.col("most"))
+        .withColumn("_all", F.sum("most").over(by_class))
+        .withColumn("_upto", F.sum("most").over(upward))
+        .withColumn("aside", F.col("_upto") < F.max("_all").over(Window.partitionBy("query_id")) * F.lit(ASIDE))
+        .withColumn("rest", F.coalesce(F.max(F.when(F.col("aside"), F.col("_upto"))).over(by_class), F.lit(0.0)))
+        .select("query_id", "bucket", "term", "class", "n", "weight", "most", "aside", "rest")
+    )
+    return stage(blocks, "query_blocks").filter(F.col("weight") > 0)
+
+
+def _sums(index: LexicalIndex, blocks: DataFrame) -> DataFrame:
+    """``(query_id, doc, class, score)``: sums over the postings of ``blocks``."""
+    value = F.col("weight") * _saturation(index.totals)
+    return (
+        index.postings.join(blocks.select("query_id", "bucket", "term", "class", "weight"), ["bucket", "term", "class"])
+        .groupBy("query_id", index.doc_col, "class")
+        .agg(F.sum(value).alias("score"))
+    )
+
+
+def _completed(index: LexicalIndex, found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``found`` (query_id, doc, class, score) with the scores of the postings of ``blocks`` added.
+
+    Every document found asks for the terms of its query's blocks; of the postings only those of
+    documents that were found at all go on to meet these questions.
+    """
+    doc = index.doc_col
+    asked = found.join(blocks.select("query_id", "class", "bucket", "term", "weight"), ["query_id", "class"])
+    postings = (
+        index.postings.join(blocks.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        .join(found.select(doc).distinct(), doc, "left_semi")
+        .select("term", doc, _saturation(index.totals).alias("_saturation"))
+    )
+    added = postings.join(asked, [doc, "term"]).select(
+        "query_id", doc, (F.col("weight") * F.col("_saturation")).alias("score")
+    )
+    return (
+        found.select("query_id", doc, "score").unionByName(added)
+        .groupBy("query_id", doc).agg(F.sum("score").alias("score"))
     )
+
+
+def _bars(sums: DataFrame, blocks: DataFrame, doc: str, k: int) -> DataFrame:
+    """``(query_id, bar, whole)``: at least k documents reach the bar; ``whole`` where documents that are
+    only in blocks set aside could reach it too."""
+    best = rank_top_k(sums, k, ["query_id"], doc).groupBy("query_id").agg(
+        F.when(F.count("*") >= k, F.min("score") * (1 - SLACK)).otherwise(0.0).alias("bar")
+    )
+    rest = blocks.groupBy("query_id").agg(F.max("rest").alias("rest"), F.max("aside").alias("some"))
+    bar = F.coalesce("bar", F.lit(0.0))
+    return rest.join(best, "query_id", "left").select("query_id", bar.alias("bar"), (F.col("some") & (F.col("rest") >= bar)).alias("whole"))
+
+
+@dataclass(frozen=True)
+class PrunedSearch:
+    """What a search reads: its blocks, sums over those not set aside, the bar, documents that stay."""
+
+    blocks: DataFrame
+    sums: DataFrame
+    bars: DataFrame
+    kept: DataFrame
+
+    def counts(self) -> DataFrame:
+        """``(query_id, postings, postings_read, documents_summed, documents_kept)``; a query that reads
+        all its blocks keeps the documents of all."""
+        read = ~F.col("aside") | F.col("whole")
+        out = self.blocks.join(self.bars, "query_id").groupBy("query_id").agg(
+            F.sum("n").alias("postings"), F.sum(F.when(read, F.col("n")).otherwise(0)).alias("postings_read")
+        )
+        for name, table in (("documents_summed", self.sums), ("documents_kept", self.kept)):
+            out = out.join(table.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left")
+        return out.fillna(0)
+
+
+def prune(index: LexicalIndex, weights: DataFrame, k: int) -> PrunedSearch:
+    """The documents of each query that can be among its best ``k``, with what they have so far."""
+    blocks = query_blocks(index, weights)
+    sums = stage(_sums(index, blocks.filter("not aside")), "sums")
+    bars = stage(_bars(sums, blocks, index.doc_col, k), "bars")
+    limits = blocks.select("query_id", "class", "rest").distinct().join(bars.filter("not whole"), "query_id")
+    kept = sums.join(limits, ["query_id", "class"]).filter(F.col("score") + F.col("rest") >= F.col("bar"))
+    return PrunedSearch(blocks, sums, bars, stage(kept.select("query_id", index.doc_col, "class", "score"), "kept_documents"))
+
+
+def _pruned_scores(index: LexicalIndex, found: PrunedSearch) -> DataFrame:
+    scored = _completed(index, found.kept, found.blocks.filter("aside"))
+    whole = found.bars.filter("whole").select("query_id")
+    if whole.isEmpty():
+        return scored
+    aside = _sums(index, found.blocks.filter("aside").join(whole, "query_id", "left_semi"))
+    both = found.sums.join(whole, "query_id", "left_semi").unionByName(aside)
+    return scored.unionByName(both.groupBy("query_id", index.doc_col).agg(F.sum("score").alias("score")))
+
+
+def search_bm25(index: LexicalIndex, queries: DataFrame, k: int = 20, prune_from: int = PRUNE_FROM) -> DataFrame:
+    """``(query_id, doc_id, score, rank)`` of the best ``k`` documents, for the whole batch of queries.
+
+    A batch whose terms have fewer than ``prune_from`` postings is summed at once; the result is
+    the same.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    weights = weighted_terms(index, queries)
+    if (weights.agg(F.sum("df")).first()[0] or 0) < prune_from:
+        scored = (
+            _matches(index, weights, [_saturation(index.totals).alias("_saturation")])
+            .groupBy("query_id", index.doc_col)
+            .agg(F.sum(F.col("weight") * F.col("_saturation")).alias("score"))
+        )
+    else:
+        scored = _pruned_scores(index, prune(index, weights, k))
     return rank_top_k(scored, k, ["query_id"], index.doc_col)

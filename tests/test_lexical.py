@@ -31,8 +31,9 @@ def fts_scores(corpus, query):
     )
 
 
+@pytest.mark.parametrize("prune_from", [0, lexical.PRUNE_FROM])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_scores_equal_fts5(spark, seed):
+def test_scores_equal_fts5(spark, seed, prune_from):
     corpus = random_corpus(seed)
     docs = spark.createDataFrame(
         corpus, "doc_id bigint, title string, skills string, summary string"
@@ -41,7 +42,7 @@ def test_scores_equal_fts5(spark, seed):
     rng = random.Random(seed)
     asked = [(f"q{i}", rng.choices(["spark", "sql", "nurse", "with", "cafe", "x2"], k=4)) for i in range(6)]
     queries = spark.createDataFrame([(q, " ".join(w)) for q, w in asked], "query_id string, query string")
-    found = lexical.search_bm25(index, queries, k=len(corpus)).collect()
+    found = lexical.search_bm25(index, queries, k=len(corpus), prune_from=prune_from).collect()
     for query_id, words in asked:
         want = fts_scores(corpus, words)
         got = {r["doc_id"]: r["score"] for r in found if r["query_id"] == query_id}
@@ -96,12 +97,75 @@ def test_saved_index_is_pruned_by_bucket(spark, tmp_path):
     index = lexical.read_index(spark, str(tmp_path / "index"))
     assert index.buckets == 8
     queries = spark.createDataFrame([("q", "nurse")], "query_id string, query string")
-    plan = lexical.search_bm25(index, queries)._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
-    assert "SortMergeJoin" not in plan
+    for prune_from in (0, lexical.PRUNE_FROM):
+        found = lexical.search_bm25(index, queries, prune_from=prune_from)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan
+        assert "SortMergeJoin" not in plan
 
 
 def test_query_without_token_is_refused(spark):
     queries = spark.createDataFrame([("q1", "ok"), ("q2", "+++")], "query_id string, query string")
     with pytest.raises(ValueError, match="q2"):
         lexical.require_searchable(queries)
+
+
+def zipf_corpus(seed, size):
+    """Documents of many lengths: a few words of everywhere, many of nearly nowhere."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(2000)]
+    weights = [1 / (i + 1) for i in range(2000)]
+    rows = []
+    for i in range(size):
+        n = int(20 * 2 ** (rng.random() * 4))
+        found = rng.choices(words, weights, k=n)
+        rows.append((i, " ".join(found[:3]), " ".join(found[3:6]), " ".join(found[6:])))
+    return rows
+
+
+@pytest.mark.parametrize("k", [1, 20])
+def test_pruned_search_equals_the_whole_one_and_skips_common_words(spark, k):
+    corpus = zipf_corpus(k, 1000)
+    docs = spark.createDataFrame(corpus, "doc_id bigint, title string, skills string, summary string")
+    index = lexical.write_index(docs)
+    rng = random.Random(7)
+    asked = [(f"q{i}", " ".join(rng.sample(rng.choice(corpus)[3].split(), 8) + ["w0", "w1", "w2"])) for i in range(12)]
+    asked += [("common", "w0 w1 w2 w3"), ("one", "w1999"), ("rare", "w1500 w1501 w0")]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    whole = key(lexical.search_bm25(index, queries, k))
+    assert key(lexical.search_bm25(index, queries, k, prune_from=0)) == whole
+    counts = {r.query_id: r for r in lexical.prune(index, lexical.weighted_terms(index, queries), k).counts().collect()}
+    long = [counts[f"q{i}"] for i in range(12)]
+    assert sum(r.postings_read for r in long) < 0.5 * sum(r.postings for r in long)
+    matched = {r.query_id: r.n_docs for r in lexical.match_counts(index, queries).collect()}
+    assert sum(r.documents_kept for r in long) < 0.25 * sum(matched[r.query_id] for r in long)
+
+
+def test_counting_inside_of_the_row(spark):
+    docs = spark.createDataFrame(
+        [(1, "b a A", "a", "zz b a"), (2, None, "", "x"), (3, "", "", None)],
+        "doc_id bigint, title string, skills string, summary string",
+    )
+    postings = lexical.build_postings(docs)
+    assert sorted(tuple(r) for r in postings.collect()) == [
+        (1, 7, "a", 9.0, 4), (1, 7, "b", 4.0, 2), (1, 7, "zz", 1.0, 1), (2, 1, "x", 1.0, 1),
+    ]
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    only = lexical.build_postings(docs, fields={"summary": 2.5})
+    assert sorted(tuple(r) for r in only.collect()) == [
+        (1, 3, "a", 2.5, 1), (1, 3, "b", 2.5, 1), (1, 3, "zz", 2.5, 1), (2, 1, "x", 2.5, 1),
+    ]
+
+
+def test_index_files_are_sorted_by_term(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame(zipf_corpus(1, 200), "doc_id bigint, title string, skills string, summary string")
+    index = lexical.write_index(docs, str(tmp_path / "index"))
+    files = list((tmp_path / "index" / "postings").rglob("*.parquet"))
+    assert len(files) >= index.buckets // 2
+    for file in files:
+        terms = pq.read_table(str(file), columns=["term", "class"], partitioning=None).to_pylist()
+        keys = [(t["term"].encode(), t["class"]) for t in terms]
+        assert keys == sorted(keys)
