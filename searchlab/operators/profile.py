@@ -68,15 +68,20 @@ def length_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def length_describe(df: DataFrame, text: str) -> DataFrame:
-    """Count, mean, standard deviation, extremes and quartiles of the word count."""
+    """Count, mean, standard deviation, extremes and quartiles of the word count.
+
+    The deviation is summed around the mean, over distinct lengths.
+    """
     n, x = F.col("n"), F.col("length")
-    wide = x.cast("double")
-    rows, total, squares = F.sum(n), F.sum(n * wide), F.sum(n * wide * wide)
-    variance = F.when(rows > 1, (squares - total * total / rows) / (rows - 1))  # one row: none
+    rows = F.sum(n)
+    everything = Window.partitionBy()  # over distinct lengths only
+    centre = F.sum(n * x).over(everything) / F.sum(n).over(everything)
+    squares = F.sum(n * F.pow(x - F.col("mean"), 2.0))
+    variance = F.when(rows > 1, squares / (rows - 1))  # one row: none
     quartile = lambda p: F.percentile(x, p, n)
-    return length_counts(df, text).agg(
+    return length_counts(df, text).withColumn("mean", centre).agg(
         rows.alias("count"),
-        (total / rows).alias("mean"),
+        F.max("mean").alias("mean"),
         F.sqrt(variance).alias("std"),
         F.min(x).alias("min"),
         quartile(0.25).alias("p25"),

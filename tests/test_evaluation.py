@@ -190,9 +190,9 @@ def test_no_category_gives_an_empty_table(spark):
     assert evaluate.summary_by_system(per_query).count() == 1
 
 
-@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
-@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.95, 1.0])
-def test_exact_quantile(spark, accuracy, p):
+@pytest.mark.parametrize("small", [0, quantiles.SMALL])
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.95, 1.0])
+def test_exact_quantile(spark, small, p):
     rng = np.random.default_rng(1)
     groups = {
         "many": rng.exponential(size=3000),
@@ -202,12 +202,37 @@ def test_exact_quantile(spark, accuracy, p):
     }
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("many", None)]
     table = spark.createDataFrame(rows, "g string, v double").repartition(4)
-    got = {r["g"]: r["q"] for r in quantiles.exact_quantile(table, "g", "v", p, "q", accuracy).collect()}
+    got = {r["g"]: r["q"] for r in quantiles.exact_quantile(table, "g", "v", p, "q", small).collect()}
     assert got.keys() == groups.keys()
     for group, values in groups.items():
         assert math.isclose(got[group], np.quantile(values, p), abs_tol=1e-12)
 
 
+def test_bits_of_doubles_keep_their_order(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([
+        rng.normal(size=200), rng.integers(-(2**62), 2**62, 200).view(np.float64), 2.0 ** np.arange(-1074, 1024, 7),
+        np.nextafter(2.0 ** np.arange(-1000, 1000, 31), 0), [0.0, 5e-324, 2.2250738585072014e-308, 1e308, np.inf, -np.inf],
+    ])
+    values = values[~np.isnan(values)]
+    df = spark.createDataFrame([(float(x),) for x in values], "v double")
+    got = {r.v: r.bits for r in df.select("v", quantiles.ordered_bits(F.col("v")).alias("bits")).collect()}
+    want = {float(x): int(abs(x).view(np.int64)) * (-1 if x < 0 else 1) for x in values}
+    assert got == want
+
+
+def test_quantile_of_a_million_equal_values_and_of_any_order(spark):
+    """The median lies between one value that all but two rows have, and rows that fall along the partitions."""
+    n = 1_000_000
+    equal = spark.range(n).select(F.lit("equal").alias("g"), F.when(F.col("id") < 2, -1.0).otherwise(7.5).alias("v"))
+    falling = spark.range(200_001).select(F.lit("falling").alias("g"), (100_000.0 - F.col("id")).alias("v"))
+    both = equal.unionAll(falling)
+    for p, want in ((0.5, {"equal": 7.5, "falling": 0.0}), (0.9, {"equal": 7.5, "falling": 80_000.0})):
+        found = quantiles.exact_quantile(both, "g", "v", p, "q")
+        assert {r.g: r.q for r in found.collect()} == want
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- pooling and fusion -----------------------------------------------------
 def test_pool(spark):
     a = make_run(spark, ["d1", "d2", "d3"]).drop("system").withColumn("category", F.lit("c"))
@@ -285,9 +310,34 @@ def test_vector_report(spark):
     )
     keys = spark.createDataFrame([("a",), ("b",), ("z",)], "doc_id string")
     assert report(checks.vector_report(vectors, keys, 2)) == {
-        "null_vector": 1, "wrong_dimension": 1, "not_a_number": 1,
+        "null_vector": 1, "wrong_dimension": 1, "not_a_number": 1, "wrong_element_type": 4, "repeated_id": 0,
         "vector_without_document": 2, "document_without_vector": 1,
     }
+    twice = vectors.withColumn("embedding", F.col("embedding").cast("array<float>")).unionAll(
+        spark.createDataFrame([("a", [0.0, 0.0]), ("a", [0.0, 0.0])], vectors.schema)
+    )
+    twice = twice.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    found = report(checks.vector_report(twice, keys, 2))
+    assert found["repeated_id"] == 1 and found["wrong_element_type"] == 0
+
+
+def test_content_fingerprint(spark):
+    df = spark.createDataFrame([(1, "a", [1.0]), (2, None, None), (3, "", [])], "k int, t string, v array<double>")
+    columns = ["k", "t", "v"]
+    same = checks.content_fingerprint(df, columns)
+    assert same.startswith("3:") and same == checks.content_fingerprint(df.orderBy(F.desc("k")).repartition(3), columns)
+    for changed in (df.fillna(""), df.unionAll(df.limit(1)), df.withColumn("k", F.col("k") + 1), df.withColumn("t", F.lit("a"))):
+        assert checks.content_fingerprint(changed, columns) != same
+    assert checks.content_fingerprint(df.filter("k < 0"), columns) == "0:0"
+
+
+def test_stale_report_names_what_differs(spark, tmp_path):
+    where = str(tmp_path / "index")
+    checks.write_manifest(spark, where, documents=5, weights={"title": 3.0})
+    got = checks.stale_artefact_report(spark, where, documents=6, weights={"title": 3.0}).collect()
+    assert [tuple(r) for r in got] == [("documents", "5", "6")]
+    assert checks.stale_artefact_report(spark, where, documents=5).count() == 0
+    assert [r.stored for r in checks.stale_artefact_report(spark, str(tmp_path / "none"), documents=5).collect()] == [None]
 
 
 def test_manifest_refuses_stale_artefacts(spark, tmp_path):
