@@ -132,17 +132,23 @@ def vector_report(
     id_col: str = "doc_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
-    """Missing or wrong vectors, and ids that vectors and corpus do not share."""
+    """Missing or wrong vectors, repeated ids, and ids that vectors and corpus do not share.
+
+    Elements must be single precision: otherwise every row is reported.
+    """
     width = F.size(vec_col)
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     shape = vectors.agg(
         F.count_if(F.col(vec_col).isNull()).alias("null_vector"),
         F.count_if(width != dimension).alias("wrong_dimension"),
         F.count_if(F.exists(vec_col, lambda x: x.isNull() | F.isnan(x))).alias("not_a_number"),
+        F.count_if(F.lit(not single)).alias("wrong_element_type"),
     )
     ids, keys = vectors.select(id_col), corpus_keys.select(id_col)
     return _rules(shape).unionAll(
         _named(
             {
+                "repeated_id": duplicate_keys(ids, [id_col]).agg(F.count("*").alias("n")),
                 "vector_without_document": ids.join(keys, id_col, "left_anti").agg(
                     F.count("*").alias("n")
                 ),
@@ -154,6 +160,33 @@ def vector_report(
     )
 
 
+HASH_DIGITS = 12  # hexadecimal ones of a row's hash
+
+
+def content_fingerprint(df: DataFrame, columns: list[str]) -> str:
+    """The same for the same rows in any order and partitioning: rows, and the sum of their hashes.
+
+    Nulls differ from empty texts; arrays count by their printed form.
+    """
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
+    digest = F.substring(F.md5(F.concat_ws("|", *parts)), 1, HASH_DIGITS)
+    total = F.sum(F.conv(digest, 16, 10).cast("decimal(20,0)"))
+    rows, sum_ = df.agg(F.count("*"), F.coalesce(total, F.lit(0))).first()
+    return f"{rows}:{int(sum_)}"
+
+
+def stale_facts(stored: dict, expected: dict) -> dict[str, tuple]:
+    """What an artefact was made from and what is there now, where both differ."""
+    return {k: (stored.get(k), v) for k, v in expected.items() if stored.get(k) != v}
+
+
+def stale_artefact_report(spark: SparkSession, location: str, **expected) -> DataFrame:
+    """``(fact, stored, expected)`` of every fact that differs; a missing manifest has stored none."""
+    stale = stale_facts(stored_facts(spark, location) or {}, expected)
+    rows = [(k, None if a is None else str(a), str(b)) for k, (a, b) in sorted(stale.items())]
+    return spark.createDataFrame(rows, "fact string, stored string, expected string")
+
+
 def write_manifest(spark: SparkSession, location: str, **facts) -> None:
     """Facts about a saved artefact next to it."""
     record = json.dumps(facts, sort_keys=True)
@@ -174,7 +207,7 @@ def reusable(spark: SparkSession, location: str, rebuild: bool = False, **expect
     stored = None if rebuild else stored_facts(spark, location)
     if stored is None:
         return False
-    stale = {k: (stored.get(k), v) for k, v in expected.items() if stored.get(k) != v}
+    stale = stale_facts(stored, expected)
     if stale:
         raise ValueError(f"stale artefact at {location}, rebuild it: {stale}")
     return True

@@ -12,7 +12,7 @@ from searchlab.operators.dense import exact_top_k
 from searchlab.operators.encode import encode_texts
 from searchlab.plans import views, views_sql as v
 from searchlab.plans.registry import query, rounded
-from searchlab.sources.staging import stage
+from searchlab.sources.staging import new_location, stage
 
 
 def ranked(run: DataFrame, digits: int = 6) -> DataFrame:
@@ -22,8 +22,13 @@ def ranked(run: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # --- lexical ----------------------------------------------------------------
+def spread_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus in as many parts as there are cores: its table is one file, and so one task."""
+    return views.corpus(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+
+
 def lexical_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    return lexical.write_index(views.corpus(spark, sf))
+    return lexical.write_index(spread_corpus(spark, sf))
 
 
 @query(
@@ -31,7 +36,7 @@ def lexical_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     f"WITH {v.CORPUS}, {v.POSTINGS} SELECT doc_id, term, wtf, tf, doc_len FROM postings",
 )
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
-    postings = lexical.build_postings(views.corpus(spark, sf))
+    postings = lexical.build_postings(spread_corpus(spark, sf))
     return postings.select("doc_id", "term", "wtf", "tf", "doc_len")
 
 
@@ -68,13 +73,29 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(found)
 
 
-@query(
-    "bm25_common_terms",
-    f"""WITH {v.BM25_COMMON},
-        whole AS ({v.top_k("SELECT * FROM bm25_scores", digits=12)})
-        SELECT query_id, rank, doc_id, score FROM whole""",
-)
+@query("bm25_topk_pruned", f"WITH {v.BM25_ALL} SELECT query_id, rank, doc_id, score FROM bm25")
+def bm25_topk_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The form for large indexes: blocks that cannot matter are set aside."""
+    found = lexical.search_bm25(lexical_index(spark, sf), views.queries(spark, sf), prune_from=0)
+    return ranked(found)
+
+
+COMMON_SQL = f"""WITH {v.BM25_COMMON},
+    whole AS ({v.top_k("SELECT * FROM bm25_scores", digits=12)})
+    SELECT query_id, rank, doc_id, score FROM whole"""
+
+
+@query("bm25_common_terms", COMMON_SQL)
 def bm25_common_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return common_terms(spark, sf, lexical.PRUNE_FROM)
+
+
+@query("bm25_common_terms_pruned", COMMON_SQL)
+def bm25_common_terms_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    return common_terms(spark, sf, 0)
+
+
+def common_terms(spark: SparkSession, sf: str, prune_from: int) -> DataFrame:
     """The commonest words as queries: all scores lie at the floor of the weights."""
     index = lexical_index(spark, sf)
     words = index.terms.filter(F.col("term").rlike("^[a-z0-9]+$"))
@@ -82,7 +103,7 @@ def bm25_common_terms(spark: SparkSession, sf: str) -> DataFrame:
     asked = commonest.select(
         F.concat(F.lit("C"), "term").alias("query_id"), F.col("term").alias("query")
     )
-    return ranked(lexical.search_bm25(index, stage(asked, "common_terms")), digits=12)
+    return ranked(lexical.search_bm25(index, stage(asked, "common_terms"), prune_from=prune_from), digits=12)
 
 
 @query(
@@ -182,23 +203,85 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "validate_vectors",
-    """SELECT 'null_vector' AS rule, count(*) - count(embedding) AS n FROM embeddings
-       UNION ALL SELECT 'wrong_dimension', count(*) FILTER (len(embedding) <> 64) FROM embeddings
+def vector_rules(vectors: str) -> str:
+    return f"""SELECT 'null_vector' AS rule, count(*) - count(embedding) AS n FROM {vectors}
+       UNION ALL SELECT 'wrong_dimension', count(*) FILTER (len(embedding) <> 64) FROM {vectors}
        UNION ALL SELECT 'not_a_number',
          count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0)
-         FROM embeddings
-       UNION ALL SELECT 'vector_without_document', count(*) FROM embeddings
+         FROM {vectors}
+       UNION ALL SELECT 'wrong_element_type', count(*) FILTER (typeof(embedding) <> 'FLOAT[]') FROM {vectors}
+       UNION ALL SELECT 'repeated_id', count(*) FROM (
+         SELECT vec_id FROM {vectors} GROUP BY vec_id HAVING count(*) > 1)
+       UNION ALL SELECT 'vector_without_document', count(*) FROM {vectors}
          WHERE vec_id NOT IN (SELECT doc_id FROM documents)
        UNION ALL SELECT 'document_without_vector', count(*) FROM documents
-         WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
-)
+         WHERE doc_id NOT IN (SELECT vec_id FROM {vectors})"""
+
+
+@query("validate_vectors", vector_rules("embeddings"))
 def validate_vectors(spark: SparkSession, sf: str) -> DataFrame:
     documents = views.table(spark, sf, "documents").select("doc_id")
     return checks.vector_report(views.embeddings(spark, sf), documents, 64)
 
 
+@query(
+    "validate_faulty_vectors",
+    f"""WITH faulty AS (
+          SELECT vec_id, CASE WHEN vec_id % 50 = 1 THEN NULL
+                   WHEN vec_id % 50 = 2 THEN (embedding::DOUBLE[])[:63]
+                   WHEN vec_id % 50 = 3 THEN list_append((embedding::DOUBLE[])[:63], 'nan'::DOUBLE)
+                   ELSE embedding::DOUBLE[] END AS embedding
+          FROM embeddings
+          UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 50 = 4)
+        {vector_rules("faulty")}""",
+)
+def validate_faulty_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole vectors with planted faults of every kind that one table can have."""
+    vectors = views.embeddings(spark, sf).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kind, short = F.col("doc_id") % 50, F.slice("embedding", 1, 63)
+    faulty = vectors.withColumn(
+        "embedding",
+        F.when(kind == 1, F.lit(None)).when(kind == 2, short)
+        .when(kind == 3, F.array_append(short, F.lit(float("nan")))).otherwise(F.col("embedding")),
+    )
+    faulty = faulty.unionAll(vectors.filter(kind == 4))
+    return checks.vector_report(faulty, views.table(spark, sf, "documents").select("doc_id"), 64)
+
+
+def fingerprint_sql(table: str, columns: list[str]) -> str:
+    parts = ", ".join(f"coalesce('=' || {c}::VARCHAR, 'null')" for c in columns)
+    return (
+        f"(SELECT count(*) || ':' || coalesce(sum(('0x' || substr(md5(concat_ws('|', {parts})), 1, "
+        f"{checks.HASH_DIGITS}))::BIGINT), 0)::HUGEINT FROM {table})"
+    )
+
+
+FINGERPRINTED = ["doc_id", "text", "lang"]
+
+
+@query(
+    "stale_artefact_report",
+    f"""SELECT 'content' AS fact, {fingerprint_sql("documents", FINGERPRINTED)} AS stored,
+          {fingerprint_sql("(SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN '' ELSE text END AS text, lang "
+                           "FROM documents)", FINGERPRINTED)} AS expected
+        UNION ALL SELECT 'weights', 'title=3', 'title=2'""",
+)
+def stale_artefact_report(spark: SparkSession, sf: str) -> DataFrame:
+    """An artefact made from all documents, asked for again after some texts and a weight changed."""
+    documents = views.table(spark, sf, "documents")
+    emptied = F.when(F.col("doc_id") % 100 == 1, F.lit("")).otherwise(F.col("text"))
+    location = new_location(spark, "artefact")
+    checks.write_manifest(
+        spark, location, weights="title=3", rows=documents.count(),
+        content=checks.content_fingerprint(documents, FINGERPRINTED),
+    )
+    changed = documents.repartition(3, "lang").withColumn("text", emptied)
+    return checks.stale_artefact_report(
+        spark, location, weights="title=2", rows=changed.count(),
+        content=checks.content_fingerprint(changed, FINGERPRINTED),
+    )
+
+
 # --- approximate ------------------------------------------------------------
 CELL_BASE = ",".join([v.VECTORS, v.LABEL_MEANS, v.VEC_QUERIES, v.CELLS_SQL])
 

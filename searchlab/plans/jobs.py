@@ -79,7 +79,7 @@ def lexical_run(
     asked = readers.read_queries(spark, queries)
     lexical.require_searchable(asked)
     documents = readers.read_corpus(spark, corpus, ["doc_id", *FIELDS])
-    facts = {"documents": documents.count()}
+    facts = {"content": checks.content_fingerprint(documents, ["doc_id", *FIELDS]), "weights": FIELDS}
     if checks.reusable(spark, index, rebuild, **facts):
         built = lexical.read_index(spark, index)
     else:
