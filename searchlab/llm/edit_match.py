@@ -18,6 +18,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from searchlab.llm.common import document_columns
 
@@ -163,6 +164,7 @@ def benchmark_matches(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, distance int, end long, item_length int"
     source = document_columns(docs, id_col, text_col)
     items = plain_items(benchmark, item_col, item_text_col)
@@ -180,7 +182,7 @@ def benchmark_matches(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(columns[0], pa.int64())),
-                        pa.array(columns[1], pa.from_numpy_dtype("int64") if item_kind == "bigint" else None),
+                        pa.array(columns[1], item_type),
                         pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()),
                         pa.array([len(lengths[k]) for k in columns[1]], pa.int32()),
                     ],
