@@ -171,7 +171,7 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None) -
 
     ``edits`` is a column of ``trees``: (start, stop, replacement) in code points of the old
     text, without overlaps, in any order; null or empty leaves the document as it is.
-    ``encoded_chars`` counts what had to be encoded again.
+    ``n_chars`` is the length after the edits, ``encoded_chars`` counts what had to be encoded again.
     """
     path = tokenizer or default_tokenizer()
     kind = trees.schema["doc_id"].dataType.simpleString()
@@ -182,17 +182,20 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None) -
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                after, encoded, number = [], [], []
-                for leaves, counts, own in zip(batch.column(1), batch.column(2), batch.column(5)):
+                after, encoded, number, chars_after = [], [], [], []
+                for leaves, counts, n_chars, own in zip(*(batch.column(i) for i in (1, 2, 4, 5))):
                     own = [(e["start"], e["stop"], e["replacement"] or "") for e in own.as_py() or []]
                     tree = SumTree(np.frombuffer(counts.as_py(), "<i8").copy())
                     total, chars = recount(leaves.as_py(), tree, own, encoder)
                     after.append(total)
                     encoded.append(chars)
                     number.append(len(own))
+                    n = n_chars.as_py()
+                    gone = sum(max(min(stop, n) - min(start, n), 0) for start, stop, _ in own)
+                    chars_after.append(n - gone + sum(len(new) for _, _, new in own))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), batch.column(3), pa.array(after, pa.int64()), batch.column(4),
+                        batch.column(0), batch.column(3), pa.array(after, pa.int64()), pa.array(chars_after, pa.int64()),
                         pa.array(encoded, pa.int64()), pa.array(number, pa.int32()),
                     ],
                     ["doc_id", "n_tokens_before", "n_tokens", "n_chars", "encoded_chars", "n_edits"],

@@ -154,3 +154,14 @@ def test_token_trees_edge_rows(spark, encoder):
     before = sorted((r.doc_id or -1, r.n_tokens_before) for r in rows)
     assert before == sorted((d or -1, len(whole(encoder, t))) for d, t in ROWS)
     assert token_trees.build_trees(no_documents(spark)).count() == 0
+
+
+def test_counts_after_edits_have_the_new_length(spark):
+    from pyspark.sql import functions as F
+
+    from searchlab.llm import token_trees
+
+    docs = spark.createDataFrame([(1, "hello world"), (2, "short")], "doc_id long, text string")
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("stop"), F.lit("").alias("replacement")))
+    got = {r.doc_id: r.n_chars for r in token_trees.apply_edits(token_trees.build_trees(docs), edits).collect()}
+    assert got == {1: 6, 2: 0}
