@@ -1,9 +1,9 @@
 """Language identification by a small convolutional network over bytes.
 
 Windows of ``WINDOW`` bytes go through an embedding, filters of several widths, max pooling over
-the window and a softmax. The network is trained with numpy on the driver, on a bounded sample:
-about ``DOCS_PER_LANGUAGE`` documents of each language, chosen by a hash of the id, with at most
-``WINDOWS_PER_DOC`` windows of each, evenly spread over the whole text. It is applied to
+the window and a softmax. The network is trained with numpy on the driver, on a bounded sample
+of labelled rows, which are windows: about ``windows_per_language`` of all windows of each language's
+whole texts, chosen by a hash of id and place. It is applied to
 every window of every whole text; a document gets the mean of its windows' logits.
 """
 
@@ -22,8 +22,8 @@ WINDOW = 256
 EMBEDDING = 8
 FILTERS = 16
 WIDTHS = (2, 3, 4)
-DOCS_PER_LANGUAGE = 1500
-WINDOWS_PER_DOC = 6
+WINDOWS_PER_LANGUAGE = 6000
+HASHES = 2**63
 STEPS = 400
 BATCH = 96
 RATE = 0.01
@@ -134,40 +134,57 @@ class ByteNetwork:
         return out
 
 
-def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
-    """Windows and labels of the bounded sample."""
+def hash_limit(wanted: int, there: int) -> int:
+    """Largest of the ``HASHES`` hash values that belongs to ``wanted`` of ``there`` rows."""
+    return min(HASHES * wanted // there, HASHES) - 1
+
+
+def training_windows(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, windows_per_language: int
+) -> tuple[np.ndarray, list[str]]:
+    """Windows and labels of the bounded sample, drawn from all windows of the training rows."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.col(lang_col).alias("lang"),
     ).filter(in_training() & F.col("lang").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    windows = F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1)).cast("int")
+    rows = rows.withColumn("windows", windows)
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("windows")).collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), []
-    million = 1_000_000
     limit = F.create_map(*[
-        F.lit(x) for lang, n in counts.items() for x in (lang, min(million, million * DOCS_PER_LANGUAGE // n))
+        F.lit(x) for lang, n in counts.items() for x in (lang, hash_limit(windows_per_language, n))
     ])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(million)) < limit[F.col("lang")])
+    place = F.sequence(F.lit(0), F.col("windows") - 1)
+    drawn = F.filter(
+        place, lambda i: F.xxhash64("doc_id", i).bitwiseAND(F.lit(HASHES - 1)) <= F.col("limit")
+    )
+    chosen = rows.withColumn("limit", limit[F.col("lang")]).withColumn("drawn", drawn).filter(F.size("drawn") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, found = [], []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, lang, drawn in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if has_letter(text):
-                    windows = windows_of(text)
-                    spread = np.linspace(0, len(windows) - 1, min(len(windows), WINDOWS_PER_DOC)).astype(int)
-                    found += [windows[i].tobytes() for i in spread]
-                    langs += [lang] * len(spread)
+                    whole = windows_of(text)
+                    found += [whole[i].tobytes() for i in drawn]
+                    langs += [lang] * len(drawn)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "bytes"])
 
-    got = chosen.select("text", "lang").mapInArrow(cut, "lang string, bytes binary").toArrow()
+    got = chosen.select("text", "lang", "drawn").mapInArrow(cut, "lang string, bytes binary").toArrow()
     pairs = sorted(zip(got["lang"].to_pylist(), got["bytes"].to_pylist()))
     return np.frombuffer(b"".join(b for _, b in pairs), np.uint8).reshape(-1, WINDOW), [x for x, _ in pairs]
 
 
-def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
+def train_network(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    windows_per_language: int = WINDOWS_PER_LANGUAGE,
+) -> ByteNetwork | None:
     """A network for the languages of the training rows; none where there are no such rows."""
-    windows, labels = training_windows(docs, id_col, text_col, lang_col)
+    windows, labels = training_windows(docs, id_col, text_col, lang_col, windows_per_language)
     languages = sorted(set(labels))
     if not languages:
         return None

@@ -252,3 +252,23 @@ def test_pages_edge_rows(spark):
 def test_stretches_follow_surge_and_dive():
     lengths = np.array([0, 0, 0, 0, 50, 60, 0, 40, 0, 0, 0, 0, 2])
     assert html_text.stretches(lengths, 30) == [(2, 8)]
+
+
+def test_items_may_have_ids_of_any_type(spark):
+    from searchlab.llm import edit_match
+
+    text = "the quick brown fox jumps over the lazy dog near the river bank today"
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing")], "doc_id int, text string")
+    for kind, value in (("int", 7), ("string", "i7"), ("bigint", 7), ("smallint", 7)):
+        items = spark.createDataFrame([(value, text)], f"item_id {kind}, text string")
+        got = edit_match.benchmark_matches(docs, items).collect()
+        assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(1, value, 0)]
+
+
+def test_language_sample_draws_from_all_windows_and_keeps_large_languages(spark):
+    assert language.hash_limit(6000, 10**13) > 0 and language.hash_limit(5, 3) == language.HASHES - 1
+    rows = [(i, "wort " * 3000 if i % 2 else "word " * 20, "de" if i % 2 else "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows, labels = language.training_windows(docs, "doc_id", "text", "lang", 500)
+    assert 400 < labels.count("de") < 600 and labels.count("en") > 60
+    assert len(windows) == len(labels)
