@@ -54,3 +54,20 @@ def components(links: DataFrame) -> DataFrame:
             )
         last = state
         edges = stage(_small_star(_large_star(edges)), "links")
+
+
+def same_id_links(features: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the nodes of different sets that rows of one id have.
+
+    ``features``: doc_id, n, set_key; ``sets``: set_key, node. None where no id repeats with another set.
+    """
+    rows = features.filter("n > 0 and doc_id is not null").select("doc_id", "set_key")
+    several = rows.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low != high")
+    several = stage(several.select("doc_id", "low"), "repeated_ids")
+    if several.isEmpty():
+        return None
+    nodes = sets.select("set_key", "node")
+    return (
+        rows.join(several, "doc_id").join(nodes.withColumnRenamed("node", "a"), "set_key")
+        .join(nodes.select(F.col("set_key").alias("low"), F.col("node").alias("b")), "low").select("a", "b").distinct()
+    )

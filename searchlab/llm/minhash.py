@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from searchlab.llm.common import document_columns, fresh_name
-from searchlab.llm.components import components
+from searchlab.llm.components import components, same_id_links
 from searchlab.sources.staging import stage
 
 BANDS, ROWS = 32, 5
@@ -194,30 +194,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(rep, members): whole shingle sets of the needed documents."""
+def _full_sets(docs: DataFrame, sets: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(rep, members): whole shingle sets of the needed representatives.
+
+    The text is read from a document that has the set's smallest id; where that id repeats with other
+    texts, their sets are made too and fall out by their key.
+    """
+    wanted = stage(sets.join(needed.hint("merge"), "rep", "left_semi").select("rep", "set_key", "least"), "needed_sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "members"])
+            found = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
+            keys = [xxhash.xxh3_128_digest(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["set_key", "members"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = docs.join(needed.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
-    return wanted.mapInArrow(run, f"rep {kind}, members binary").dropDuplicates(["rep"])
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["least"]), "left_semi")
+    made = texts.mapInArrow(run, "set_key binary, members binary")
+    return made.join(wanted.select("rep", "set_key").hint("merge"), "set_key").select("rep", "members").dropDuplicates(["rep"])
 
 
 def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
 
-def _representatives(features: DataFrame) -> DataFrame:
-    """(set_key, rep, salt_bits) for each different set; sets without shingles have none."""
-    return (
-        _salted(features.filter("n > 0").select("doc_id", "set_key"))
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salt_bits"))
+def _distinct_sets(features: DataFrame) -> DataFrame:
+    """(set_key, rep, least, salt_bits, bands, sketch): each different set once, numbered; ``least`` is the smallest
+    id that has it."""
+    sets = _salted(features.filter("n > 0")).groupBy("set_key").agg(
+        F.min("doc_id").alias("least"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salt_bits"),
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
     )
+    return sets.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _bucket_members(reps: DataFrame) -> DataFrame:
@@ -391,24 +400,21 @@ def near_duplicates(
     fewer words. Documents with ``100 * intersection >= percent * union`` are linked;
     ``component_id`` is the smallest id reached, ``kept`` marks the document that has it.
     Texts that are null, empty or white space have no shingles and are linked with
-    nothing. Rows that repeat an id are one document for the links. Null ids: such a row
-    gets its copies' component, null where it has none with an id, and is not kept.
+    nothing. Rows that repeat an id are one document for the links, whatever their texts. Null ids: such a row
+    gets its component's id, null where no member has one, and is not kept.
     Other columns are ignored; an empty table gives no rows.
     """
     source = document_columns(docs, id_col, text_col)
     features = stage(_features(source, words), "shingles")
-    sets_seen = stage(_representatives(features), "distinct_sets")
-    reps = features.join(
-        sets_seen.filter("rep is not null").select("set_key", "rep").hint("merge"),
-        (F.col("doc_id") == F.col("rep")) & (features["set_key"] == sets_seen["set_key"]),
-    ).select("rep", "bands", "sketch")
-    members = stage(_central(stage(_bucket_members(reps), "buckets")), "members")
+    sets_seen = stage(_distinct_sets(features), "distinct_sets")
+    members = stage(_central(stage(_bucket_members(sets_seen), "buckets")), "members")
     needed = members.select("rep").distinct()
-    sets = stage(_full_sets(source, needed, words), "full_sets")
-    sketches = features.select(F.col("doc_id").alias("rep"), "sketch").join(needed.hint("merge"), "rep", "left_semi")
-    sketches = stage(sketches.dropDuplicates(["rep"]), "sketches")
+    sets = stage(_full_sets(source, sets_seen, needed, words), "full_sets")
+    sketches = stage(sets_seen.select("rep", "sketch").join(needed.hint("merge"), "rep", "left_semi"), "sketches")
 
-    links, labels = [], None
+    tied = same_id_links(features, sets_seen.withColumnRenamed("rep", "node"))
+    links = [] if tied is None else [stage(tied, "same_id")]
+    labels = stage(components(links[0]), "components") if links else None
     for step in (_pivot_pairs, _central_pairs, lambda members: _open_pairs(members, sets, percent)):
         labelled = _labelled(members, labels)
         if labels is not None:
@@ -418,8 +424,11 @@ def near_duplicates(
         links.append(stage(_confirmed(pairs, sets, percent), "confirmed"))
         labels = stage(components(reduce(DataFrame.unionByName, links)), "components")
 
-    found = sets_seen.join(labels, F.col("rep") == F.col("node"), "left").select(
-        F.col("set_key").alias("found_key"), F.coalesce("component", "rep").alias("component_id"),
+    named = sets_seen.select("set_key", "rep", "least", "salt_bits").join(labels, F.col("rep") == F.col("node"), "left")
+    named = stage(named.select("set_key", "least", "salt_bits", F.coalesce("component", "rep").alias("comp")), "named_sets")
+    smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    found = named.join(smallest.hint("merge"), "comp").select(
+        F.col("set_key").alias("found_key"), "component_id",
         F.explode(
             F.filter(
                 F.sequence(F.lit(0), F.lit(SALTS - 1)),

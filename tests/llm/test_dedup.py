@@ -122,3 +122,18 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(100, 160)} | {got[50]} == {50}
     assert got[300] == 200 and len(got) == 40 + 61 + 2
     assert components(links.filter("a < 0")).count() == 0
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(one)), (2, " ".join(one[1:])), (2, " ".join(two)), (3, " ".join(two[:-1])), (4, "x y z")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+    assert len(got) == 5
+
+
+def test_rows_without_id_link_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(words)), (None, " ".join(words[:90])), (8, " ".join(words[:81])), (None, "alone here")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 7), (8, 7), (None, 7), (None, None)}
