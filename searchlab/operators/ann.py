@@ -20,6 +20,7 @@ from searchlab.operators.dense import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
     PRODUCT_NUMBERS,
+    Routes,
     inner_products,
     matrix_within,
     search_in_blocks,
@@ -29,6 +30,7 @@ from searchlab.operators.dense import (
 )
 from searchlab.operators.sampling import SEED, fixed_size_sample
 from searchlab.operators.topk import rank_top_k
+from searchlab.sources.staging import stage
 
 
 def pivot_centroids(
@@ -72,7 +74,7 @@ def kmeans_centroids(
 def _best_cells(rows: np.ndarray, centroids: np.ndarray, depth: int) -> np.ndarray:
     """Positions of the ``depth`` best centroids per row, ties to the lower cell.
 
-    At most ``PRODUCT_NUMBERS`` products exist at a time; a single best needs no sort.
+    At most ``PRODUCT_NUMBERS`` products exist at a time; only the best are sorted.
     """
     depth = min(depth, len(centroids))
     best = np.empty((len(rows), depth), dtype=np.int64)
@@ -82,8 +84,13 @@ def _best_cells(rows: np.ndarray, centroids: np.ndarray, depth: int) -> np.ndarr
         if depth == 1:
             best[start : start + step, 0] = scores.argmax(axis=1)
         else:
-            order = np.argsort(-scores, axis=1, kind="stable")
-            best[start : start + step] = order[:, :depth]
+            last = len(centroids) - depth
+            limit = np.partition(scores, last, axis=1)[:, last, None]
+            above, equal = scores > limit, scores == limit
+            equal &= np.cumsum(equal, axis=1) <= depth - above.sum(axis=1, keepdims=True)
+            found = np.nonzero(above | equal)[1].reshape(-1, depth)
+            order = np.argsort(-np.take_along_axis(scores, found, axis=1), axis=1, kind="stable")
+            best[start : start + step] = np.take_along_axis(found, order, axis=1)
     return best
 
 
@@ -107,15 +114,21 @@ def assign_cells(
     return vectors.mapInArrow(assign, schema)
 
 
+def _first_settings(probes: list[int]) -> np.ndarray:
+    """For each visit of a query the first setting (place in sorted ``probes``) that makes it."""
+    return np.searchsorted(probes, np.arange(1, probes[-1] + 1))
+
+
 def route_queries(
     queries: DataFrame, centroids: DataFrame, probes: list[int], query_vec: str = "qvec"
 ) -> DataFrame:
-    """One row per query, ``nprobe`` value and visited cell."""
+    """One row per query and visited cell, with the ``setting`` that visits it first."""
     keys, matrix = small_matrix(centroids, ["cell"], "centroid")
     cells = keys["cell"].to_numpy()
     shared = queries.sparkSession.sparkContext.broadcast((cells, matrix))
     position = queries.columns.index(query_vec)
-    depth = min(max(probes), len(cells))
+    depth = min(probes[-1], len(cells))
+    settings = F.array(*[F.lit(int(x)) for x in _first_settings(probes)[:depth]])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, matrix = shared.value
@@ -131,9 +144,9 @@ def route_queries(
     )
     return (
         queries.mapInArrow(route, schema)
-        .withColumn("nprobe", F.explode(F.array(*[F.lit(p).cast("long") for p in probes])))
-        .withColumn("cell", F.explode(F.slice("_cells", F.lit(1), F.col("nprobe").cast("int"))))
-        .drop("_cells")
+        .select("*", F.posexplode("_cells").alias("_visit", "cell"))
+        .withColumn("setting", F.get(settings, F.col("_visit")))
+        .drop("_cells", "_visit")
     )
 
 
@@ -150,15 +163,20 @@ def search_cells(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``(query, nprobe, doc, score, rank)`` for all values of ``nprobe`` in one job."""
+    """``(query, nprobe, doc, score, rank)`` for all values of ``nprobe`` in one job.
+
+    Every product is made once, at the deepest setting. A query keeps a list of its best for the visits
+    that each setting adds; the lists of a setting and of the smaller ones hold its result. The
+    visited cells are a staged table: of cells saved with ``write_cells`` only those are read.
+    """
     probes = sorted(set(probes))
     if not probes or probes[0] <= 0:
         raise ValueError("nprobe must be positive")
-    query_cols = [query_col, "nprobe"]
+    query_cols = [query_col, "setting"]
     schema = T.StructType(
         [
             queries.schema[query_col],
-            T.StructField("nprobe", T.LongType()),
+            T.StructField("setting", T.IntegerType()),
             assigned.schema[doc_col],
             T.StructField("score", T.DoubleType()),
         ]
@@ -169,26 +187,27 @@ def search_cells(
         scored = search_in_blocks(
             assigned, routed, schema, k, doc_col, vec_col, query_cols, query_vec, block_bytes
         )
-        return rank_top_k(scored, k, query_cols, doc_col)
-
-    keys, matrix = fetched
-    cell_keys, centers = small_matrix(centroids, ["cell"], "centroid")
-    order = cell_keys["cell"].to_numpy()[_best_cells(matrix, centers, probes[-1])]
-    # Row r of setting s stands at s * queries + r in the repeated matrix.
-    visits: dict[int, list[int]] = {}
-    for setting, nprobe in enumerate(probes):
-        for row, cells in enumerate(order[:, :nprobe].tolist()):
-            for cell in cells:
-                visits.setdefault(cell, []).append(setting * len(matrix) + row)
-    labels = pa.array(np.repeat(probes, len(matrix)), pa.int64())
-    scored = search_with_broadcast(
-        assigned.filter(F.col("cell").isin(sorted(visits))),
-        pa.concat_tables([keys] * len(probes)).append_column("nprobe", labels),
-        np.tile(matrix, (len(probes), 1)),
-        schema, k, doc_col, vec_col,
-        routes={cell: np.array(rows) for cell, rows in visits.items()},
-    )
-    return rank_top_k(scored, k, query_cols, doc_col)
+    else:
+        keys, matrix = fetched
+        cell_keys, centers = small_matrix(centroids, ["cell"], "centroid")
+        order = cell_keys["cell"].to_numpy()[_best_cells(matrix, centers, probes[-1])]
+        rows = np.repeat(np.arange(len(matrix)), order.shape[1])
+        first = np.tile(_first_settings(probes)[: order.shape[1]], len(matrix))
+        routes = Routes.of(order.ravel(), rows, first * len(matrix) + rows)
+        visited = queries.sparkSession.createDataFrame(
+            pa.table({"cell": routes.cells, "visits": np.diff(routes.starts)})
+        )
+        # The predicate holds for every row; partition pruning at run time asks for one.
+        visited = stage(visited.coalesce(1), "visited_cells").filter(F.col("visits") > 0)
+        settings = pa.array(np.repeat(np.arange(len(probes)), len(matrix)), pa.int32())
+        scored = search_with_broadcast(
+            assigned.join(visited, "cell", "left_semi"),
+            pa.concat_tables([keys] * len(probes)).append_column("setting", settings),
+            matrix, schema, k, doc_col, vec_col, routes,
+        )
+    later = F.slice(F.array(*[F.lit(p).cast("long") for p in probes]), F.col("setting") + 1, F.lit(len(probes)))
+    found = scored.withColumn("nprobe", F.explode(later)).select(query_col, "nprobe", doc_col, "score")
+    return rank_top_k(found, k, [query_col, "nprobe"], doc_col)
 
 
 def write_cells(assigned: DataFrame, location: str) -> None:
@@ -275,14 +294,13 @@ def search_projection_buckets(
         )
     else:
         keys, matrix = fetched
-        visits: dict[int, list[int]] = {}
-        for row, codes in enumerate(_projection_codes(matrix, directions, width).tolist()):
-            for code in codes:
-                visits.setdefault(code, []).append(row)
+        codes = _projection_codes(matrix, directions, width)
+        rows = np.repeat(np.arange(len(matrix)), codes.shape[1])
+        routes = Routes.of(codes.ravel(), rows, rows)
+        visited = queries.sparkSession.createDataFrame(pa.table({"cell": routes.cells}))
         found = search_with_broadcast(
-            assigned.filter(F.col("cell").isin(sorted(visits))),
-            keys, matrix, schema, depth, doc_col, vec_col,
-            routes={code: np.array(rows) for code, rows in visits.items()},
+            assigned.join(stage(visited.coalesce(1), "visited_buckets"), "cell", "left_semi"),
+            keys, matrix, schema, depth, doc_col, vec_col, routes,
         )
     once = found.groupBy(query_col, doc_col).agg(F.max("score").alias("score"))
     return rank_top_k(once, k, [query_col], doc_col)

@@ -10,6 +10,7 @@ its own, with the same result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -85,15 +86,41 @@ class RunningTopK:
         )
 
 
+class Routes(NamedTuple):
+    """Which rows of the query matrix visit a cell, and the list that each visit fills; by cell."""
+
+    cells: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    lists: np.ndarray
+
+    @classmethod
+    def of(cls, cells: np.ndarray, rows: np.ndarray, lists: np.ndarray) -> "Routes":
+        order = np.argsort(cells, kind="stable")
+        found, starts = np.unique(cells[order], return_index=True)
+        return cls(found, np.append(starts, len(cells)), rows[order], lists[order])
+
+    def visitors(self, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        at = int(np.searchsorted(self.cells, cell))
+        if at == len(self.cells) or self.cells[at] != cell:
+            return self.rows[:0], self.lists[:0]
+        part = slice(self.starts[at], self.starts[at + 1])
+        return self.rows[part], self.lists[part]
+
+
 def score_rows(
-    best: RunningTopK, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray, positions
+    best: RunningTopK, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray, positions, lists=None
 ) -> None:
-    """Offer ``rows`` to the queries at ``positions``, a bounded product at a time."""
+    """Offer ``rows`` to the queries at ``positions``, a bounded product at a time.
+
+    ``lists`` names the list that each of them fills; its own where there is none.
+    """
+    lists = positions if lists is None else lists
     step = max(1, PRODUCT_NUMBERS // max(len(rows), 1))
     for start in range(0, len(positions), step):
-        some = positions[start : start + step]
-        for query, scores in zip(some, inner_products(matrix[some], rows)):
-            best.add(query, scores, ids)
+        some = slice(start, start + step)
+        for place, scores in zip(lists[some], inner_products(matrix[positions[some]], rows)):
+            best.add(place, scores, ids)
 
 
 def matrix_within(
@@ -128,14 +155,15 @@ def search_with_broadcast(
     k: int,
     doc_col: str,
     vec_col: str,
-    routes: dict[int, np.ndarray] | None = None,
+    routes: Routes | None = None,
 ) -> DataFrame:
-    """Local top-k of every task. ``routes``: cell -> rows of ``matrix`` that visit it."""
+    """Local top-k of every task, a list for each row of ``keys``; with ``routes`` only in the cells
+    that a query visits."""
     shared = vectors.sparkSession.sparkContext.broadcast((keys, matrix, routes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, matrix, routes = shared.value
-        best, doc_field = RunningTopK(len(matrix), k), None
+        best, doc_field = RunningTopK(keys.num_rows, k), None
         for batch in batches:
             doc_field = batch.schema.field(0)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -145,10 +173,10 @@ def search_with_broadcast(
                 continue
             cells = batch.column(2).to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
-                visitors = routes.get(int(cell))
-                if visitors is not None:
+                visitors, lists = routes.visitors(int(cell))
+                if len(visitors):
                     inside = cells == cell
-                    score_rows(best, ids[inside], rows[inside], matrix, visitors)
+                    score_rows(best, ids[inside], rows[inside], matrix, visitors, lists)
         if doc_field is not None:
             yield from best.table(keys, doc_field).to_batches()
 

@@ -165,6 +165,35 @@ def test_cell_files(spark, frames, tmp_path):
     assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [(" in plan
 
 
+def test_search_reads_only_the_folders_of_visited_cells(spark, frames, tmp_path):
+    """The others' files are gone, and the search does not miss them."""
+    import shutil
+
+    vectors, queries = frames
+    centroids = ann.pivot_centroids(vectors, 6)
+    ann.write_cells(ann.assign_cells(vectors, centroids), str(tmp_path / "cells"))
+    asked = queries.limit(1)
+    search = lambda: ann.search_cells(ann.read_cells(spark, str(tmp_path / "cells")), asked, centroids, [1, 2], 5)
+    plan = search()._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    before = lists(search())
+    routed = ann.route_queries(asked, centroids, [1, 2]).collect()
+    assert sorted(r.setting for r in routed) == [0, 1]
+    folders = {int(p.name.removeprefix("cell=")): p for p in (tmp_path / "cells").glob("cell=*")}
+    left = set(folders) - {r.cell for r in routed}
+    assert left
+    kept = ann.read_cells(spark, str(tmp_path / "cells"))
+    for cell in left:
+        shutil.rmtree(folders[cell])
+    assert lists(ann.search_cells(kept, asked, centroids, [1, 2], 5)) == before
+
+
+def test_best_cells_takes_the_first_of_equal_ones():
+    rows, centroids = np.eye(3), np.array([[1.0, 0, 0], [0, 1, 0], [1, 0, 0], [0.5, 1, 0], [1, 0, 1]])
+    assert ann._best_cells(rows, centroids, 2).tolist() == [[0, 2], [1, 3], [4, 0]]
+    assert ann._best_cells(rows, centroids, 9).tolist()[0] == [0, 2, 4, 3, 1]
+
+
 def test_one_projection_serves_all_dimensions(frames):
     model, _ = reduction.fit_pca(frames[0], 5)
     cut = reduction.project_dimensions(frames[0], model, [2, 4, 4])
