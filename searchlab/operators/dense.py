@@ -194,6 +194,7 @@ def search_in_blocks(
     query_cols: list[str],
     query_vec: str,
     block_bytes: int = BLOCK_BYTES,
+    query_block_bytes: int | None = None,
 ) -> DataFrame:
     """Blocks of vectors meet blocks of queries, each pair in a task of its own.
 
@@ -202,13 +203,16 @@ def search_in_blocks(
     asks for, so a cell that holds a large share of all rows becomes many tasks.
     """
 
-    def number_of_blocks(df: DataFrame, vec: str, name: str) -> DataFrame:
+    def number_of_blocks(df: DataFrame, vec: str, name: str, limit: int) -> DataFrame:
         grouped = df.groupBy(*[c for c in df.columns if c == "cell"])
         size = F.count("*") * F.coalesce(F.max(F.size(vec)), F.lit(0)) * 8
-        blocks = F.greatest(F.ceil(size / F.lit(block_bytes)), F.lit(1))
+        blocks = F.greatest(F.ceil(size / F.lit(limit)), F.lit(1))
         return grouped.agg(blocks.cast("int").alias(name))
 
-    per_side = number_of_blocks(vectors, vec_col, "_v"), number_of_blocks(queries, query_vec, "_q")
+    per_side = (
+        number_of_blocks(vectors, vec_col, "_v", block_bytes),
+        number_of_blocks(queries, query_vec, "_q", query_block_bytes or block_bytes),
+    )
     if "cell" in vectors.columns:
         # One row per cell, staged so that its size decides how it is joined.
         blocks = stage(per_side[0].join(per_side[1], "cell"), "cell_blocks")
@@ -258,8 +262,12 @@ def exact_top_k(
     query_vec: str = "qvec",
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    query_block_bytes: int | None = None,
 ) -> DataFrame:
-    """``(query columns, doc_col, score, rank)`` by inner product."""
+    """``(query columns, doc_col, score, rank)`` by inner product.
+
+    A block of queries is as large as one of vectors unless ``query_block_bytes`` says otherwise.
+    """
     query_cols = list(query_cols)
     schema = _result_schema(queries, query_cols, vectors.schema[doc_col])
     fetched = matrix_within(queries, query_cols, query_vec, broadcast_bytes)
@@ -269,6 +277,6 @@ def exact_top_k(
         scored = search_in_blocks(
             vectors.select(doc_col, vec_col),
             queries.select(*query_cols, query_vec),
-            schema, k, doc_col, vec_col, query_cols, query_vec, block_bytes,
+            schema, k, doc_col, vec_col, query_cols, query_vec, block_bytes, query_block_bytes,
         )
     return rank_top_k(scored, k, query_cols, doc_col)

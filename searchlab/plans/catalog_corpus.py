@@ -35,11 +35,12 @@ TABLES = [
 
 
 # --- scans ------------------------------------------------------------------
-@query("scan_postings", "SELECT page_id, url FROM pages")
+@query("scan_postings", "SELECT page_id, url, nullif(html, '') AS html FROM pages")
 def scan_postings(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole pages table through CSV and the reader of raw files."""
-    pages = through_csv(views.table(spark, sf, "pages").select("page_id", "url"), "pages")
-    return read_strings(spark, pages, ["page_id", "url"]).withColumn("page_id", F.col("page_id").cast("long"))
+    """Whole pages table, line breaks and quotes included, through CSV and the reader of raw files."""
+    columns = ["page_id", "url", "html"]
+    pages = through_csv(views.table(spark, sf, "pages").select(*columns), "pages")
+    return read_strings(spark, pages, columns).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 @query(
@@ -208,9 +209,10 @@ def dedup_content(spark: SparkSession, sf: str) -> DataFrame:
         WHERE doc_id IN (SELECT doc_id FROM labels)""",
 )
 def semi_join_text(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_build.matching_text(
-        views.table(spark, sf, "documents"), "text", views.table(spark, sf, "labels"), "doc_id"
-    )
+    """Whole texts through CSV and the reader of raw files."""
+    texts = through_csv(views.table(spark, sf, "documents").select("doc_id", "text"), "texts")
+    texts = read_strings(spark, texts, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return corpus_build.matching_text(texts, "text", views.table(spark, sf, "labels"), "doc_id")
 
 
 @query(

@@ -150,12 +150,13 @@ def dense_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dense_exact_topk_blocked", EXACT_SQL)
 def dense_exact_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """The form for query sets too large to broadcast, with small blocks."""
+    """The form for query sets too large to broadcast, with small blocks: four of queries or more."""
     found = exact_top_k(
         views.embeddings(spark, sf),
         views.staged_vec_queries(spark, sf),
         broadcast_bytes=0,
-        block_bytes=2**15,
+        block_bytes=2**16,
+        query_block_bytes=1300,
     )
     return ranked(found)
 
