@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from searchlab.operators.scan import earlier_sums
 from searchlab.sources.staging import stage
 
 SEED = 42
@@ -20,6 +21,7 @@ POSITION_DIGITS = 13  # 52 bits, exact in a double
 PAST_ALL_HASHES = "g"  # sorts after every hexadecimal text
 # Half-widths of the bracket in standard deviations; the last one is everything.
 BRACKETS = (8.0, 100.0, float("inf"))
+SMALL_STRATA = 65_536  # up to here one task sorts the strata
 RARE_LIMIT = 20
 RARE_STRATUM = "rare"
 
@@ -45,17 +47,21 @@ def rare_labels(counts: DataFrame, stratum: str = "stratum", limit: int = RARE_L
     )
 
 
-def allocate(sizes: DataFrame, sample_size: int, stratum: str = "stratum") -> DataFrame:
+def allocate(
+    sizes: DataFrame, sample_size: int, stratum: str = "stratum", small: int = SMALL_STRATA
+) -> DataFrame:
     """Rows to draw from each stratum, proportional to its size.
 
     Rounded half-even, at least 1, at most the size. What is missing is added one
     row at a time going round from the smallest stratum; what is too much is taken
     one at a time going round from the largest. Equal sizes go by name. ``sizes``
-    has one row per stratum, and nothing larger is made of it: the windows without
-    partition sort the strata.
+    has one row per stratum, and nothing larger is made of it. More than ``small`` strata
+    are range-sorted and summed part by part; the result is the same.
     """
     if sample_size <= 0:
         raise ValueError("sample_size must be positive")
+    if sizes.count() > small:
+        return _allocate_in_parts(sizes, sample_size, stratum)
     everything = Window.partitionBy()
     total = F.sum("size").over(everything)
     start = F.least(
@@ -99,6 +105,37 @@ def allocate(sizes: DataFrame, sample_size: int, stratum: str = "stratum") -> Da
     )
 
 
+def _allocate_in_parts(sizes: DataFrame, sample_size: int, stratum: str) -> DataFrame:
+    """The same without a window over all strata: sums over distinct capacities and places are
+    running sums over range-sorted parts."""
+    total = sizes.agg(F.sum("size")).first()[0]
+    even = F.bround(F.col("size") / F.lit(total) * F.lit(sample_size), 0).cast("long")
+    rounded = sizes.select(stratum, "size", F.least(F.greatest(even, F.lit(1)), F.col("size")).alias("start"))
+    rounded = stage(rounded, "rounded_strata")
+    strata, started = rounded.agg(F.count("*"), F.sum("start")).first()
+    gap = sample_size - started
+    sign, need = (1 if gap > 0 else -1), abs(gap)
+    rounded = rounded.withColumn("capacity", F.col("size") - F.col("start") if gap > 0 else F.col("start") - 1)
+    counts = rounded.groupBy("capacity").agg(F.count("*").alias("rows"))
+    counts = earlier_sums(
+        counts.withColumn("given", F.col("capacity") * F.col("rows")), [F.col("capacity")], ["rows", "given"]
+    )
+    going = F.lit(strata) - F.col("rows_before")
+    enough = F.col("given_before") + F.col("capacity") * going >= need
+    end, largest = counts.agg(
+        F.min(F.when(enough, F.struct("capacity", F.col("given_before").alias("spent"), going.alias("going")))),
+        F.max("capacity"),
+    ).first()
+    # After the full turns a stratum has given ``turns`` rows or all it had; the first ones in order give one more.
+    turns, extra = divmod(need - end["spent"], end["going"]) if end else (largest, 0)
+    done = rounded.filter(F.col("capacity") <= turns).withColumn("units", F.col("capacity"))
+    order = [F.lit(sign) * F.col("size"), F.col(stratum)]
+    more = earlier_sums(rounded.filter(F.col("capacity") > turns).withColumn("one", F.lit(1)), order, ["one"])
+    more = more.withColumn("units", F.lit(turns) + (F.col("one_before") < extra).cast("long"))
+    both = done.unionByName(more.select(*done.columns))
+    return both.select(stratum, "size", (F.col("start") + F.col("units") * sign).cast("long").alias("n"))
+
+
 def _hash_at(position: Column) -> Column:
     """Leading digits of the hash at a place of the hash range, 0 to 1."""
     number = F.floor(position * F.lit(float(16**POSITION_DIGITS)))

@@ -270,15 +270,23 @@ def forty_percent(spark: SparkSession, sf: str) -> int:
 FORTY_PERCENT = "(SELECT count(*) * 2 // 5 FROM customer)"
 
 
-@query(
-    "stratified_allocation",
-    f"WITH {v.CUSTOMER_STRATA}, {v.allocation(FORTY_PERCENT)} SELECT * FROM allocation",
-)
+ALLOCATION_SQL = f"WITH {v.CUSTOMER_STRATA}, {v.allocation(FORTY_PERCENT)} SELECT * FROM allocation"
+
+
+@query("stratified_allocation", ALLOCATION_SQL)
 def stratified_allocation(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = rare_strata(spark, sf).groupBy(F.col("merged").alias("stratum")).agg(
-        F.sum("size").alias("size")
-    )
-    return allocate(stage(sizes, "strata_sizes"), forty_percent(spark, sf))
+    return allocate(strata_sizes(spark, sf), forty_percent(spark, sf))
+
+
+@query("stratified_allocation_in_parts", ALLOCATION_SQL)
+def stratified_allocation_in_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The form for very many strata: no task sees them all."""
+    return allocate(strata_sizes(spark, sf), forty_percent(spark, sf), small=0)
+
+
+def strata_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    merged = rare_strata(spark, sf).groupBy(F.col("merged").alias("stratum"))
+    return stage(merged.agg(F.sum("size").alias("size")), "strata_sizes")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from searchlab.operators import sampling as s
 from searchlab.operators.ids import assign_document_ids
+from searchlab.operators.scan import earlier_sums
 
 
 def allocate_by_walking(sizes: dict[str, int], sample: int) -> dict[str, int]:
@@ -25,13 +26,13 @@ def allocate_by_walking(sizes: dict[str, int], sample: int) -> dict[str, int]:
     return n
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_allocation(spark, seed):
+@pytest.mark.parametrize("seed, small", [*((i, s.SMALL_STRATA) for i in range(12)), *((i, 0) for i in range(6))])
+def test_allocation(spark, seed, small):
     rng = random.Random(seed)
     sizes = {f"s{i:02}": rng.choice([1, 2, 20, 21, 25, rng.randint(20, 900)]) for i in range(14)}
     sample = rng.randint(len(sizes), sum(sizes.values()) - 1)
     table = spark.createDataFrame(list(sizes.items()), "stratum string, size bigint")
-    got = {r["stratum"]: r["n"] for r in s.allocate(table, sample).collect()}
+    got = {r["stratum"]: r["n"] for r in s.allocate(table, sample, small=small).collect()}
     assert got == allocate_by_walking(sizes, sample)
     assert sum(got.values()) == sample
     assert all(1 <= got[k] <= sizes[k] for k in sizes)
@@ -107,3 +108,22 @@ def test_document_ids_have_no_gaps(rows):
     got = {r["job_id"]: r["key"] for r in assign_document_ids(rows, ["key"]).collect()}
     keys = sorted(got.values(), key=digest)
     assert got == {f"JOB_{i:07d}": key for i, key in enumerate(keys, start=1)}
+
+
+def test_many_strata_are_not_sorted_by_one_task(spark):
+    sizes = spark.range(1, 500).select(F.concat(F.lit("s"), "id").alias("stratum"), (F.col("id") % 40 + 20).alias("size"))
+    plan = s.allocate(sizes, 900, small=100)
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r.stratum: (r.size, r.n) for r in plan.collect()}
+    assert {k: n for k, (_, n) in got.items()} == allocate_by_walking({k: v for k, (v, _) in got.items()}, 900)
+
+
+def test_earlier_sums(spark):
+    rows = spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("k"), (F.col("id") % 5).alias("v"))
+    data = sorted((r.k, r.v) for r in rows.collect())
+    got = {r.k: r.v_before for r in earlier_sums(rows, [F.col("k")], ["v"]).collect()}
+    total, want = 0, {}
+    for k, v in data:
+        want[k], total = total, total + v
+    assert got == want
+    assert earlier_sums(rows.filter("k < 0"), [F.col("k")], ["v"]).count() == 0
