@@ -29,6 +29,7 @@ SURGE = 86
 # Element names and words of the HTML language and of common page templates.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "label", "fieldset"}
+UNREAD = {"script", "style", "textarea", "title"}  # of these, without an end tag they reach to the end of the page
 MAIN = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl",
@@ -60,7 +61,8 @@ ENDED_BY = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    # A quote opens a value only behind an equals sign; any other is a character like the rest.
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>",
     re.DOTALL,
 )
 # One attribute: its name and, quoted or not, its value. Matches follow one another, so no value is read as a name.
@@ -151,6 +153,10 @@ def _wrappers(skipped: dict[int, _Skipped], parts: list[int], has_main: bool, ke
                 found.add(at)
         elif box and not parts and 2 * one.chars > total:
             found.add(at)
+    if parts and not max(parts) and not found:
+        # Nothing is left of the article: the largest box in it is its text.
+        boxes = [(one.chars, -at) for at, one in skipped.items() if one.in_main and one.why in ("box", "form") and one.chars]
+        found |= {-max(boxes)[1]} if boxes else set()
     return found
 
 
@@ -184,6 +190,7 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], lis
     parts: list[int] = []  # characters kept of each article or main part
     has_main = False
     in_link, plain = False, False  # plain: the current line has text outside of links, or is a heading
+    endless: set[str] = set()  # elements of which no end tag follows any more
     around, inside = Counter(), Counter()  # open blocks outside and inside of the skipped element
 
     def flush() -> None:
@@ -217,8 +224,13 @@ def _read_lines(page: str, spared: set[int]) -> tuple[list[str], list[bool], lis
         closing = bool(token[1])
         if name in RAW and not closing:
             if not (token[3] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in UNREAD:
+                    at = len(page)
+                else:
+                    endless.add(name)
             continue
         if name == "a":
             in_link = not closing and "href" in _attributes(token[3] or "")

@@ -272,3 +272,17 @@ def test_language_sample_draws_from_all_windows_and_keeps_large_languages(spark)
     windows, labels = language.training_windows(docs, "doc_id", "text", "lang", 500)
     assert 400 < labels.count("de") < 600 and labels.count("en") > 60
     assert len(windows) == len(labels)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p class="a"">two</p></article>', "two"),
+    ("<article><p title=it's>three</p><p>four</p></article>", "three\nfour"),
+    ('<article><p title="a > b">five</p></article>', "five"),
+    ('<article><section class="related-work"><h2>Related work</h2><p>Body.</p></section></article>', "Related work\nBody."),
+    ("<article><p>one</p><object data=x><p>two</p></article>", "one\ntwo"),
+    ('<article><p>Long enough to stay as it is.</p><div class="related">more</div></article>', "Long enough to stay as it is."),
+])
+def test_start_tags_and_boxes_as_browsers_read_them(page, text):
+    from searchlab.llm.html_text import main_text
+
+    assert main_text(page) == text
