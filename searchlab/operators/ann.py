@@ -3,7 +3,8 @@
 Every vector belongs to the cell of its best centroid; a query visits the
 ``nprobe`` best cells and is scored exactly inside. Saved with ``partitionBy("cell")``
 the table is read only where a query goes. Scoring never groups by cell, so a cell
-that holds a large share of all vectors is read by many tasks.
+that holds a large share of all vectors is read by many tasks. Centroids that are too
+many to send to every task are put in groups around some of them (``cell_tree``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -19,9 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from searchlab.operators.dense import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
-    PRODUCT_NUMBERS,
     Routes,
-    inner_products,
+    best_rows,
     matrix_within,
     search_in_blocks,
     search_with_broadcast,
@@ -32,6 +33,9 @@ from searchlab.operators.sampling import SEED, fixed_size_sample
 from searchlab.operators.topk import rank_top_k
 from searchlab.sources.staging import stage
 
+VISIT_BYTES = 24  # of one visit of a query to a cell
+BEAM = 4  # groups of cells that are looked at
+
 
 def pivot_centroids(
     vectors: DataFrame, cells: int, id_col: str = "doc_id", vec_col: str = "embedding"
@@ -72,26 +76,8 @@ def kmeans_centroids(
 
 
 def _best_cells(rows: np.ndarray, centroids: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of the ``depth`` best centroids per row, ties to the lower cell.
-
-    At most ``PRODUCT_NUMBERS`` products exist at a time; only the best are sorted.
-    """
-    depth = min(depth, len(centroids))
-    best = np.empty((len(rows), depth), dtype=np.int64)
-    step = max(1, PRODUCT_NUMBERS // max(len(centroids), 1))
-    for start in range(0, len(rows), step):
-        scores = inner_products(rows[start : start + step], centroids)
-        if depth == 1:
-            best[start : start + step, 0] = scores.argmax(axis=1)
-        else:
-            last = len(centroids) - depth
-            limit = np.partition(scores, last, axis=1)[:, last, None]
-            above, equal = scores > limit, scores == limit
-            equal &= np.cumsum(equal, axis=1) <= depth - above.sum(axis=1, keepdims=True)
-            found = np.nonzero(above | equal)[1].reshape(-1, depth)
-            order = np.argsort(-np.take_along_axis(scores, found, axis=1), axis=1, kind="stable")
-            best[start : start + step] = np.take_along_axis(found, order, axis=1)
-    return best
+    """Positions of the ``depth`` best centroids per row, ties to the lower cell."""
+    return best_rows(rows, centroids, depth)[0]
 
 
 def assign_cells(
@@ -181,7 +167,7 @@ def search_cells(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    fetched = matrix_within(queries, [query_col], query_vec, broadcast_bytes // len(probes))
+    fetched = _small_queries(queries, query_col, query_vec, probes, broadcast_bytes)
     if fetched is None:
         routed = route_queries(queries.select(query_col, query_vec), centroids, probes, query_vec)
         scored = search_in_blocks(
@@ -192,24 +178,172 @@ def search_cells(
         cell_keys, centers = small_matrix(centroids, ["cell"], "centroid")
         order = cell_keys["cell"].to_numpy()[_best_cells(matrix, centers, probes[-1])]
         rows = np.repeat(np.arange(len(matrix)), order.shape[1])
-        first = np.tile(_first_settings(probes)[: order.shape[1]], len(matrix))
-        routes = Routes.of(order.ravel(), rows, first * len(matrix) + rows)
-        visited = queries.sparkSession.createDataFrame(
-            pa.table({"cell": routes.cells, "visits": np.diff(routes.starts)})
-        )
-        # The predicate holds for every row; partition pruning at run time asks for one.
-        visited = stage(visited.coalesce(1), "visited_cells").filter(F.col("visits") > 0)
-        settings = pa.array(np.repeat(np.arange(len(probes)), len(matrix)), pa.int32())
-        scored = search_with_broadcast(
-            assigned.join(visited, "cell", "left_semi"),
-            pa.concat_tables([keys] * len(probes)).append_column("setting", settings),
-            matrix, schema, k, doc_col, vec_col, routes,
+        visits = np.tile(np.arange(order.shape[1]), len(matrix))
+        scored = _scored_visits(
+            assigned, keys, matrix, order.ravel(), rows, visits, probes, schema, k, doc_col, vec_col
         )
+    return _ranked_settings(scored, probes, k, query_col, doc_col)
+
+
+def _small_queries(
+    queries: DataFrame, query_col: str, query_vec: str, probes: list[int], limit: int
+) -> tuple[pa.Table, np.ndarray] | None:
+    """Keys and matrix of the queries; None where they or their visits are above ``limit`` bytes."""
+    fetched = matrix_within(queries, [query_col], query_vec, limit // len(probes))
+    if fetched is None or len(fetched[1]) * probes[-1] * VISIT_BYTES > limit:
+        return None
+    return fetched
+
+
+def _scored_visits(
+    assigned: DataFrame,
+    keys: pa.Table,
+    matrix: np.ndarray,
+    cells: np.ndarray,
+    rows: np.ndarray,
+    visits: np.ndarray,
+    probes: list[int],
+    schema: T.StructType,
+    k: int,
+    doc_col: str,
+    vec_col: str,
+) -> DataFrame:
+    """Products of the queries ``rows`` with the vectors of the ``cells`` that they visit."""
+    spark = assigned.sparkSession
+    first = _first_settings(probes)[visits]
+    routes = Routes.of(cells, rows, first * len(matrix) + rows)
+    visited = spark.createDataFrame(
+        pa.table({"cell": routes.cells, "visits": np.diff(routes.starts)})
+    )
+    # The predicate holds for every row; partition pruning at run time asks for one.
+    visited = stage(visited.coalesce(1), "visited_cells").filter(F.col("visits") > 0)
+    settings = pa.array(np.repeat(np.arange(len(probes)), len(matrix)), pa.int32())
+    return search_with_broadcast(
+        assigned.join(visited, "cell", "left_semi"),
+        pa.concat_tables([keys] * len(probes)).append_column("setting", settings),
+        matrix, schema, k, doc_col, vec_col, routes,
+    )
+
+
+def _ranked_settings(
+    scored: DataFrame, probes: list[int], k: int, query_col: str, doc_col: str
+) -> DataFrame:
+    """Results of every setting: those of its own list and of the smaller ones."""
     later = F.slice(F.array(*[F.lit(p).cast("long") for p in probes]), F.col("setting") + 1, F.lit(len(probes)))
     found = scored.withColumn("nprobe", F.explode(later)).select(query_col, "nprobe", doc_col, "score")
     return rank_top_k(found, k, [query_col, "nprobe"], doc_col)
 
 
+def cell_tree(centroids: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of cells, for centroids too many to send to every task.
+
+    ``groups`` sampled centroids head a group each, and a centroid belongs to the group of its best
+    head. Returned: ``tops(cell, centroid)``, the heads of groups that are not empty, and
+    ``leaves(leaf, centroid, cell)``, all centroids with their group.
+    """
+    leaves = centroids.select(F.col("cell").alias("leaf"), "centroid")
+    tops = pivot_centroids(leaves, groups, "leaf", "centroid")
+    leaves = stage(assign_cells(leaves, stage(tops, "heads"), "centroid"), "leaves")
+    return stage(tops.join(leaves.select("cell").distinct(), "cell", "left_semi"), "tops"), leaves
+
+
+def nearest_leaves(
+    vectors: DataFrame,
+    tops: DataFrame,
+    leaves: DataFrame,
+    depth: int,
+    beam: int = BEAM,
+    id_col: str = "doc_id",
+    vec_col: str = "embedding",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``(id, cell, score, rank)``: the ``depth`` best centroids among those of the ``beam`` best groups.
+
+    Vectors and centroids of a group meet in blocks, so neither a large group nor many centroids
+    are held by one task. Ids are unique.
+    """
+    asked = route_queries(vectors.select(id_col, vec_col), tops, [beam], vec_col).drop("setting")
+    schema = T.StructType(
+        [
+            vectors.schema[id_col],
+            T.StructField("leaf", T.LongType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    found = search_in_blocks(
+        leaves, asked, schema, depth, "leaf", "centroid", [id_col], vec_col, block_bytes
+    )
+    return rank_top_k(found, depth, [id_col], "leaf").withColumnRenamed("leaf", "cell")
+
+
+def assign_tree_cells(
+    vectors: DataFrame,
+    tops: DataFrame,
+    leaves: DataFrame,
+    beam: int = BEAM,
+    id_col: str = "doc_id",
+    vec_col: str = "embedding",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Adds ``cell`` as ``assign_cells`` does, looking at the ``beam`` best groups of ``cell_tree``."""
+    nearest = nearest_leaves(vectors, tops, leaves, 1, beam, id_col, vec_col, block_bytes)
+    return vectors.join(nearest.select(id_col, "cell"), id_col)
+
+
+def search_cell_tree(
+    assigned: DataFrame,
+    queries: DataFrame,
+    tops: DataFrame,
+    leaves: DataFrame,
+    probes: list[int],
+    k: int = 20,
+    beam: int = BEAM,
+    doc_col: str = "doc_id",
+    vec_col: str = "embedding",
+    query_col: str = "query_id",
+    query_vec: str = "qvec",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``search_cells`` with the centroids of ``cell_tree``: a query visits the best cells among those
+    of its ``beam`` best groups. The visits are a staged table; of saved cells only those are read.
+    """
+    probes = sorted(set(probes))
+    if not probes or probes[0] <= 0:
+        raise ValueError("nprobe must be positive")
+    visits = nearest_leaves(
+        queries, tops, leaves, probes[-1], beam, query_col, query_vec, block_bytes
+    )
+    # The predicate holds for every row; partition pruning at run time asks for one.
+    visits = stage(visits.select(query_col, "cell", "rank"), "visits").filter(F.col("rank") > 0)
+    schema = T.StructType(
+        [
+            queries.schema[query_col],
+            T.StructField("setting", T.IntegerType()),
+            assigned.schema[doc_col],
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    fetched = _small_queries(queries, query_col, query_vec, probes, broadcast_bytes)
+    if fetched is None:
+        settings = F.array(*[F.lit(int(x)) for x in _first_settings(probes)])
+        routed = queries.select(query_col, query_vec).join(visits, query_col)
+        routed = routed.withColumn("setting", F.get(settings, F.col("rank") - 1)).drop("rank")
+        scored = search_in_blocks(
+            assigned.join(visits.select("cell").distinct(), "cell", "left_semi"), routed, schema, k,
+            doc_col, vec_col, [query_col, "setting"], query_vec, block_bytes,
+        )
+    else:
+        keys, matrix = fetched
+        made = visits.toArrow()  # at most ``broadcast_bytes``
+        rows = pc.index_in(made[query_col], keys[query_col].combine_chunks()).to_numpy()
+        cells, places = made["cell"].to_numpy(), made["rank"].to_numpy() - 1
+        scored = _scored_visits(
+            assigned, keys, matrix, cells, rows, places, probes, schema, k, doc_col, vec_col
+        )
+    return _ranked_settings(scored, probes, k, query_col, doc_col)
+
+
 def write_cells(assigned: DataFrame, location: str) -> None:
     """One folder per cell; a large cell becomes several files, small ones one."""
     assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(location)

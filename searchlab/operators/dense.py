@@ -52,6 +52,32 @@ def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return bits.view(np.float64) + 0.0
 
 
+def best_rows(rows: np.ndarray, among: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``among`` of the ``depth`` best products of each row, ties to the first, and the products.
+
+    At most ``PRODUCT_NUMBERS`` products exist at a time; only the best are sorted.
+    """
+    depth = min(depth, len(among))
+    best = np.empty((len(rows), depth), dtype=np.int64)
+    products = np.empty((len(rows), depth))
+    step = max(1, PRODUCT_NUMBERS // max(len(among), 1))
+    for start in range(0, len(rows), step):
+        some = slice(start, start + step)
+        scores = inner_products(rows[some], among)
+        if depth == 1:
+            best[some, 0] = scores.argmax(axis=1)
+        else:
+            last = len(among) - depth
+            limit = np.partition(scores, last, axis=1)[:, last, None]
+            above, equal = scores > limit, scores == limit
+            equal &= np.cumsum(equal, axis=1) <= depth - above.sum(axis=1, keepdims=True)
+            found = np.nonzero(above | equal)[1].reshape(-1, depth)
+            order = np.argsort(-np.take_along_axis(scores, found, axis=1), axis=1, kind="stable")
+            best[some] = np.take_along_axis(found, order, axis=1)
+        products[some] = np.take_along_axis(scores, best[some], axis=1)
+    return best, products
+
+
 class RunningTopK:
     """Best k (score, id) per query, higher score first, then lower id."""
 
@@ -242,11 +268,17 @@ def search_in_blocks(
     )
 
     def multiply(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        best = RunningTopK(asked.num_rows, k)
-        if docs.num_rows and asked.num_rows:
+        keys = asked.select(query_cols)
+        if not docs.num_rows or not asked.num_rows:
+            docs, keys, scores = docs.slice(0, 0), keys.slice(0, 0), np.empty(0)
+        else:
+            docs = docs.sort_by(doc_col)  # equal scores go to the lower id
             rows, matrix = to_matrix(docs[vec_col]), to_matrix(asked["_query_vec"])
-            score_rows(best, docs[doc_col].to_numpy(), rows, matrix, np.arange(len(matrix)))
-        return best.table(asked.select(query_cols), docs.schema.field(doc_col))
+            places, scores = best_rows(matrix, rows, k)
+            docs = docs.take(pa.array(places.ravel()))
+            keys = keys.take(pa.array(np.repeat(np.arange(len(matrix)), places.shape[1])))
+        found = keys.append_column(docs.schema.field(doc_col), docs[doc_col])
+        return found.append_column("score", pa.array(scores.ravel(), pa.float64()))
 
     group = ["cell", "_vb", "_qb"]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(multiply, schema)

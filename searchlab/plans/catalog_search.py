@@ -332,6 +332,47 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(recall, "ann_recall_at_10")
 
 
+LEAVES, GROUPS = 64, 8
+
+
+def nearest_sql(left: str, right: str, key: str, id_col: str) -> str:
+    """Place of each ``id_col`` among the products of ``left`` and ``right`` vectors of a ``key``."""
+    near = f"list_inner_product({left}, {right})"
+    return f"row_number() OVER (PARTITION BY {key} ORDER BY {v.significant(near)} DESC, {id_col})"
+
+
+@query(
+    "cell_tree_topk",
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES},
+        leaves AS (SELECT doc_id AS cell, embedding AS centroid FROM vectors
+                   ORDER BY {v.hashed("doc_id")} LIMIT {LEAVES}),
+        heads AS (SELECT cell AS top, centroid AS head FROM leaves
+                  ORDER BY {v.hashed("cell")} LIMIT {GROUPS}),
+        grouped AS (SELECT cell, centroid, top FROM leaves, heads
+                    QUALIFY {nearest_sql("centroid", "head", "cell", "top")} = 1),
+        asked AS (SELECT 'd' || doc_id AS key, embedding AS vec FROM vectors
+                  UNION ALL SELECT 'q' || query_id, qvec FROM vec_queries),
+        beams AS (SELECT key, vec, top FROM asked, (SELECT * FROM heads WHERE top IN (SELECT top FROM grouped))
+                  QUALIFY {nearest_sql("vec", "head", "key", "top")} <= {ann.BEAM}),
+        visits AS (SELECT key, cell, {nearest_sql("vec", "centroid", "key", "cell")} AS visit
+                   FROM beams JOIN grouped USING (top)),
+        run_tree AS ({v.top_k(f"""
+          SELECT query_id, doc_id, list_inner_product(qvec, embedding) AS score
+          FROM vec_queries JOIN visits a ON a.key = 'q' || query_id AND a.visit <= {views.PROBES}
+          JOIN visits b ON b.cell = a.cell AND b.visit = 1 JOIN vectors ON b.key = 'd' || doc_id""")})
+        SELECT query_id, rank, doc_id, score FROM run_tree""",
+)
+def cell_tree_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved cells whose centroids lie in groups: neither vectors nor queries meet all centroids."""
+    vectors, asked = views.embeddings(spark, sf), views.staged_vec_queries(spark, sf)
+    centroids = stage(ann.pivot_centroids(vectors, LEAVES), "centroids")
+    tops, leaves = ann.cell_tree(centroids, GROUPS)
+    location = new_location(spark, "cells")
+    ann.write_cells(ann.assign_tree_cells(vectors, tops, leaves), location)
+    saved = ann.read_cells(spark, location)
+    return ranked(ann.search_cell_tree(saved, asked, tops, leaves, [views.PROBES]).drop("nprobe"))
+
+
 SWEEP = [1, 2, 4, 8, 16]
 
 

@@ -263,3 +263,50 @@ def test_parameters_are_checked(spark, frames):
         reduction.reduction_report(vectors, [4, 0])
     with pytest.raises(ValueError):
         exact_top_k(*frames, k=0)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [2**26, 0])
+def test_cells_of_cells(spark, frames, data, broadcast_bytes):
+    vectors, queries = frames
+    numbered = vectors.withColumn("doc_id", F.substring("doc_id", 2, 9).cast("long"))
+    centroids = ann.pivot_centroids(numbered, 12)
+    tops, leaves = ann.cell_tree(centroids, 4)
+    heads = {r["cell"]: np.array(r["centroid"]) for r in tops.collect()}
+    group = {r["leaf"]: r["cell"] for r in leaves.collect()}
+    center = {r["leaf"]: np.array(r["centroid"]) for r in leaves.collect()}
+    assert len(group) == 12 and set(group.values()) == set(heads)
+
+    def ordered(vector, among):
+        return sorted(among, key=lambda c: (-round(float(vector @ among[c]), 9), c))
+
+    def visits(vector, beam):
+        groups = ordered(vector, heads)[:beam]
+        return ordered(vector, {c: center[c] for c in center if group[c] in groups})
+
+    docs, asked = data
+    for beam in (1, 2, 9):
+        assigned = ann.assign_tree_cells(vectors, tops, leaves, beam, block_bytes=2_000)
+        cells = {r["doc_id"]: r["cell"] for r in assigned.collect()}
+        assert cells == {f"d{i:04}": visits(v, beam)[0] for i, v in enumerate(docs)}
+        found = ann.search_cell_tree(
+            assigned, queries, tops, leaves, [1, 3, 12], 10, beam,
+            broadcast_bytes=broadcast_bytes, block_bytes=2_000,
+        ).cache()
+        for nprobe in (1, 3, 12):
+            allowed = [
+                {i for i in range(len(docs)) if cells[f"d{i:04}"] in visits(q, beam)[:nprobe]} for q in asked
+            ]
+            close(lists(found.filter(F.col("nprobe") == nprobe)), brute(*data, 10, allowed))
+
+
+def test_cells_of_cells_read_only_visited_folders(frames, tmp_path):
+    vectors, queries = frames
+    numbered = vectors.withColumn("doc_id", F.substring("doc_id", 2, 9).cast("long"))
+    tops, leaves = ann.cell_tree(ann.pivot_centroids(numbered, 12), 4)
+    ann.write_cells(ann.assign_tree_cells(vectors, tops, leaves), str(tmp_path / "cells"))
+    saved = ann.read_cells(vectors.sparkSession, str(tmp_path / "cells"))
+    found = ann.search_cell_tree(saved, queries, tops, leaves, [2])
+    assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert ann.search_cell_tree(saved, queries.limit(0), tops, leaves, [2]).count() == 0
+    with pytest.raises(ValueError, match="nprobe"):
+        ann.search_cell_tree(saved, queries, tops, leaves, [])
