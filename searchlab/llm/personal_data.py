@@ -17,6 +17,8 @@ and runs are possessive, which changes no match because what follows a run is ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from searchlab.llm.common import document_columns
@@ -28,6 +30,7 @@ ADDED = ("email_bracketed", "phone_local", "account", "secret")
 KINDS = BASE + ADDED
 CONTEXT = 32
 ROUNDS = 25
+PART = 128  # matches whose positions are summed together
 
 _MAIL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -84,28 +87,87 @@ def valid(kind: str, match: Column) -> Column:
         )
     if kind == "card":
         n = F.length(_digits(match))
-        return F.when((n >= 16) & (n <= 19), _luhn(_digits(match))).otherwise(False)
+        return F.when(F.length(match) < 16, False).when((n >= 16) & (n <= 19), _luhn(_digits(match))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(8, 15)
     return F.lit(True)
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(kind: str, text: Column) -> Column:
-    """array<struct<start, stop, match>> of a kind's pattern, in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    """array<struct<start, stop, match, before, after>> of a kind's pattern, in code points.
+
+    ``before`` are the last ``CONTEXT`` characters in front of a match, ``after`` is the one behind it.
+    Positions are running sums of the lengths of matches and of the text between them. An array grows by
+    copying, so sums run inside of parts of ``PART`` matches first and over the parts then: the work
+    is in proportion to the text, however many matches it has.
+    """
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,match:string>>").alias("spans"))
+    none = F.array().cast("array<struct<start:int,stop:int,match:string,before:string,after:string>>")
 
     def step(state: Column, both: Column) -> Column:
+        front = F.concat(state["tail"], both["gap"])
         start = state["at"] + F.length(both["gap"])
         stop = start + F.length(both["match"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), both["match"].alias("match"))
-        return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        span = F.struct(
+            start.alias("start"), stop.alias("stop"), both["match"].alias("match"),
+            F.substring(front, -CONTEXT, CONTEXT).alias("before"),
+            F.substring(F.concat(F.coalesce(both["then"], F.lit("")), F.coalesce(both["next"], F.lit(""))), 1, 1).alias("after"),
+        )
+        return F.struct(
+            stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"),
+            F.substring(F.concat(front, both["match"]), -CONTEXT, CONTEXT).alias("tail"),
+        )
+
+    def one_part(pairs: Column, i: Column) -> Column:
+        # A match has two characters or more, so these hold the context of the first match of the part.
+        earlier = F.slice(pairs, F.greatest(i * PART + 1 - CONTEXT // 2, F.lit(1)), F.least(i * PART, F.lit(CONTEXT // 2)))
+        tail = F.array_join(F.flatten(F.transform(earlier, lambda x: F.array(x["gap"], x["match"]))), "")
+        empty = F.struct(
+            F.lit(0).alias("at"), none.alias("spans"), F.substring(tail, -CONTEXT, CONTEXT).alias("tail")
+        )
+        return F.aggregate(F.slice(pairs, i * PART + 1, F.lit(PART)), empty, step)
+
+    def in_parts(pairs: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PART).cast("int"))
+        return F.transform(places, lambda i: one_part(pairs, i))
+
+    def starts(parts: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(
+            parts, first,
+            lambda s, part: F.struct(
+                (s["at"] + part["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
+            ),
+            lambda s: s["starts"],
+        )
+
+    def moved(part: Column, by: Column) -> Column:
+        # The text behind the last match has none of its own.
+        return F.transform(
+            F.filter(part["spans"], lambda x: x["match"].isNotNull()),
+            lambda x: F.struct(
+                (x["start"] + by).alias("start"), (x["stop"] + by).alias("stop"),
+                x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after"),
+            ),
+        )
+
+    def zipped(both: Column) -> Column:
+        rest = F.size(both["gap"])
+        return F.arrays_zip(
+            both["gap"].alias("gap"), both["match"].alias("match"),
+            F.slice(both["gap"], F.lit(2), rest).alias("then"), F.slice(both["match"], F.lit(2), rest).alias("next"),
+        )
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    spans = F.aggregate(pairs, empty, step, lambda state: state["spans"])
-    none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
+    spans = _named(
+        _named(F.struct(between.alias("gap"), found.alias("match")), zipped),
+        lambda pairs: _named(in_parts(pairs), lambda parts: F.flatten(F.zip_with(parts, starts(parts), moved))),
+    )
     return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none)
 
 
@@ -159,13 +221,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         base = kind in BASE
 
         def one(span: Column) -> Column:
-            low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-            before = F.substring(text, low + 1, span["start"] - low)
-            after = F.substring(text, span["stop"] + 1, F.lit(1))
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"),
                 span["start"].alias("start"), span["stop"].alias("stop"),
-                _votes(kind, span["match"], before, after, base).alias("votes"),
+                _votes(kind, span["match"], span["before"], span["after"], base).alias("votes"),
                 _features(span["match"]).alias("features"),
             )
 
@@ -173,10 +232,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.transform(kept, one)
 
     parts = raw.select("doc_id", F.concat(*map(described, BASE)).alias("base"), F.concat(*map(described, ADDED)).alias("more"))
-    apart = F.filter(
-        "more",
-        lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])),
-    )
+
+    def bounded(i: Column) -> Column:
+        some = F.slice("base", i * PART + 1, F.lit(PART))
+        low = F.array_min(F.transform(some, lambda b: b["start"]))
+        return F.struct(low.alias("start"), F.array_max(F.transform(some, lambda b: b["stop"])).alias("stop"), some.alias("spans"))
+
+    def meets(one: Column, other: Column) -> Column:
+        return (one["start"] < other["stop"]) & (other["start"] < one["stop"])
+
+    # Base spans come by kind and start, so an added one has to look into few parts only.
+    spread = F.transform(F.sequence(F.lit(0), F.floor(F.size("base") / PART).cast("int")), bounded)
+    apart = _named(spread, lambda some: F.filter(
+        "more", lambda m: ~F.exists(some, lambda p: F.coalesce(meets(p, m), F.lit(False)) & F.exists(p["spans"], lambda b: meets(b, m))),
+    ))
     return parts.select("doc_id", "base", apart.alias("more"))
 
 

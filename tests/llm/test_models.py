@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from searchlab.llm import edit_match, html_text, language, personal_data, quality
 from tests.llm.cases import ROWS, edge_documents, no_documents
@@ -147,6 +148,35 @@ def test_personal_data_equals_brute_force(spark):
     assert sum(r.n_added for r in got) > 0
 
 
+def test_personal_data_positions_beyond_one_part(spark):
+    """Spans, context and the character behind, where matches fill several parts."""
+    rng = np.random.default_rng(5)
+    fill = ["", " ", "é ü", "mail ", "x" * 40, "12-"]
+    texts = ["", "7", "12"] + [
+        "".join(f"{rng.integers(10, 10**6)}{fill[i]}," for i in rng.integers(0, 6, n)) for n in (1, 127, 128, 129, 700)
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows.select("doc_id", personal_data.matches("card", F.col("text")).alias("spans")).collect()
+    for row in found:
+        text = texts[row["doc_id"]]
+        want = [
+            (m.start(), m.end(), m[0], text[max(0, m.start() - 32) : m.start()], text[m.end() : m.end() + 1])
+            for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text)
+        ]
+        assert [tuple(s) for s in row["spans"]] == want
+    assert max(len(r["spans"]) for r in found) > 5 * personal_data.PART
+
+
+def test_added_spans_do_not_overlap_base_ones(spark):
+    """Thousands of base spans, added candidates inside, across and between them."""
+    piece = "call 555 123 4567, +1 555 123 4567, mail a@b.de or c [at] d.org; "
+    text = piece * 300
+    row = personal_data.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    base = [(b["start"], b["stop"]) for b in row["base"]]
+    assert len(base) == 600 and len(row["more"]) == 600
+    assert not any(s < m["stop"] and m["start"] < e for m in row["more"] for s, e in base)
+
+
 def test_personal_data_edge_rows(spark, documents):
     rows = personal_data.find_personal_data(edge_documents(spark)).collect()
     assert len(rows) == len(ROWS)
