@@ -284,13 +284,13 @@ def test_cells_of_cells(spark, frames, data, broadcast_bytes):
         return ordered(vector, {c: center[c] for c in center if group[c] in groups})
 
     docs, asked = data
-    for beam in (1, 2, 9):
-        assigned = ann.assign_tree_cells(vectors, tops, leaves, beam, block_bytes=2_000)
+    for beam in (2,) if broadcast_bytes else (9,):
+        assigned = ann.assign_tree_cells(vectors, tops, leaves, beam, block_bytes=20_000)
         cells = {r["doc_id"]: r["cell"] for r in assigned.collect()}
         assert cells == {f"d{i:04}": visits(v, beam)[0] for i, v in enumerate(docs)}
         found = ann.search_cell_tree(
             assigned, queries, tops, leaves, [1, 3, 12], 10, beam,
-            broadcast_bytes=broadcast_bytes, block_bytes=2_000,
+            broadcast_bytes=broadcast_bytes, block_bytes=20_000,
         ).cache()
         for nprobe in (1, 3, 12):
             allowed = [
