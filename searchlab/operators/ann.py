@@ -15,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from searchlab.functions.vectors import unit_vector
 from searchlab.operators.dense import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
@@ -75,6 +77,27 @@ def kmeans_centroids(
     return vectors.sparkSession.createDataFrame(centers, "cell bigint, centroid array<double>")
 
 
+def refined_centroids(
+    vectors: DataFrame, centroids: DataFrame, rounds: int = 2, vec_col: str = "embedding"
+) -> DataFrame:
+    """Centroids moved to the unit mean of their cells, ``rounds`` times; an empty cell keeps its own.
+
+    Means are combined in every task before the shuffle, so a large cell costs no more than others.
+    """
+    for _ in range(rounds):
+        features = array_to_vector(F.col(vec_col).cast("array<double>"))
+        means = (
+            assign_cells(vectors.select(vec_col), centroids, vec_col)
+            .groupBy("cell")
+            .agg(vector_to_array(Summarizer.mean(features)).alias("mean"))
+        )
+        moved = F.coalesce(unit_vector(F.col("mean")), F.col("centroid").cast("array<double>"))
+        centroids = stage(
+            centroids.join(means, "cell", "left").select("cell", moved.alias("centroid")), "moved"
+        )
+    return centroids
+
+
 def _best_cells(rows: np.ndarray, centroids: np.ndarray, depth: int) -> np.ndarray:
     """Positions of the ``depth`` best centroids per row, ties to the lower cell."""
     return best_rows(rows, centroids, depth)[0]

@@ -332,15 +332,34 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(recall, "ann_recall_at_10")
 
 
-LEAVES, GROUPS = 64, 8
-
-
 def nearest_sql(left: str, right: str, key: str, id_col: str) -> str:
     """Place of each ``id_col`` among the products of ``left`` and ``right`` vectors of a ``key``."""
     near = f"list_inner_product({left}, {right})"
     return f"row_number() OVER (PARTITION BY {key} ORDER BY {v.significant(near)} DESC, {id_col})"
 
 
+FIRST_CELLS, SEARCHED_CELLS = (part.strip().rstrip(",") for part in v.CELLS_SQL.split("assigned AS", 1))
+
+
+def moved_sql(before: str, after: str) -> str:
+    """CTE ``after``: unit means of the cells of ``before``."""
+    return f"""
+        {after}_cells AS (
+          SELECT embedding, cell FROM vectors, {before}
+          QUALIFY {nearest_sql("embedding", "centroid", "doc_id", "cell")} = 1),
+        {after}_means AS (
+          SELECT cell, list(x ORDER BY i) AS mean FROM (
+            SELECT cell, i, avg(x) AS x FROM (
+              SELECT cell, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM {after}_cells)
+            GROUP BY cell, i) GROUP BY cell),
+        {after} AS (
+          SELECT cell, CASE WHEN mean IS NULL THEN centroid ELSE {v.unit("mean")} END AS centroid
+          FROM {before} LEFT JOIN {after}_means USING (cell))"""
+
+
+LEAVES, GROUPS = 64, 8
+
+
 @query(
     "cell_tree_topk",
     f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES},
@@ -373,6 +392,22 @@ def cell_tree_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(ann.search_cell_tree(saved, asked, tops, leaves, [views.PROBES]).drop("nprobe"))
 
 
+@query(
+    "ivf_refined_topk",
+    f"""WITH {v.VECTORS}, {v.LABEL_MEANS}, {v.VEC_QUERIES},
+        {FIRST_CELLS.replace("centroids AS", "round0 AS", 1)},
+        {moved_sql("round0", "round1")}, {moved_sql("round1", "centroids")},
+        assigned AS {SEARCHED_CELLS}, {v.RUN_CELLS}
+        SELECT query_id, rank, doc_id, score FROM run_cells""",
+)
+def ivf_refined_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted cells: sampled centroids moved twice to the mean of their cells, then saved and searched."""
+    vectors, asked = views.embeddings(spark, sf), views.staged_vec_queries(spark, sf)
+    centers = ann.refined_centroids(vectors, views.centroids(vectors), 2)
+    found = ann.search_cells(saved_cells(vectors, centers), asked, centers, [views.PROBES])
+    return ranked(found.drop("nprobe"))
+
+
 SWEEP = [1, 2, 4, 8, 16]
 
 

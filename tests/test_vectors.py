@@ -310,3 +310,24 @@ def test_cells_of_cells_read_only_visited_folders(frames, tmp_path):
     assert ann.search_cell_tree(saved, queries.limit(0), tops, leaves, [2]).count() == 0
     with pytest.raises(ValueError, match="nprobe"):
         ann.search_cell_tree(saved, queries, tops, leaves, [])
+
+
+def test_refined_centroids(frames, data):
+    vectors, _ = frames
+    docs, _ = data
+    numbered = vectors.withColumn("doc_id", F.substring("doc_id", 2, 9).cast("long"))
+    # A head that no vector is nearest to keeps its place.
+    far = -10 * docs.sum(axis=0)
+    start = ann.pivot_centroids(numbered, 4).collect()
+    rows = [(r["cell"], list(r["centroid"])) for r in start] + [(10**6, (far * 1e-9).tolist())]
+    centroids = vectors.sparkSession.createDataFrame(rows, "cell bigint, centroid array<double>")
+    want = {c: np.array(v) for c, v in rows}
+    cells = sorted(want)
+    for _ in range(2):
+        nearest = (docs @ np.array([want[c] for c in cells]).T).argmax(axis=1)
+        for place, cell in enumerate(cells):
+            if (nearest == place).any():
+                want[cell] = unit(docs[nearest == place].mean(axis=0, keepdims=True))[0]
+    got = {r["cell"]: r["centroid"] for r in ann.refined_centroids(vectors, centroids, 2).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[c], want[c]) for c in cells)
