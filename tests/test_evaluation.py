@@ -340,6 +340,30 @@ def test_stale_report_names_what_differs(spark, tmp_path):
     assert [r.stored for r in checks.stale_artefact_report(spark, str(tmp_path / "none"), documents=5).collect()] == [None]
 
 
+def test_stale_report_reads_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Documents of one language only: they still are spread over many tasks."""
+    from searchlab.plans import catalog_search
+
+    documents = spark.range(0, 4000, 1, 8).select(
+        F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("text"), F.lit("en").alias("lang")
+    )
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    largest = []
+
+    def spied(df, columns, fingerprint=checks.content_fingerprint):
+        parts = df.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("size"))
+        largest.append(parts.agg(F.max("size") / F.sum("size")).first()[0])
+        return fingerprint(df, columns)
+
+    monkeypatch.setattr(checks, "content_fingerprint", spied)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        facts = {r.fact for r in catalog_search.stale_artefact_report(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert facts == {"content", "weights"} and largest[1] <= 0.25
+
+
 def test_manifest_refuses_stale_artefacts(spark, tmp_path):
     where = str(tmp_path / "vectors")
     assert not checks.reusable(spark, where, documents=5)
