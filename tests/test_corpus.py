@@ -134,6 +134,29 @@ def test_profile_edge_cases(spark):
     assert {r["value"]: round(r["share"], 4) for r in shares.collect()} == {"a": 66.6667, "b": 33.3333}
 
 
+def test_encoder_calls_nothing_for_known_words():
+    class Counted(HashedEncoder):
+        calls = 0
+
+        def _slot(self, word):
+            self.calls += 1
+            return super()._slot(word)
+
+    encoder = Counted()
+    text = "the cat and the dog and the end"
+    first, asked = encoder.encode([text, ""]), encoder.calls
+    assert asked == 5 and (encoder.encode([text, ""]) == first).all() and encoder.calls == asked
+    # Each word at its place: 1 + ln(tf), signed, unit length.
+    import hashlib
+    import math
+
+    want = [0.0] * encoder.dimension
+    for word, tf in {"the": 3, "cat": 1, "and": 2, "dog": 1, "end": 1}.items():
+        digest = hashlib.md5(word.encode()).hexdigest()
+        want[int(digest[:8], 16) % encoder.dimension] += (1 + math.log(tf)) * (1 if digest[-1] < "8" else -1)
+    assert first[0] == pytest.approx([x / math.hypot(*want) for x in want]) and not first[1].any()
+
+
 def test_encoder_is_pluggable(spark):
     texts = spark.createDataFrame([(i, f"word{i} word") for i in range(70)] + [(70, "")], "doc_id bigint, text string")
     plain = HashedEncoder().encode(["passage: word3 word"])[0]
