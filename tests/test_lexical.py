@@ -158,6 +158,37 @@ def test_counting_inside_of_the_row(spark):
     ]
 
 
+def test_postings_travel_as_blocks(spark):
+    """Terms of many documents make far fewer rows for the shuffle and the sort than postings."""
+    docs = spark.createDataFrame(
+        [(i, "a b", "c", f"d e{i % 3}") for i in range(600)], "doc_id bigint, title string, skills string, summary string"
+    ).coalesce(1)
+    blocks = lexical._posting_blocks(docs, "doc_id", lexical.FIELD_WEIGHTS)
+    assert lexical.build_postings(docs).count() == 3000 and blocks.count() <= 20
+    assert {r.term for r in blocks.collect()} == {"a", "b", "c", "d", "e0", "e1", "e2"}
+
+
+def test_parts_of_a_batch_do_not_change_postings(monkeypatch):
+    import pyarrow as pa
+
+    texts = [[None, ["", "b a", "zz a a", "ü"][i % 4], ["a", ""][i % 2], "x " * (i % 9)] for i in range(40)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([None, *range(1, 40)]), *[pa.array([(t[n] or "").strip() for t in texts]) for n in (1, 2, 3)]],
+        names=["doc_id", "_0", "_1", "_2"],
+    )
+
+    def postings(size):
+        monkeypatch.setattr(lexical, "COUNTED_BYTES", size)
+        parts = [p.to_pylist() for p in lexical._count_terms([3.0, 2.0, 1.0], "doc_id")([batch, batch.slice(0, 0)])]
+        return len(parts), sorted(
+            (str(h["doc_id"]), h["doc_len"], b["term"], h["wtf"], h["tf"]) for p in parts for b in p for h in b["held_by"]
+        )
+
+    (few, whole), (many, cut) = postings(10**6), postings(1)
+    assert few < many and whole == cut
+    assert [p for p in whole if p[0] == "2"] == [("2", 6, "a", 8.0, 3), ("2", 6, "x", 2.0, 2), ("2", 6, "zz", 3.0, 1)]
+
+
 def test_index_files_are_sorted_by_term(spark, tmp_path):
     import pyarrow.parquet as pq
 
