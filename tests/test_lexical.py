@@ -168,6 +168,34 @@ def test_postings_travel_as_blocks(spark):
     assert {r.term for r in blocks.collect()} == {"a", "b", "c", "d", "e0", "e1", "e2"}
 
 
+def test_match_counts_of_more_queries_than_a_mask_holds(spark, monkeypatch):
+    """A posting meets the queries that share its term as bits of few masks, not one by one."""
+    docs = spark.createDataFrame(zipf_corpus(1, 60), "doc_id bigint, title string, skills string, summary string")
+    index = lexical.write_index(docs)
+    held = {}
+    for row in index.postings.collect():
+        held.setdefault(row.term, set()).add(row.doc_id)
+    words = sorted(held, key=lambda w: (-len(held[w]), w))
+    texts = {f"q{i}": f"{words[0]} {words[i % len(words)]} absentword" for i in range(150)}
+    rows = [*texts.items(), ("q0", words[-1]), (None, words[-1]), ("nothing", "absentword")]
+    asked, met = spark.createDataFrame(rows, "query_id string, query string"), []
+    matches = lexical._matches
+
+    def spied(*given):
+        found = matches(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(lexical, "_matches", spied)
+    want = {}
+    for query_id, text in rows:
+        docs_of = set().union(*[held.get(w, set()) for w in text.split()])
+        want[query_id] = want.get(query_id, set()) | docs_of
+    got = {r.query_id: r.n_docs for r in lexical.match_counts(index, asked).collect()}
+    assert got == {q: len(d) for q, d in want.items() if d}
+    assert met[0] < 0.25 * sum(len(held.get(w, ())) for _, text in rows for w in set(text.split()))
+
+
 def test_parts_of_a_batch_do_not_change_postings(monkeypatch):
     import pyarrow as pa
 
