@@ -142,6 +142,41 @@ def test_pruned_search_equals_the_whole_one_and_skips_common_words(spark, k):
     assert sum(r.documents_kept for r in long) < 0.25 * sum(matched[r.query_id] for r in long)
 
 
+def test_sums_that_cannot_matter_are_no_rows(spark):
+    """A part of the documents passes on what reaches its own k-th best; the result is that of the whole search."""
+    corpus = zipf_corpus(3, 1500)
+    docs = spark.createDataFrame(corpus, "doc_id bigint, title string, skills string, summary string")
+    index = lexical.write_index(docs)
+    rng = random.Random(5)
+    asked = [(f"q{i}", " ".join(rng.sample(rng.choice(corpus)[3].split(), 8) + ["w0", "w1"])) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    found = lexical.prune(index, lexical.weighted_terms(index, queries), 1)
+    summed = sum(r.documents_summed for r in found.counts().collect())
+    assert found.sums.count() < 0.5 * summed
+    matched = {}
+    for row in index.postings.join(found.blocks.filter("not aside"), ["bucket", "term", "class"]).collect():
+        matched.setdefault(row.query_id, set()).add(row.doc_id)
+    assert summed == sum(map(len, matched.values()))
+
+
+def test_bounds_of_a_task_do_not_change_results(spark, monkeypatch):
+    """Blocks of queries, parts of documents and products at once: many small ones give what one gives, ties too."""
+    corpus = random_corpus(4) + [(None, "spark sql", "", "nurse"), (7, "spark", "sql", "java")]
+    docs = spark.createDataFrame(corpus, "doc_id bigint, title string, skills string, summary string")
+    index = lexical.write_index(docs, buckets=4)
+    asked = [(f"q{i}", " ".join(random.Random(i).choices(["spark", "sql", "nurse", "with", "cafe", "x2"], k=4))) for i in range(8)]
+    queries = spark.createDataFrame([*asked, (None, "java sql")], "query_id string, query string")
+    key = lambda df: sorted((str(r.query_id), r["rank"], str(r.doc_id), round(r.score, 9)) for r in df.collect())
+    whole = {k: key(lexical.search_bm25(index, queries, k)) for k in (3, 200)}
+    for name, size in (("QUERIES_AT_ONCE", 3), ("PART_POSTINGS", 40), ("PRODUCTS_AT_ONCE", 30)):
+        monkeypatch.setattr(lexical, name, size)
+    for k, want in whole.items():
+        assert key(lexical.search_bm25(index, queries, k)) == want
+    assert {row[0] for row in whole[3]} == {*(q for q, _ in asked), "None"}
+    rows = [r for r in whole[200] if r[0] == "None"]
+    assert {r[2] for r in rows} >= {"None", "7"} and len({r[2] for r in rows}) == len(rows)
+
+
 def test_counting_inside_of_the_row(spark):
     docs = spark.createDataFrame(
         [(1, "b a A", "a", "zz b a"), (2, None, "", "x"), (3, "", "", None)],
